@@ -178,3 +178,46 @@ def _mark(edges: DataFrame) -> tuple:
         F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h"), F.expr("sum(cast(b as decimal(38,0)))").alias("s")
     ).first()
     return row["n"] or 0, row["h"], row["s"]
+
+
+# --- exact linking of rows that share a bucket --------------------------------------------------------------------------
+
+#: Rows of one bucket that one task links at a time; buckets with more are salted.
+BUCKET_ROWS = 8192
+
+
+def salted(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows with a column salt: 0, or for keys in hot (key, salts) one of `salts`, by the row's id."""
+    if hot is None:
+        return rows.withColumn("salt", F.lit(0))
+    return rows.join(hot, "key", "left").withColumn(
+        "salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).otherwise(0)
+    ).drop("salts")
+
+
+def hot_keys(counts: DataFrame, bucket_rows: int) -> DataFrame | None:
+    """From counts (key, n): the keys with more than bucket_rows rows and how many salts each gets; None if there are none."""
+    hot = cut(
+        counts.where(F.col("n") > bucket_rows).select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("salts")), "hot"
+    )
+    return None if hot.isEmpty() else hot
+
+
+def unsettled(rows: DataFrame, hot: DataFrame, settled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What salting has left open: rows of hot buckets that hold more than one component of `settled` (node, component).
+
+    Gives (minority, all): every bucket's rows outside its most frequent component, once for each salt, and all of its rows. A link
+    between two components has an end in the minority, so comparing these two sides by (key, salt) loses none, and a bucket whose
+    rows are already one component costs nothing more.
+    """
+    mine = salted(rows.join(hot.select("key"), "key", "left_semi"), hot)
+    mine = mine.join(settled, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    mine = cut(mine.drop("node"), "hot-rows")
+    per = mine.groupBy("key", "component").agg(F.count("*").alias("n"))
+    most = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("c"))
+    most = cut(most.where("c > 1").select("key", "most"), "hot-most")
+    open_rows = mine.join(most, "key")
+    minority = open_rows.where("component <> most").drop("salt").join(hot, "key")
+    minority = minority.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "most")
+    everything = open_rows.select(*[F.col(c).alias(f"{c}") for c in open_rows.columns if c != "most"])
+    return minority, cut(everything, "hot-open")

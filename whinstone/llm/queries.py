@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whinstone.llm.packing import pack_documents
+from whinstone.llm.simhash import hexadecimal, near_duplicates
 from whinstone.llm.token_counts import token_counts
 from whinstone.llm.url_filter import judge_urls
 
@@ -41,6 +42,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 OP7_SQL = f"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES {_RULES_SQL}),
@@ -66,6 +72,7 @@ def queries() -> dict:
         "op6_packing": op6_packing,
         "op7_url_filter": op7_url_filter,
         "op8_token_counts": op8_token_counts,
+        "op9_simhash_dedup": op9_simhash_dedup,
     }
 
 
