@@ -221,3 +221,22 @@ def unsettled(rows: DataFrame, hot: DataFrame, settled: DataFrame) -> tuple[Data
     minority = minority.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "most")
     everything = open_rows.select(*[F.col(c).alias(f"{c}") for c in open_rows.columns if c != "most"])
     return minority, cut(everything, "hot-open")
+
+
+# --- words ------------------------------------------------------------------------------------------------------------
+
+#: A-Z to a-z, byte by byte: no other UTF-8 byte changes.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+TEXT_BLOCK = 1 << 20
+
+
+def text_blocks(text: bytes, size: int = TEXT_BLOCK) -> Iterator[bytes]:
+    """The text in blocks that end at white space, so that a huge text never becomes one huge list of words."""
+    start, space = 0, b" \t\n\r\x0b\x0c"
+    while len(text) - start > size:
+        at = start + size
+        while at < len(text) and text[at] not in space:
+            at += 1
+        yield text[start:at]
+        start = at
+    yield text[start:]

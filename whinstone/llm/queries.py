@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from whinstone.llm.masked_lm import masked_lm_scores
 from whinstone.llm.packing import pack_documents
 from whinstone.llm.simhash import hexadecimal, near_duplicates
 from whinstone.llm.token_counts import token_counts
@@ -47,6 +48,10 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm_scores(read(spark, sf_dir, "documents"))
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 OP7_SQL = f"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES {_RULES_SQL}),
@@ -73,6 +78,7 @@ def queries() -> dict:
         "op7_url_filter": op7_url_filter,
         "op8_token_counts": op8_token_counts,
         "op9_simhash_dedup": op9_simhash_dedup,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 

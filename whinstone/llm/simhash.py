@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from whinstone.llm.common import (
     BUCKET_ROWS,
+    LOWER,
     binary_texts,
     components,
     cut,
@@ -26,8 +27,6 @@ from whinstone.llm.common import (
     unsettled,
 )
 
-#: A-Z to a-z, byte by byte: no other UTF-8 byte changes.
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLOCK_WORDS = 1 << 16
 #: Fingerprints of at most this many differing bits link; two segments then differ in at most one bit in one of them.
 MAX_BITS = 3
