@@ -56,7 +56,7 @@ def token_counts(
     misses.mapInArrow(_encode(tokenizer, key), CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == key)
     # two writers may have appended the same digest: one row of it counts
-    counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = cut(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")  # AQE can then split a hot digest
     return narrow.join(counts, "digest", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
