@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from whinstone.llm.decontamination import contamination
 from whinstone.llm.masked_lm import masked_lm_scores
 from whinstone.llm.packing import pack_documents
 from whinstone.llm.simhash import hexadecimal, near_duplicates
@@ -26,6 +27,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
     return packed.select(
@@ -74,6 +79,7 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
 
 def queries() -> dict:
     return {
+        "op3_decontamination": op3_decontamination,
         "op6_packing": op6_packing,
         "op7_url_filter": op7_url_filter,
         "op8_token_counts": op8_token_counts,
