@@ -10,6 +10,7 @@ from whinstone.llm.masked_lm import masked_lm_scores
 from whinstone.llm.packing import pack_documents
 from whinstone.llm.simhash import hexadecimal, near_duplicates
 from whinstone.llm.token_counts import token_counts
+from whinstone.llm.toxicity import toxicity
 from whinstone.llm.url_filter import judge_urls
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,6 +32,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
     return packed.select(
@@ -80,6 +85,7 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
 def queries() -> dict:
     return {
         "op3_decontamination": op3_decontamination,
+        "op4_toxicity": op4_toxicity,
         "op6_packing": op6_packing,
         "op7_url_filter": op7_url_filter,
         "op8_token_counts": op8_token_counts,
