@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from whinstone.llm.decontamination import contamination
 from whinstone.llm.masked_lm import masked_lm_scores
 from whinstone.llm.packing import pack_documents
+from whinstone.llm.quality import importance_sample
 from whinstone.llm.simhash import hexadecimal, near_duplicates
 from whinstone.llm.token_counts import token_counts
 from whinstone.llm.toxicity import toxicity
@@ -28,6 +29,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -84,6 +89,7 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
 
 def queries() -> dict:
     return {
+        "op2_quality": op2_quality,
         "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
         "op6_packing": op6_packing,
