@@ -18,7 +18,8 @@ SIDE, WIDTH, CLASSES, PER_CLASS = 2, 16, 32, 32
 VOCABULARY = CLASSES * PER_CLASS
 #: Words outside the vocabulary fall into this many buckets by hash; they take the last ids.
 UNKNOWN = 256
-STEP = 8192
+#: Positions of a training step, and of a scoring block.
+STEP, BLOCK = 8192, 16384
 FIXED_POINT = 1e6
 _OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 
@@ -36,9 +37,9 @@ class Words(dict):
 
 def word_ids(words: Words, text: bytes | None) -> np.ndarray:
     if not text:
-        return np.empty(0, np.int32)
+        return np.empty(0, np.int16)
     get = words.__getitem__
-    return np.concatenate([np.array(list(map(get, b.translate(LOWER).split())), np.int32) for b in text_blocks(text)])
+    return np.concatenate([np.array(list(map(get, b.translate(LOWER).split())), np.int16) for b in text_blocks(text)])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,14 +75,24 @@ def initial_model(counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     }
 
 
+_ONES = np.ones(max(CLASSES, PER_CLASS), np.float32)
+
+
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the rows of x, and their sums. Hidden values lie within -1 and 1, so logits stay small; 80 keeps float32 finite."""
+    e = np.exp(np.minimum(x, 80, out=x))
+    return e, e @ _ONES[: x.shape[1]]
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    e, total = _exp(x)
+    e /= total[:, None]
+    return e
 
 
 def _forward(model: dict, ids: np.ndarray, at: np.ndarray):
     """Hidden values of positions `at` of ids (padded with VOCABULARY on both sides), and their words sorted by class."""
-    h = sum(model["embed"][k][ids[at + o]] for k, o in enumerate(_OFFSETS))
+    h = sum(model["embed"][k].take(ids[at + o], axis=0) for k, o in enumerate(_OFFSETS))
     h = np.tanh(h)
     target = ids[at]
     cls = target // PER_CLASS
@@ -93,20 +104,17 @@ def _forward(model: dict, ids: np.ndarray, at: np.ndarray):
 def log_probabilities(model: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log p(word | the words around it) at each position."""
     out = np.empty(len(at), np.float64)
-    for lo in range(0, len(at), STEP):
-        here = at[lo : lo + STEP]
+    for lo in range(0, len(at), BLOCK):
+        here = at[lo : lo + BLOCK]
         h, target, cls, order, bounds = _forward(model, ids, here)
         x = h @ model["class_w"] + model["class_b"]
-        m = x.max(axis=1)
-        got = x[np.arange(len(here)), cls] - m - np.log(np.exp(x - m[:, None]).sum(axis=1))
-        got = got.astype(np.float64)
+        got = (x[np.arange(len(here)), cls] - np.log(_exp(x)[1])).astype(np.float64)
         for c in range(CLASSES):
             rows = order[bounds[c] : bounds[c + 1]]
             if len(rows):
-                x = h[rows] @ model["word_w"][c] + model["word_b"][c]
-                m = x.max(axis=1)
-                got[rows] += x[np.arange(len(rows)), target[rows] % PER_CLASS] - m - np.log(np.exp(x - m[:, None]).sum(axis=1))
-        out[lo : lo + STEP] = got
+                x = h.take(rows, axis=0) @ model["word_w"][c] + model["word_b"][c]
+                got[rows] += x[np.arange(len(rows)), target[rows] % PER_CLASS] - np.log(_exp(x)[1])
+        out[lo : lo + BLOCK] = got
     return out
 
 
@@ -131,7 +139,7 @@ class Trainer:
         for c in range(CLASSES):
             rows = order[bounds[c] : bounds[c + 1]]
             if len(rows):
-                hr = h[rows]
+                hr = h.take(rows, axis=0)
                 q = _softmax(hr @ model["word_w"][c] + model["word_b"][c])
                 q[np.arange(len(rows)), target[rows] % PER_CLASS] -= 1
                 q /= n
@@ -141,8 +149,9 @@ class Trainer:
         for k, o in enumerate(_OFFSETS):
             around = ids[at + o]
             by = np.argsort(around, kind="stable")
-            values, starts = np.unique(around[by], return_index=True)
-            g["embed"][k][values] = np.add.reduceat(gh[by], starts, axis=0)
+            around = around[by]
+            starts = np.flatnonzero(np.append(True, around[1:] != around[:-1]))
+            g["embed"][k][around[starts]] = np.add.reduceat(gh.take(by, axis=0), starts, axis=0)
         self.t += 1
         scale = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
@@ -153,7 +162,7 @@ class Trainer:
 
 def _join(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Documents' ids in one array with padding between them, and the positions of words in it."""
-    pad = np.full(SIDE, VOCABULARY, np.int32)
+    pad = np.full(SIDE, VOCABULARY, np.int16)
     ids = np.concatenate([pad, *[x for p in parts for x in (p, pad)]])
     return ids, np.flatnonzero(ids != VOCABULARY)
 
