@@ -240,3 +240,47 @@ def text_blocks(text: bytes, size: int = TEXT_BLOCK) -> Iterator[bytes]:
         yield text[start:at]
         start = at
     yield text[start:]
+
+
+# --- edit distance ----------------------------------------------------------------------------------------------------
+
+
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Levenshtein distance of a and b, or most + 1 where it is larger. Common ends are cut off first; the rest is Myers' bit-parallel
+    recurrence, with a column as two integers of len(a) bits."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    n = min(len(a), len(b))
+    lo = 0
+    while lo < n and a[lo : lo + 64] == b[lo : lo + 64]:
+        lo = min(n, lo + 64)
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if not a or not b:
+        return len(a) + len(b)
+    m = len(a)
+    peq: dict[str, int] = {}
+    for i, c in enumerate(a):
+        peq[c] = peq.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score = full, 0, m
+    for j, c in enumerate(b, 1):
+        eq = peq.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (full & ~(xh | pv))
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        ph = ph << 1 | 1
+        pv = full & ((mh << 1) | ~(xv | ph))
+        mv = ph & xv
+        if score - (len(b) - j) > most:
+            return most + 1
+    return score

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whinstone.llm.decontamination import contamination
+from whinstone.llm.line_dedup import dedup_lines
 from whinstone.llm.masked_lm import masked_lm_scores
 from whinstone.llm.packing import pack_documents
 from whinstone.llm.quality import importance_sample
@@ -41,6 +42,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_kept", "n_dropped", "text")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
     return packed.select(
@@ -92,6 +97,7 @@ def queries() -> dict:
         "op2_quality": op2_quality,
         "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
+        "op5_line_dedup": op5_line_dedup,
         "op6_packing": op6_packing,
         "op7_url_filter": op7_url_filter,
         "op8_token_counts": op8_token_counts,
