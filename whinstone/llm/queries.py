@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whinstone.llm.decontamination import contamination
+from whinstone.llm.embedding_dedup import near_duplicate_vectors
 from whinstone.llm.line_dedup import dedup_lines
 from whinstone.llm.masked_lm import masked_lm_scores
 from whinstone.llm.packing import pack_documents
@@ -30,6 +31,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -92,8 +97,24 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
 """
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON v.vec_id = c.a
+"""
+
+
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_quality": op2_quality,
         "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
@@ -107,4 +128,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op7_url_filter": OP7_SQL}
