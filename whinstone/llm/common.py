@@ -58,6 +58,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    _written.append((spark, path))
+
+
 def release(df: DataFrame) -> None:
     """Delete a table that cut() wrote and that no later plan reads."""
     path = getattr(df, "_whinstone_path", None)
@@ -134,6 +138,24 @@ def spanning_edges(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> l
     return edges
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that pairs (a, b) join, as edges from each id to the smallest of its part: what a task sends of all it has linked."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = list(range(len(nodes)))
+    for i, j in zip(code[: len(a)].tolist(), code[len(a) :].tolist(), strict=True):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        while root[j] != j:
+            root[j] = j = root[root[j]]
+        if i != j:
+            root[max(i, j)] = min(i, j)
+    top = np.array(root, np.int64)
+    while len(top) and not np.array_equal(up := top[top], top):
+        top = up
+    own = np.arange(len(nodes))
+    return nodes[own != top], nodes[top[own != top]]
+
+
 # --- connected components ---------------------------------------------------------------------------------------------
 
 

@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whinstone.llm.common import components, cut, pick
+from whinstone.llm.common import components, cut, pick, stars
 from whinstone.llm.hnsw import Graph, unit
 
 #: Points of a shard at most, and shards at least: every vector asks every shard, so shards stay few while each fits a task.
-SHARD_ROWS, MIN_SHARDS = 200_000, 6
-BEAM, AUDIT, AUDIT_TOP, AUDIT_RECALL = 32, 64, 10, 0.95
+SHARD_ROWS, MIN_SHARDS = 200_000, 3
+BEAM, AUDIT, AUDIT_RECALL = 32, 128, 0.995
+#: A wider beam than one in so many points of the shard is as wide as the shard.
+SCAN = 400
 #: Cells of the table of visited points that a search may hold.
 CELLS = 1 << 26
 
@@ -25,102 +27,98 @@ CELLS = 1 << 26
 def _build(shard: pd.DataFrame) -> pd.DataFrame:
     ids = shard["id"].to_numpy()
     by = np.argsort(ids, kind="stable")  # the same graph whatever order the rows came in
-    x = unit(np.stack(shard["embedding"].to_numpy()[by]).astype(np.float64))
-    blob = pickle.dumps((ids[by], shard["n"].to_numpy()[by], x, Graph(x)), protocol=5)
+    raw = np.stack(shard["embedding"].to_numpy()[by])
+    blob = pickle.dumps((ids[by], shard["n"].to_numpy()[by], raw, Graph(unit(raw.astype(np.float64))).packed()), protocol=5)
     return pd.DataFrame({"dim": [shard["dim"].iloc[0]], "shard": [shard["shard"].iloc[0]], "blob": [blob]})
 
 
 def _search(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, cosine) of all links found; a query whose whole beam is links asks again with a wider one."""
+    """(query, point, cosine) of all links found; a query with links in over three quarters of its beam asks again with one four times as wide."""
     found: list[tuple] = []
-    todo = np.arange(len(q))
+    todo, wider_than = np.arange(len(q)), None
     while len(todo):
         beam = min(beam, len(x))
         wider = []
-        step = max(1, min(2048, CELLS // (len(x) + 1), (1 << 22) // beam))
+        step = max(1, min(256, CELLS // (len(x) + 1), (1 << 20) // beam))
+        everything = wider_than is not None and beam * SCAN > len(x)
+        if everything:
+            step = max(1, (1 << 22) // len(x))
         for lo in range(0, len(todo), step):
             rows = todo[lo : lo + step]
+            if everything:  # the widest beam: all points, which a matrix product compares faster than a walk
+                a, point = np.nonzero(q[rows] @ x.T >= least - 1e-9)
+                who = rows[a]
+                cosine = np.einsum("ij,ij->i", q[who], x[point])
+                ok = cosine >= least
+                found.append((who[ok], point[ok], cosine[ok]))
+                continue
             ids, sims = graph.search(q[rows], beam)
-            full = (sims[:, -1] >= least - 1e-3) & (beam < len(x))
+            full = ((sims >= least - 1e-3).sum(axis=1) > 3 * beam // 4) & (beam < len(x))
             wider.append(rows[full])
             a, b = np.nonzero((sims >= least - 1e-3) & (ids >= 0) & ~full[:, None])
             who, point = rows[a], ids[a, b]
             cosine = np.einsum("ij,ij->i", q[who], x[point])
             ok = cosine >= least
             found.append((who[ok], point[ok], cosine[ok]))
-        todo = np.concatenate(wider)
-        beam *= 2
+        todo = np.concatenate(wider) if wider else todo[:0]
+        wider_than, beam = beam, beam * 4
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, int),) * 3
 
 
 def _audited(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, beam: int) -> int:
-    """The narrowest beam (doubling from `beam`) with which a sample of q finds all its links and AUDIT_RECALL of its nearest points,
-    as comparing it with every point tells."""
+    """The narrowest beam (doubling from `beam`) with which two samples find AUDIT_RECALL of the links that comparing them with every
+    point of the shard tells: one of q, and one of the shard's own points, each moved as far away as just still links."""
     at = np.unique(np.linspace(0, len(q) - 1, AUDIT).astype(int))
-    exact = q[at] @ x.T
-    links, k = exact >= least, min(AUDIT_TOP, len(x))
-    tenth = np.partition(exact, len(x) - k, axis=1)[:, len(x) - k]
+    near = x[np.unique(np.linspace(0, len(x) - 1, AUDIT).astype(int))]
+    aside = np.random.default_rng(len(x)).normal(size=near.shape)
+    aside -= np.einsum("ij,ij->i", aside, near)[:, None] * near
+    length = np.sqrt(np.einsum("ij,ij->i", aside, aside))[:, None]
+    aside = np.divide(aside, length, out=np.zeros_like(aside), where=length > 1e-12)
+    c = least + 0.1 * (1 - least)
+    sample = np.concatenate([q[at], unit(c * near + math.sqrt(1 - c * c) * aside)])
+    links = (sample @ x.T >= least).sum(axis=1)
     while beam < len(x):
-        who, _, _ = _search(graph, x, q[at], least, beam)
-        ids, _ = graph.search(q[at], max(beam, k))
-        got = np.where(ids[:, :k] >= 0, np.take_along_axis(exact, np.maximum(ids[:, :k], 0), 1), -2) >= tenth[:, None] - 1e-6
-        if len(who) >= links.sum() and got.mean() >= AUDIT_RECALL:
+        who, _, _ = _search(graph, x, sample, least, beam)
+        got = np.bincount(who, minlength=len(sample))
+        if got.sum() >= AUDIT_RECALL * links.sum() and (got > 0).sum() >= AUDIT_RECALL * (links > 0).sum():
             break
         beam *= 2
     return beam
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the pairs (a, b) those that join two parts: at most one less than the ids."""
-    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(nodes)))
-    out = []
-    for i, j in zip(code[: len(a)].tolist(), code[len(a) :].tolist(), strict=True):
-        x, y = i, j
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((nodes[i], nodes[j]))
-    return out
-
-
 def _query(least: float):
     """Rows sorted by (dim, shard, block, kind): a graph, then the vectors that ask it. Gives (a, b, n): links to n vectors of a, or
     with n = 0 an edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = weight = x = graph = None
-        beams: dict = {}
         for batch in batches:
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(kind == 0)
             for lo, hi in zip([0, *cuts], [*cuts, len(kind)], strict=True):
                 if lo < len(kind) and kind[lo] == 0 and lo < hi:
-                    ids, weight, x, graph = pickle.loads(batch.column("blob")[int(lo)].as_py())
-                    beams.clear()
+                    ids, weight, raw, packed = pickle.loads(batch.column("blob")[int(lo)].as_buffer())
+                    x = unit(raw.astype(np.float64))
+                    graph = Graph.unpacked(x, packed)
                     lo += 1
                 if lo >= hi:
                     continue
                 part = batch.slice(int(lo), int(hi - lo))
                 who = part.column("id").to_numpy(zero_copy_only=False)
-                q = unit(np.array(part.column("embedding").to_pylist(), np.float64))
-                beam = beams["last"] = _audited(graph, x, q, least, beams.get("last", BEAM))
-                a, b, _ = _search(graph, x, q, least, beam)
+                q = unit(part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(who), -1).astype(np.float64))
+                a, b, _ = _search(graph, x, q, least, _audited(graph, x, q, least, BEAM))
                 other = who[a] != ids[b]
                 a, b = a[other], b[other]
                 if not len(a):
                     continue
                 links = np.bincount(a, weights=weight[b], minlength=len(who)).astype(np.int64)
                 some = np.flatnonzero(links)
-                edges = _forest(who[a], ids[b])
+                one, other = stars(who[a], ids[b])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([who[some], np.array([e[0] for e in edges], np.int64)])),
-                        pa.array(np.concatenate([who[some], np.array([e[1] for e in edges], np.int64)])),
-                        pa.array(np.concatenate([links[some], np.zeros(len(edges), np.int64)])),
+                        pa.array(np.concatenate([who[some], one])),
+                        pa.array(np.concatenate([who[some], other])),
+                        pa.array(np.concatenate([links[some], np.zeros(len(one), np.int64)])),
                     ],
                     names=["a", "b", "n"],
                 )
@@ -134,14 +132,15 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, shard_rows:
 
     Equal vectors are one class with a count, so a hot vector meets in a map-side aggregation. Classes are dealt to shards by a hash
     of their smallest vec_id; each shard, a bounded group, becomes a graph. Every class asks every shard, block by block: a task
-    reads one graph and then streams a block's vectors. Its beam doubles until an audit against all points of the shard finds every
-    link and 95 % of the ten nearest, and doubles on for a query whose beam holds nothing but links, so large groups are found whole.
+    reads one graph and then streams a block's vectors. Its beam doubles until an audit against all points of the shard, of vectors
+    and of points moved to the edge of linking, finds 99.5 % of links, and grows on for a query with links in over three quarters of it, so large groups are found whole.
     Cosines are verified in double precision. A task sends each vector's number of links and a spanning forest of what it linked,
     never all pairs. Vectors that are null, empty or zero or have null or non-finite components link with nothing, and those of
     different lengths not with each other. Repeated rows are vectors of their own.
     """
     spark = vectors.sparkSession
-    rows = pick(vectors, vec_id="long", embedding="array<double>")
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = pick(vectors, vec_id="long", embedding=kind)
     good = F.expr(
         "embedding is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < 1e150)"
         " and exists(embedding, v -> abs(v) > 1e-150)"
@@ -159,7 +158,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, shard_rows:
     asked = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     first = graphs.select(
         "dim", "shard", asked.alias("block"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"),
-        F.lit(None).cast("array<double>").alias("embedding"), "blob",
+        F.lit(None).cast(kind).alias("embedding"), "blob",
     )
     then = classes.join(F.broadcast(graphs.select("dim", "shard")), "dim").select(
         "dim", "shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), "id",

@@ -28,7 +28,7 @@ def search_layer(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, entry: np.n
     """For each query the `beam` nearest points that a beam search from entry (one row of point numbers a query) finds, nearest
     first: numbers (-1 where there are fewer) and similarities."""
     n_q, seen = len(q), np.zeros((len(q), len(x) + 1), bool)
-    ids = np.full((n_q, beam), -1, np.int64)
+    ids = np.full((n_q, beam), -1, np.int32)
     sims = np.full((n_q, beam), -np.inf, np.float32)
     todo = np.zeros((n_q, beam), bool)
     k = min(entry.shape[1], beam)
@@ -51,20 +51,15 @@ def search_layer(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, entry: np.n
         from_ = np.where(open_, ids[rows[:, None], at], -1)
         near = np.where(from_[:, :, None] >= 0, adjacent[from_], -1).reshape(len(rows), -1)
         fresh = (near >= 0) & ~seen[rows[:, None], near]
-        # a point that two expanded nodes share counts once
-        order = np.argsort(near, axis=1, kind="stable")
-        ranked = np.take_along_axis(near, order, 1)
-        twice = np.zeros_like(fresh)
-        np.put_along_axis(twice, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], axis=1)
-        fresh &= ~twice
         seen[rows[:, None], near] = True
         seen[:, -1] = False
-        # pack the fresh ones to the left
         most = int(fresh.sum(axis=1).max()) if fresh.size else 0
         if not most:
             continue
-        pack = np.argsort(~fresh, axis=1, kind="stable")[:, :most]
-        near, fresh = np.take_along_axis(near, pack, 1), np.take_along_axis(fresh, pack, 1)
+        pack = np.argsort(~fresh, axis=1, kind="stable")[:, :most]  # the fresh ones to the left
+        near = np.sort(np.where(np.take_along_axis(fresh, pack, 1), np.take_along_axis(near, pack, 1), -1), axis=1)
+        fresh = near >= 0
+        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]  # a point that two expanded nodes share counts once
         got = np.where(fresh, _sims(x, np.maximum(near, 0), q[rows]), -np.inf).astype(np.float32)
         all_ids = np.concatenate([ids[rows], near], axis=1)
         all_sims = np.concatenate([sims[rows], got], axis=1)
@@ -78,19 +73,19 @@ def search_layer(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, entry: np.n
     return np.where(sims > -np.inf, ids, -1), sims
 
 
-def choose(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, links: int) -> np.ndarray:
-    """Of each row's candidates (nearest first, -1 for none) up to `links`: those nearer to the row's point than to any chosen before
-    them, so links spread in all directions; then the nearest of the rest."""
+def choose(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, links: int, must: np.ndarray | None = None) -> np.ndarray:
+    """Of each row's candidates (nearest first, -1 for none) up to `links`: those of `must`; those nearer to the row's point than to any
+    chosen before them, so links spread in all directions; then the nearest of the rest."""
     n, c = ids.shape
     v = x.take(np.maximum(ids, 0), axis=0)
     between = np.matmul(v, v.transpose(0, 2, 1))
     valid = (ids >= 0) & (sims > -np.inf)
-    kept = np.zeros((n, c), bool)
-    count = np.zeros(n, np.int64)
+    kept = np.zeros((n, c), bool) if must is None else must & valid & (np.cumsum(must & valid, axis=1) <= links)
+    count = kept.sum(axis=1)
     for j in range(c):
         blocked = (kept[:, :j] & (between[:, j, :j] > sims[:, j : j + 1])).any(axis=1) if j else np.zeros(n, bool)
-        take = valid[:, j] & ~blocked & (count < links)
-        kept[:, j] = take
+        take = valid[:, j] & ~kept[:, j] & ~blocked & (count < links)
+        kept[:, j] |= take
         count += take
     rest = valid & ~kept
     fill = rest & (np.cumsum(rest, axis=1) <= (links - count)[:, None])
@@ -117,10 +112,27 @@ class Graph:
         self.layers: list[np.ndarray] = [np.empty(0)] * len(self.sizes)
         for k in range(len(self.sizes) - 1, -1, -1):
             self.layers[k] = self._build(k)
+        del self.parent
+
+    def packed(self) -> tuple:
+        """All but the points; small numbers in small types."""
+        kind = np.int16 if len(self.x) < 1 << 15 else np.int32
+        return self.order.astype(np.int32), self.sizes, [a.astype(kind) for a in self.layers]
+
+    @classmethod
+    def unpacked(cls, x: np.ndarray, packed: tuple) -> Graph:
+        """The graph of the same points again."""
+        out = cls.__new__(cls)
+        order, out.sizes, layers = packed
+        out.order = order.astype(np.int64)
+        out.x = np.ascontiguousarray(x[out.order], np.float32)
+        out.layers = [a.astype(np.int32) for a in layers]
+        return out
 
     def _build(self, k: int) -> np.ndarray:
         n = self.sizes[k]
-        adjacent = np.full((n, MOST), -1, np.int64)
+        adjacent = np.full((n, MOST), -1, np.int32)
+        self.parent = np.full(n, -1, np.int64)  # the nearest point a point chose: it keeps its link back, so all can be reached
         first = min(n, EXACT)
         block = self.x[:first]
         for lo in range(0, first, BATCH):
@@ -128,11 +140,16 @@ class Graph:
             s[np.arange(len(s)), lo + np.arange(len(s))] = -np.inf
             width = min(BUILD_BEAM, first)
             near = np.argsort(-s, axis=1, kind="stable")[:, :width]
-            adjacent[lo : lo + BATCH] = choose(self.x, near, np.take_along_axis(s, near, 1), MOST)
+            adjacent[lo : lo + BATCH, :LINKS] = choose(self.x, near, np.take_along_axis(s, near, 1), LINKS)
+        self.parent[:first] = adjacent[:first, 0]
+        self._back(adjacent, np.repeat(np.arange(first), LINKS), adjacent[:first, :LINKS].ravel())
         for lo in range(first, n, BATCH):
             hi = min(n, lo + BATCH)
             q = self.x[lo:hi]
-            near, sims = search_layer(self.x[:lo], adjacent[:lo], q, self._entry(q, k), BUILD_BEAM)
+            entry = self._entry(q, k)
+            entry = np.where(entry < lo, entry, 0)  # points of the layer above that aren't in this one yet
+            entry[:, 1:][entry[:, 1:] == 0] = -1
+            near, sims = search_layer(self.x[:lo], adjacent[:lo], q, entry, BUILD_BEAM)
             own = q @ q.T
             np.fill_diagonal(own, -np.inf)
             width = min(LINKS, hi - lo)
@@ -143,6 +160,7 @@ class Graph:
             near, sims = np.take_along_axis(near, by, 1), np.take_along_axis(sims, by, 1)
             chosen = choose(self.x, near, sims, LINKS)
             adjacent[lo:hi, :LINKS] = chosen
+            self.parent[lo:hi] = chosen[:, 0]
             self._back(adjacent, np.repeat(np.arange(lo, hi), LINKS), chosen.ravel())
         return adjacent
 
@@ -162,7 +180,9 @@ class Graph:
             ids = np.concatenate([adjacent[w], more], axis=1)
             sims = np.where(ids >= 0, _sims(self.x, np.maximum(ids, 0), self.x[w]), -np.inf)
             near = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * MOST]
-            adjacent[w] = choose(self.x, np.take_along_axis(ids, near, 1), np.take_along_axis(sims, near, 1), MOST)
+            ids = np.take_along_axis(ids, near, 1)
+            must = (ids >= 0) & (self.parent[ids] == w[:, None])
+            adjacent[w] = choose(self.x, ids, np.take_along_axis(sims, near, 1), MOST, must)
 
     def _entry(self, q: np.ndarray, k: int, beam: int = 8) -> np.ndarray:
         """Points of layer k from which to search it: the best that the layers above find."""
