@@ -24,6 +24,7 @@ from whinstone.llm.common import (
     salted,
     sorted_runs,
     spanning_edges,
+    stars,
     unsettled,
 )
 
@@ -123,9 +124,8 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out_a.append(ids[lo + e[:, 0]])
                 out_b.append(ids[lo + e[:, 1]])
         if out_a:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"]
-            )
+            a, b = stars(np.concatenate(out_a), np.concatenate(out_b))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _link_open(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -176,9 +176,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, bucket_ro
         .sortWithinPartitions("key", "salt")
         .mapInArrow(_link, "a long, b long")
     )
-    edges = cut(edges.distinct(), "links")
-    comp = components(edges)
-    if hot is not None:
+    if hot is None:
+        comp = components(edges)
+    else:
+        edges = cut(edges.distinct(), "links")
+        comp = components(edges)
         minority, everything = unsettled(rows, hot, comp)
         more = (
             minority.groupBy("key", "salt").cogroup(everything.groupBy("key", "salt")).applyInPandas(_link_open, "a long, b long")

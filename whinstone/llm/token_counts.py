@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whinstone.llm.common import cut, pick, shared_dir
+from whinstone.llm.common import cut, forget_at_exit, pick, shared_dir
 from whinstone.llm.tokens import count_tokens, version
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -46,7 +46,9 @@ def token_counts(
     """
     spark = docs.sparkSession
     key = version(tokenizer)
-    cache = cache or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    if cache is None:
+        cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+        forget_at_exit(spark, cache)
     base = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     base = base.withColumn("digest", F.unhex(F.sha2("text", 256)))
     narrow = cut(base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
