@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
-_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,42 +24,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
-def _forget() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session has ended before us
-            return
-
-
-atexit.register(_forget)
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder with the file system that it belongs to."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete a folder when it ends."""
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: the lineage ends there, and a lost executor costs a file read.
 
-    The table is deleted when the driver's process ends (or by release()).
+    The table is deleted when the driver's JVM ends (or by release()).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/whinstone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    forget_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._whinstone_path = path
     return out
 
 
-def forget_at_exit(spark: SparkSession, path: str) -> None:
-    _written.append((spark, path))
-
-
 def release(df: DataFrame) -> None:
     """Delete a table that cut() wrote and that no later plan reads."""
     path = getattr(df, "_whinstone_path", None)

@@ -46,9 +46,8 @@ def token_counts(
     """
     spark = docs.sparkSession
     key = version(tokenizer)
-    if cache is None:
-        cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
-        forget_at_exit(spark, cache)
+    unnamed = cache is None
+    cache = cache or f"{shared_dir(spark)}/whinstone-token-counts-{uuid.uuid4().hex}"
     base = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     base = base.withColumn("digest", F.unhex(F.sha2("text", 256)))
     narrow = cut(base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
@@ -56,6 +55,8 @@ def token_counts(
     if (known := _read_cache(spark, cache)) is not None:
         misses = misses.join(known.where(F.col("tokenizer") == key).select("digest").distinct(), "digest", "left_anti")
     misses.mapInArrow(_encode(tokenizer, key), CACHE).write.mode("append").parquet(cache)
+    if unnamed:
+        forget_at_exit(spark, cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == key)
     # two writers may have appended the same digest: one row of it counts
     counts = cut(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")  # AQE can then split a hot digest
