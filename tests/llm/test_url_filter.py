@@ -24,10 +24,10 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_against_plain_rules(spark, monkeypatch, bounded):
-    if not bounded:
-        monkeypatch.setattr(U, "MAX_FILTER_BYTES", 0)
+@pytest.mark.parametrize("bound", [None, "MAX_FILTER_BYTES", "MAX_SHAPES"])
+def test_against_plain_rules(spark, monkeypatch, bound):
+    if bound:
+        monkeypatch.setattr(U, bound, 0)
     rng = random.Random(1)
     urls = URLS + [f"http://{rng.choice(['a', 'b.c', 'example'])}.{rng.choice(['com', 'net', 'org', 'example.com'])}/{rng.choice(['en', 'de', 'es'])}/{rng.randint(0, 99)}" for _ in range(300)]
     urls += ["http://hot.com/en/1"] * 200

@@ -16,7 +16,7 @@ SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B,
 KEYS_PER_BLOCK = 16
 #: The filter is broadcast up to this size only (1 GB of list makes about 40 MB of filter); beyond it the exact join does without.
 MAX_FILTER_BYTES = 64 << 20
-#: Distinct (labels, path length) shapes of a list that are enumerated for each URL.
+#: Distinct (labels, path length) shapes of a list up to which only they are tried for each URL; beyond, all of the URL's own are.
 MAX_SHAPES = 4096
 
 
@@ -65,9 +65,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", unlisted: s
         F.size(F.split("r_host", r"\.")).alias("k"), F.length("r_path").alias("n")
     ).distinct()
     shapes = [(r["k"], r["n"]) for r in shapes.limit(MAX_SHAPES + 1).collect()]
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"the list has over {MAX_SHAPES} shapes of rules")
-
     host, path = canonical(F.col(f"`{url}`"))
     rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     whole = pages.select(*[F.col(f"`{c}`") for c in rest], host.alias("host"), path.alias("path"))
@@ -76,17 +73,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", unlisted: s
 
     asked = whole.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    candidates = [
-        F.when(
-            (F.size(labels) >= k) & (F.length("path") >= n),
-            F.struct(
-                F.array_join(F.slice(labels, F.greatest(F.size(labels) - k + 1, F.lit(1)), F.lit(k)), ".").alias("r_host"),
-                F.substring("path", 1, n).alias("r_path"),
-            ),
-        )
-        for k, n in shapes
-    ]
-    tried = asked.select("host", "path", F.explode(F.array(*candidates)).alias("c")).where("c is not null")
+
+    def candidate(k: F.Column, n: F.Column) -> F.Column:
+        last = F.slice(labels, F.greatest(F.size(labels) - k + 1, F.lit(1)), k)
+        return F.struct(F.array_join(last, ".").alias("r_host"), F.substr("path", F.lit(1), n).alias("r_path"))
+
+    if len(shapes) <= MAX_SHAPES:
+        fitting = [
+            F.when((F.size(labels) >= k) & (F.length("path") >= n), candidate(F.lit(k), F.lit(n))) for k, n in shapes
+        ]
+        tried = asked.select("host", "path", F.explode(F.array(*fitting)).alias("c")).where("c is not null")
+    else:  # a list of too many shapes: every host suffix with every beginning of the path
+        each = asked.select("host", "path", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("k"))
+        each = each.select("*", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n"))
+        tried = each.select("host", "path", candidate(F.col("k"), F.col("n")).alias("c"))
     tried = tried.select("host", "path", "c.*").withColumn("h", F.xxhash64("r_host", "r_path"))
 
     blocks = max(1, -(-listed.count() // KEYS_PER_BLOCK))
