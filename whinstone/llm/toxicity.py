@@ -22,7 +22,8 @@ débile imbécile minable ordure salaud asqueroso basura cerdo estúpido imbéci
 SECOND_PERSON = "you your yours yourself u ur ya du dich dir dein deine ihr euch tu toi ton vous votre tú usted ustedes vosotros".split()
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_MASKED = re.compile(rb"[A-Za-z\x80-\xff]+(?:[*@$#!0-9._-]+[A-Za-z\x80-\xff]+)+")
+# possessive, and only from a word's beginning: linear even for a word as long as a book
+_MASKED = re.compile(rb"(?<![A-Za-z\x80-\xff])[A-Za-z\x80-\xff]++(?:[*@$#!0-9._-]++[A-Za-z\x80-\xff]++)++")
 _PLAIN = bytes.maketrans(b"0134578@$!", b"oieastbasi")
 _STRIP = b"*#._-"
 _UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
