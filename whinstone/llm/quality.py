@@ -134,14 +134,16 @@ def _labelled(labels: DataFrame, max_rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, seed: int = 11) -> Ratio:
-    """Raw model: n-grams of all documents. Target model: those of documents labelled 1, of at most max_rows labelled rows (by a
-    hash of doc_id; their ids are broadcast, at most 12 bytes each). Tasks count into arrays of fixed size, which Spark sums.
+    """Raw model: n-grams of all documents. Target model: those of documents labelled 1, of one half of at most max_rows labelled rows
+    (by a hash of doc_id; their ids are broadcast, at most 12 bytes each). Tasks count into arrays of fixed size, which Spark sums.
 
-    The cut is the mean log ratio with the best balanced accuracy on the labelled rows; without labels of both kinds, none.
+    The cut is the mean log ratio with the best balanced accuracy on the other half, which the target model has not seen; without
+    labels of both kinds, none.
     """
     known = F.broadcast(_labelled(labels, max_rows))
     texts = pick(docs, doc_id="long", text="string").join(known, "doc_id", "left")
-    counts = texts.select("text", "quality").mapInArrow(_count, "slot int, raw long, target long")
+    fold = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2))
+    counts = texts.select("text", F.when(fold == 0, F.col("quality")).alias("quality")).mapInArrow(_count, "slot int, raw long, target long")
     counts = counts.groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS * FAMILIES), np.zeros(BUCKETS * FAMILIES)
     raw[counts["slot"]], target[counts["slot"]] = counts["raw"], counts["target"]
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, seed: int =
     p = (raw + 0.5) / (raw.sum(1, keepdims=True) + 0.5 * BUCKETS)
     q = (target + PRIOR * p) / (target.sum(1, keepdims=True) + PRIOR)
     ratio = Ratio((np.log(q) - np.log(p)).ravel() if target.any() else np.zeros(raw.size))
-    graded = texts.where("quality is not null").select("doc_id", "text", "quality")
+    graded = texts.where("quality is not null").where(fold == 1).select("doc_id", "text", "quality")
     scored = graded.select("doc_id", "text").mapInArrow(_weigh(ratio, seed), "doc_id long, log_weight double, sample_key double")
     rows = scored.join(known, "doc_id").select("log_weight", "quality").limit(2 * max_rows).toPandas()
     ratio.cut = best_cut(rows["log_weight"].to_numpy(float), rows["quality"].to_numpy(int))
