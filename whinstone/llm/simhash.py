@@ -33,17 +33,12 @@ BLOCK_WORDS = 1 << 16
 MAX_BITS = 3
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """SimHash of the UTF-8 text: its words (runs without ASCII white space), their shingles' XXH64, and the strict majority of
-    each bit. Fewer words than a shingle: all of them together; none, or null: zero."""
-    words = text.translate(LOWER).split() if text else []
-    if not words:
-        return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    ones, n = np.zeros(64, np.int64), len(words) - shingle + 1
+def digests(words: list[bytes], shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """The XXH64 of the words' shingles, in blocks. Fewer words than a shingle: all of them together; none: nothing."""
+    if words and len(words) < shingle:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, BLOCK_WORDS):
+    for at in range(0, len(words) - shingle + 1, BLOCK_WORDS):
         block = words[at : at + BLOCK_WORDS + shingle - 1]
         joined = b" ".join(block)
         ends, p = [], -1
@@ -51,9 +46,18 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
             p += len(w) + 1
             ends.append(p)
         starts = [0] + [e + 1 for e in ends[: len(block) - shingle]]
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], "<u8")
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], "<u8")
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """SimHash of the UTF-8 text: its words (runs without ASCII white space), their shingles' XXH64, and the strict majority of
+    each bit. Fewer words than a shingle: all of them together; none, or null: zero."""
+    words = text.translate(LOWER).split() if text else []
+    ones, n = np.zeros(64, np.int64), 0
+    for h in digests(words, shingle, seed):
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
