@@ -230,6 +230,34 @@ def test_masked_lm(spark):
     assert masked_lm_scores(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("head", [100_000, 300, 0])
+def test_masked_lm_rare_words(spark, head):
+    """Words outside the vocabulary score their own share of their bucket, by corpus counts; words that aren't there, one kind's."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    docs = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(3000)], k=80))) for i in range(300)]
+    vocabulary, model = fit(spark.createDataFrame(docs, SCHEMA), head=head)
+    counts = Counter(w for _, t in docs for w in t.split())
+    lm, ask = LmWords(vocabulary), [*docs[:40], (1000, "zzqx zzqy"), (1001, "w1 zzqx w2900 w2"), docs[0]]
+    bucket = {w: int(word_ids(lm, w.encode())[0]) for w in {*counts, *"zzqx zzqy".split()} if w.encode() not in vocabulary}
+    assert len(counts) > 1000 and all(b >= VOCABULARY - 256 for b in bucket.values())
+    total, kinds = Counter(), Counter()
+    for w, b in bucket.items():
+        total[b] += counts[w]
+        kinds[b] += counts[w] > 0
+    rows = {r["doc_id"]: r["log_prob"] for r in score(spark.createDataFrame(ask, SCHEMA), vocabulary, model).collect()}
+    for d, text in ask:
+        own = [np.log((counts[w] + 1) / (total[bucket[w]] + kinds[bucket[w]] + 1)) for w in text.split() if w in bucket]
+        ids = [int(x) for x in word_ids(lm, text.encode())]
+        assert rows[d] == pytest.approx(plain_log_probability(model, ids) + sum(own), rel=1e-4)
+
+
+def test_vocabulary_grows():
+    from whinstone.llm.masked_lm import side
+
+    assert side(0) ** 2 == side(4_000_000) ** 2 == VOCABULARY < side(20_000_000) ** 2 < side(5_000_000_000) ** 2
+
+
 def test_probabilities_sum_to_one():
     model = initial_model(np.random.default_rng(0).integers(1, 50, VOCABULARY).astype(float))
     at = np.full(VOCABULARY, 2)

@@ -2,44 +2,80 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whinstone.llm.common import LOWER, binary_texts, pick, text_blocks
+from whinstone.llm.common import LOWER, binary_texts, cut, pick, text_blocks
 
-#: Context words on each side, width of the hidden layer, and output classes x words per class (a two-level softmax).
+#: Context words on each side, width of the hidden layer, and the least output classes x words per class (a two-level softmax).
 SIDE, WIDTH, CLASSES, PER_CLASS = 2, 16, 32, 32
 VOCABULARY = CLASSES * PER_CLASS
 #: Words outside the vocabulary fall into this many buckets by hash; they take the last ids.
 UNKNOWN = 256
+#: From so many words on the vocabulary grows with the cube root of the corpus.
+LEAST_WORDS = 1 << 22
+#: Counts of so many words outside the vocabulary, the most frequent, go to the tasks; those of the others are joined.
+HEAD = 100_000
 #: Positions of a training step, and of a scoring block.
 STEP, BLOCK = 8192, 16384
 FIXED_POINT = 1e6
 _OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 
 
+def side(n_words: int) -> int:
+    """Classes, and words per class, for a corpus of so many words."""
+    return round(CLASSES * max(1.0, n_words / LEAST_WORDS) ** (1 / 6))
+
+
+def _hash(word: bytes) -> int:
+    """63 bits: those of Spark's xxhash64 but the last."""
+    return xxhash.xxh64_intdigest(word, 42) >> 1
+
+
+class Vocabulary(dict):
+    """word: id. Ids end at `size`; counts are those of words outside: per bucket (`totals`, `kinds`), of frequent ones by word
+    (`head`), of all others by hash (`tail`: h, n)."""
+
+    size, head = VOCABULARY, {}
+    totals = kinds = np.zeros(UNKNOWN, np.int64)
+    tail: DataFrame | None = None
+
+
 class Words(dict):
-    """Ids of words as bytes; unknown ones are hashed and remembered, up to a bound."""
+    """Codes of words as bytes: the id, or for unknown ones -1 - hash, remembered up to a bound."""
+
+    def __init__(self, vocabulary: dict, size: int | None = None):
+        super().__init__(vocabulary)
+        self.size = size or getattr(vocabulary, "size", VOCABULARY)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
-            for w in [w for w, i in self.items() if i >= VOCABULARY - UNKNOWN]:
+            for w in [w for w, i in self.items() if i < 0]:
                 del self[w]
-        self[word] = at = VOCABULARY - UNKNOWN + zlib.crc32(word) % UNKNOWN
-        return at
+        self[word] = code = -1 - _hash(word)
+        return code
 
 
-def word_ids(words: Words, text: bytes | None) -> np.ndarray:
+def word_codes(words: Words, text: bytes | None) -> np.ndarray:
     if not text:
-        return np.empty(0, np.int16)
+        return np.empty(0, np.int64)
     get = words.__getitem__
-    return np.concatenate([np.array(list(map(get, b.translate(LOWER).split())), np.int16) for b in text_blocks(text)])
+    return np.concatenate([np.array(list(map(get, b.translate(LOWER).split())), np.int64) for b in text_blocks(text)])
+
+
+def code_ids(codes: np.ndarray, size: int) -> np.ndarray:
+    """Ids of codes: unknown words' buckets."""
+    return np.where(codes < 0, size - UNKNOWN + (-1 - codes) % UNKNOWN, codes).astype(np.int32)
+
+
+def word_ids(words: Words, text: bytes | None) -> np.ndarray:
+    return code_ids(word_codes(words, text), words.size)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,23 +101,21 @@ def initial_model(counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     """Small random weights; the biases are the log frequencies, so training begins at the unigram model."""
     rng = np.random.default_rng(seed)
     p = (counts + 1.0) / (counts.sum() + len(counts))
-    by_class = p.reshape(CLASSES, PER_CLASS)
+    n = round(len(counts) ** 0.5)
+    by_class = p.reshape(n, n)
     return {
-        "embed": rng.normal(0, 0.1, (2 * SIDE, VOCABULARY + 1, WIDTH)).astype(np.float32),
-        "class_w": rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32),
+        "embed": rng.normal(0, 0.1, (2 * SIDE, len(counts) + 1, WIDTH)).astype(np.float32),
+        "class_w": rng.normal(0, 0.1, (WIDTH, n)).astype(np.float32),
         "class_b": np.log(by_class.sum(1)).astype(np.float32),
-        "word_w": rng.normal(0, 0.1, (CLASSES, WIDTH, PER_CLASS)).astype(np.float32),
+        "word_w": rng.normal(0, 0.1, (n, WIDTH, n)).astype(np.float32),
         "word_b": np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32),
     }
 
 
-_ONES = np.ones(max(CLASSES, PER_CLASS), np.float32)
-
-
 def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp of the rows of x, and their sums. Hidden values lie within -1 and 1, so logits stay small; 80 keeps float32 finite."""
     e = np.exp(np.minimum(x, 80, out=x))
-    return e, e @ _ONES[: x.shape[1]]
+    return e, e @ np.ones(x.shape[1], np.float32)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -91,13 +125,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _forward(model: dict, ids: np.ndarray, at: np.ndarray):
-    """Hidden values of positions `at` of ids (padded with VOCABULARY on both sides), and their words sorted by class."""
+    """Hidden values of positions `at` of ids (padded with the vocabulary's size on both sides), and their words sorted by class."""
     h = sum(model["embed"][k].take(ids[at + o], axis=0) for k, o in enumerate(_OFFSETS))
     h = np.tanh(h)
     target = ids[at]
-    cls = target // PER_CLASS
+    classes, _, per_class = model["word_w"].shape
+    cls = target // per_class
     order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    bounds = np.searchsorted(cls[order], np.arange(classes + 1))
     return h, target, cls, order, bounds
 
 
@@ -109,11 +144,11 @@ def log_probabilities(model: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarra
         h, target, cls, order, bounds = _forward(model, ids, here)
         x = h @ model["class_w"] + model["class_b"]
         got = (x[np.arange(len(here)), cls] - np.log(_exp(x)[1])).astype(np.float64)
-        for c in range(CLASSES):
+        for c in range(len(model["word_w"])):
             rows = order[bounds[c] : bounds[c + 1]]
             if len(rows):
                 x = h.take(rows, axis=0) @ model["word_w"][c] + model["word_b"][c]
-                got[rows] += x[np.arange(len(rows)), target[rows] % PER_CLASS] - np.log(_exp(x)[1])
+                got[rows] += x[np.arange(len(rows)), target[rows] % model["word_w"].shape[2]] - np.log(_exp(x)[1])
         out[lo : lo + BLOCK] = got
     return out
 
@@ -136,12 +171,12 @@ class Trainer:
         p /= n
         g["class_w"], g["class_b"] = h.T @ p, p.sum(0)
         gh = p @ model["class_w"].T
-        for c in range(CLASSES):
+        for c in range(len(model["word_w"])):
             rows = order[bounds[c] : bounds[c + 1]]
             if len(rows):
                 hr = h.take(rows, axis=0)
                 q = _softmax(hr @ model["word_w"][c] + model["word_b"][c])
-                q[np.arange(len(rows)), target[rows] % PER_CLASS] -= 1
+                q[np.arange(len(rows)), target[rows] % model["word_w"].shape[2]] -= 1
                 q /= n
                 g["word_w"][c], g["word_b"][c] = hr.T @ q, q.sum(0)
                 gh[rows] += q @ model["word_w"][c].T
@@ -160,19 +195,21 @@ class Trainer:
             model[k] -= (scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
 
 
-def _join(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _join(parts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents' ids in one array with padding between them, and the positions of words in it."""
-    pad = np.full(SIDE, VOCABULARY, np.int16)
+    pad = np.full(SIDE, size, np.int32)
     ids = np.concatenate([pad, *[x for p in parts for x in (p, pad)]])
-    return ids, np.flatnonzero(ids != VOCABULARY)
+    return ids, np.flatnonzero(ids != size)
 
 
 def _train(model: dict, vocabulary: dict, rate: float):
+    n_ids, vocabulary = model["embed"].shape[1] - 1, dict(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, trainer, total, parts, size = Words(vocabulary), Trainer(model, rate), 0, [], 0
+        words, trainer, total, parts, size = Words(vocabulary, n_ids), Trainer(model, rate), 0, [], 0
 
         def learn():
-            ids, at = _join(parts)
+            ids, at = _join(parts, n_ids)
             for lo in range(0, len(at), STEP):
                 trainer.step(ids, at[lo : lo + STEP])
 
@@ -199,50 +236,83 @@ def _train(model: dict, vocabulary: dict, rate: float):
     return run
 
 
-def _score(model: dict, vocabulary: dict):
+def _score(model: dict, vocabulary: Vocabulary):
+    n_ids, head = vocabulary.size, list(vocabulary.head)
+    codes = dict(vocabulary) | {w: n_ids + i for i, w in enumerate(head)}
+    buckets = np.array([_hash(w) % UNKNOWN for w in head], np.int64)
+    logs = np.log(np.array([vocabulary.head[w] for w in head], np.float64) + 1)
+    below = np.log(vocabulary.totals + vocabulary.kinds + 1.0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(vocabulary)
+        words = Words(codes, n_ids)
         for batch in batches:
-            parts = [word_ids(words, t) for t in binary_texts(batch.column("text"))]
-            sizes = np.array([len(p) for p in parts], np.int64)
-            sums = np.zeros(len(parts))
+            parts = [word_codes(words, t) for t in binary_texts(batch.column("text"))]
             first = 0
             while first < len(parts):  # a few documents at a time
                 last, size = first, 0
                 while last < len(parts) and (last == first or size < 1 << 19):
-                    size += sizes[last]
+                    size += len(parts[last])
                     last += 1
+                here = parts[first:last]
+                sizes = np.array([len(p) for p in here], np.int64)
+                sums, flat = np.zeros(len(here)), np.concatenate(here)
+                far = flat < 0
                 if size:
-                    ids, at = _join(parts[first:last])
-                    got = log_probabilities(model, ids, at)
-                    doc = np.repeat(np.arange(first, last), sizes[first:last])
-                    sums += np.bincount(doc, weights=got, minlength=len(parts))
+                    ids, known = code_ids(flat, n_ids), flat >= n_ids
+                    ids[known] = n_ids - UNKNOWN + buckets[flat[known] - n_ids]
+                    joined, at = _join(np.split(ids, np.cumsum(sizes)[:-1]), n_ids)
+                    got = log_probabilities(model, joined, at)
+                    out = far | known
+                    got[out] -= below[ids[out] - (n_ids - UNKNOWN)]
+                    got[known] += logs[flat[known] - n_ids]
+                    doc = np.repeat(np.arange(len(here)), sizes)
+                    sums += np.bincount(doc, weights=got, minlength=len(here))
+                ends = np.append(0, np.cumsum(far))[np.append(0, np.cumsum(sizes))]
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(-1 - flat[far]))
+                ids = batch.column("doc_id").slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums), rare], names=["doc_id", "n_tokens", "log_prob", "rare"])
                 first = last
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(sums)], names=["doc_id", "n_tokens", "log_prob"]
-            )
 
     return run
 
 
-def fit(docs: DataFrame, rounds: int = 2, rate: float = 0.01) -> tuple[dict, dict]:
+def fit(docs: DataFrame, rounds: int = 2, rate: float = 0.01, head: int = HEAD) -> tuple[Vocabulary, dict]:
     """Vocabulary (word: id) and model, from all documents.
 
-    Words are counted over the corpus (a map-side count, then one aggregation); the most frequent become the vocabulary. In each
-    round, a share of the documents by hash of doc_id, every partition trains from the same model over all its documents, and the
+    Words are counted over the corpus (a map-side count, then one aggregation); the most frequent become the vocabulary, which
+    grows with the corpus; counts of all others stay for the words' shares of their buckets. In each round, a share of the documents by hash of doc_id, every partition trains from the same model over all its documents, and the
     models' weighted mean begins the next round. Parameters are summed as fixed-point longs, so the mean doesn't depend on order;
     what the partitions send is a fixed number of rows each and is summed by Spark: the driver gets one model.
     """
     texts = pick(docs, doc_id="long", text="string")
-    top = (
-        texts.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = cut(
+        texts.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts"
     )
-    keep = VOCABULARY - UNKNOWN
-    top = top.orderBy(F.desc("n"), "word").limit(keep).collect()
-    vocabulary = {bytes(r["word"]): i for i, r in enumerate(top)}
-    counts = np.ones(VOCABULARY)
+    kinds = sorted(map(tuple, found.groupBy("n").agg(F.count("*")).collect()), reverse=True)
+    vocabulary = Vocabulary()
+    vocabulary.size = side(sum(n * k for n, k in kinds)) ** 2
+    keep = vocabulary.size - UNKNOWN
+    top = found.orderBy(F.desc("n"), "word").limit(keep).collect()
+    vocabulary.update((bytes(r["word"]), i) for i, r in enumerate(top))
+    least, total = (kinds[0][0] + 1 if kinds else 1), 0
+    for n, k in kinds:
+        total += k
+        if total > keep + head:
+            break
+        least = n
+    vocabulary.head = {w: r["n"] for r in found.where(F.col("n") >= least).collect() if (w := bytes(r["word"])) not in vocabulary}
+    hashed = found.select(F.shiftrightunsigned(F.xxhash64("word"), 1).alias("h"), "n")
+    vocabulary.tail = hashed.where(F.col("n") < least)
+    vocabulary.totals, vocabulary.kinds = np.zeros(UNKNOWN, np.int64), np.zeros(UNKNOWN, np.int64)
+    for r in hashed.groupBy((F.col("h") % UNKNOWN).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        vocabulary.totals[r["b"]], vocabulary.kinds[r["b"]] = r["n"], r["k"]
+    for r in top:
+        b = _hash(bytes(r["word"])) % UNKNOWN
+        vocabulary.totals[b] -= r["n"]
+        vocabulary.kinds[b] -= 1
+    counts = np.ones(vocabulary.size)
     counts[: len(top)] = [r["n"] for r in top]
-    counts[keep:] = max(1.0, counts[: max(1, len(top))].min())
+    counts[keep:] = np.maximum(1, vocabulary.totals)
     model = initial_model(counts)
     for k in range(rounds):
         dealt = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text")
@@ -258,12 +328,22 @@ def fit(docs: DataFrame, rounds: int = 2, rate: float = 0.01) -> tuple[dict, dic
     return vocabulary, model
 
 
-def score(docs: DataFrame, vocabulary: dict, model: dict) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_tokens, log_prob (the sum over its words), mean_log_prob (null without words)."""
+def score(docs: DataFrame, vocabulary: Vocabulary, model: dict) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_tokens, log_prob (the sum over its words), mean_log_prob (null without words).
+
+    A word outside the vocabulary has its bucket's probability times its own share of the bucket, (n + 1) / (words + kinds + 1): one
+    more kind stands for words that the corpus doesn't have. Counts of rare words are joined, as they grow with the corpus.
+    """
     scored = pick(docs, doc_id="long", text="string").mapInArrow(
-        _score(model, vocabulary), "doc_id long, n_tokens long, log_prob double"
+        _score(model, vocabulary), "doc_id long, n_tokens long, log_prob double, rare array<long>"
     )
-    return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    rare = scored.select("row", F.explode("rare").alias("h")).join(vocabulary.tail, "h")
+    log = F.round(F.log(F.col("n") + 1.0) * FIXED_POINT).cast("long")
+    more = rare.groupBy("row").agg((F.sum(log) / FIXED_POINT).alias("more"))
+    scored = scored.drop("rare").join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return scored.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"))
 
 
 def masked_lm_scores(docs: DataFrame, rounds: int = 2, rate: float = 0.01) -> DataFrame:
