@@ -92,11 +92,35 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFr
     return top_k(out.withColumnRenamed("id", "doc_id"), k)
 
 
-def vector_search_lsh(vectors: DataFrame, queries: DataFrame, k: int = 50, tables: int = 6, bits: int = 6, seed: int = 42) -> DataFrame:
-    """Like vector_search, among vectors that share a sign pattern of random projections with the query in one of the tables: the
-    recall knob is (tables, bits). An equi-join on pattern, so the corpus is bucketed once and only matching buckets are read."""
-    dim = len(queries.first()["embedding"])
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim)).tolist()
+def _probes(planes: np.ndarray, probes: int):
+    """Per query and table the patterns nearest to its own: those that flip the bits of the smallest projections."""
+    bits = planes.shape[1]
+    flips = np.arange(1 << bits)
+    cost = (flips[:, None] >> np.arange(bits) & 1).astype(float)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            rows = []
+            for i, v in zip(frame["query_id"], frame["q"], strict=True):
+                projected = planes @ np.asarray(v, np.float64)
+                own = ((projected > 0) << np.arange(bits)).sum(axis=1)
+                best = np.argsort(projected**2 @ cost.T, axis=1, kind="stable")[:, :probes]
+                rows += [(i, v, {"t": t, "p": int(own[t] ^ f)}) for t in range(len(planes)) for f in best[t]]
+            yield pd.DataFrame(rows, columns=["query_id", "q", "b"])
+
+    return run
+
+
+def vector_search_lsh(
+    vectors: DataFrame, queries: DataFrame, k: int = 50, tables: int = 6, bits: int = 6, seed: int = 42, probes: int = 12
+) -> DataFrame:
+    """Like vector_search, among vectors whose sign pattern of random projections is one of the query's `probes` nearest in one of
+    the tables: the recall knob is (tables, bits, probes). An equi-join on pattern, so the corpus is bucketed once and only matching
+    buckets are read. Queries that find fewer than k vectors so are compared with all."""
+    first = queries.where("embedding is not null").first()
+    if first is None:
+        return vector_search(vectors, queries, k)
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, len(first["embedding"])))
     patterns = F.array(
         *[
             F.struct(
@@ -106,11 +130,16 @@ def vector_search_lsh(vectors: DataFrame, queries: DataFrame, k: int = 50, table
                     F.lit(0),
                 ).alias("p"),
             )
-            for t, plane in enumerate(planes)
+            for t, plane in enumerate(planes.tolist())
         ]
     )
-    left = queries.select("query_id", F.col("embedding").alias("q"), F.explode(patterns).alias("b"))
+    asked = queries.select("query_id", F.col("embedding").alias("q")).where("q is not null")
+    kinds = dict(asked.dtypes)
+    left = asked.mapInPandas(_probes(planes, probes), f"query_id {kinds['query_id']}, q {kinds['q']}, b struct<t:int,p:int>")
     right = vectors.select("doc_id", "embedding", F.explode(patterns).alias("b"))
     pairs = left.join(right, "b").dropDuplicates(["query_id", "doc_id"])
     score = dot(l2_normalise(F.col("q")), l2_normalise(F.col("embedding")))
-    return top_k(pairs.select("query_id", "doc_id", F.round(score, DIGITS).alias("score")), k)
+    found = top_k(pairs.select("query_id", "doc_id", F.round(score, DIGITS).alias("score")), k)
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+    short = queries.join(full, "query_id", "left_anti")
+    return found.join(full, "query_id", "left_semi").unionByName(vector_search(vectors, short, k).select(*found.columns))
