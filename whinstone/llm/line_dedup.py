@@ -5,12 +5,11 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +22,6 @@ from whinstone.llm.common import (
     edit_distance,
     hot_keys,
     pick,
-    popcount,
     run_bounds,
     salted,
     sorted_runs,
@@ -32,203 +30,295 @@ from whinstone.llm.common import (
     unsettled,
 )
 
-#: Lines of fewer words are never duplicates: they carry too little to tell.
-MIN_WORDS = 5
-#: Lines link at so many differing bits of their SimHash at most, and at this edit similarity (1 - distance / longer length).
-MAX_BITS, SIMILARITY = 3, 0.8
-#: 64 bits in five blocks; three differing bits leave two of them equal, whichever: one table for each pair of blocks.
-_SHIFTS, _WIDTHS = (0, 13, 26, 39, 52), (13, 13, 13, 13, 12)
-TABLES = list(combinations(range(5), 2))
-_MASKS = [np.uint64(((1 << w) - 1) << s) for s, w in zip(_SHIFTS, _WIDTHS, strict=True)]
-_PAIR_MASKS = [_MASKS[i] | _MASKS[j] for i, j in TABLES]
-#: A-Z lower-cased, digits as 0, other ASCII but letters as a space.
+#: Lines link where 1 - distance / longer length is SIMILARITY_PERCENT / 100 or more.
+SIMILARITY_PERCENT = 80
+#: 64 bits of a SimHash in four blocks; two differing bits leave two blocks equal, whichever: one table for each pair of blocks.
+PAIRS = list(combinations(range(4), 2))
+#: Two more bits or more are too many for blocks of bits, so a line also has blocks of words: the PICKS features that come first in an
+#: order of the table's own. So many edits that all SAMPLES blocks are touched are what it takes to hide a pair.
+SAMPLES, PICKS = 6, 4
+#: Tables that are verified first; of the others only buckets that these left in several components.
+FIRST = (6, 7)
+#: Features are words, in lines of few words letter trigrams: in the SimHash and in samples up to so many words, exclusively.
+SIM_WORDS, SAMPLE_WORDS = 16, (12, 12, 12, 20, 20, 20)
+#: A-Z lower-cased, other ASCII but letters and digits as a space, line ends kept.
 _NORMAL = bytes(
-    b if b >= 128 else 48 if 48 <= b <= 57 else LOWER[b] if chr(b).isalpha() else 32 for b in range(256)
+    b if b >= 128 or b == 10 or 48 <= b <= 57 else LOWER[b] if chr(b).isalpha() else 32 for b in range(256)
 )
+#: Bytes of normalised text that are worked on at a time.
+CHUNK = 1 << 18
 BLOOM_BITS = 1 << 27
+_COLUMNS = ["sim", *[f"b{t}" for t in range(SAMPLES)]]
 
+_P = 0x9E3779B97F4A7C15
+_RNG = np.random.default_rng(5)
+_XOR, _TIMES = (_RNG.integers(0, 1 << 64, SAMPLES * PICKS, np.uint64) for _ in range(2))
+_TIMES |= np.uint64(1)
+#: Tokens whose weighted bits fit lanes of eight bits: 51 x 5 = 255.
+_FIT = 51
 
-#: Numbers in the 16-bit lanes of a word's vector are above zero by this much; 256 words' sums fit a lane.
-_BIAS, _FIT = 128, 256
-#: Words are cut after so many bytes, so that counts of their trigrams fit a lane of 8 bits.
-_WORD = 240
 
+def normalise(line: bytes) -> bytes:
+    """A line without case (ASCII), punctuation (ASCII) and surplus white space."""
+    return b" ".join(line.translate(_NORMAL).split())
 
-class _Vectors(dict):
-    """word: its column in `table`, vectors of 64 numbers: the sum of its letter trigrams' signs (+-1, by hash) and its own signs times
-    a weight that grows with its length, so that neither common words nor common endings decide. Remembered up to a bound."""
 
-    def __init__(self, bound: int = 200_000):
-        super().__init__()
-        self.bound, self.new, self.table = bound, [], np.zeros((16, 1024), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
-
-    def rows(self, words: Iterator[bytes], n: int) -> np.ndarray:
-        if len(self) > self.bound:
-            self.clear()
-        out = np.fromiter(map(self.__getitem__, words), np.int64, n)
-        if self.new:
-            first = len(self) - len(self.new)
-            if len(self) > self.table.shape[1]:
-                grown = np.zeros((16, 2 * len(self)), np.uint64)
-                grown[:, :first] = self.table[:, :first]
-                self.table = grown
-            for lo in range(0, len(self.new), 20_000):
-                part = self.new[lo : lo + 20_000]
-                self.table[:, first + lo : first + lo + len(part)] = _word_vectors(part).T
-            self.new = []
-        return out
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64: one of each for every place of a chunk."""
+    n = CHUNK + 1
+    inverse = pow(_P, -1, 1 << 64)
+    both = []
+    for x in (_P, inverse):
+        out = np.full(n, x, np.uint64)
+        out[0] = 1
+        both.append(np.multiply.accumulate(out))
+    return both[0], both[1]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    for a, b in ((0x9E3779B97F4A7C15, 32), (0xD6E8FEB86659FD93, 29)):
-        x = (x + np.uint64(1)) * np.uint64(a)
-        x ^= x >> np.uint64(b)
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
     return x
 
 
-def _unpacked(x: np.ndarray) -> np.ndarray:
-    return np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-
-
-#: The 64 bits of 2^16 hash values as eight numbers of eight 8-bit lanes.
-_LANES = _unpacked(_mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64))).view(np.uint64)
-
-
-def _word_vectors(words: list[bytes]) -> np.ndarray:
-    words = [w[:_WORD] for w in words]
-    joined = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
-    grams = (joined[:-2] << np.uint32(16) | joined[1:-1] << np.uint32(8) | joined[2:]) * np.uint32(0x9E3779B1)
-    sizes = np.array([len(w) for w in words])
-    starts = np.cumsum(sizes + 1) - sizes - 1  # a word of n bytes has n trigrams, with a space before and after
-    keep = np.ones(len(grams), bool)
-    keep[(starts + sizes)[:-1]] = False  # the window around the space between two words
-    grams, first = grams[keep], np.cumsum(sizes) - sizes
-    ones = np.add.reduceat(_LANES.take(grams >> np.uint32(16), axis=0), first, axis=0).view(np.uint8).astype(np.int16)
-    place = np.arange(len(grams), dtype=np.uint64) - np.repeat(first, sizes).astype(np.uint64)
-    whole = np.add.reduceat(grams * (np.uint64(2) * place + np.uint64(3)), first)
-    own = _unpacked(_mixed(whole)).astype(np.int16)
-    weight = np.clip(sizes - 2, 1, 5).astype(np.int16)[:, None]
-    sums = np.clip(2 * ones - sizes[:, None] + weight * (2 * own - 1), -127, 127)
-    return np.ascontiguousarray((sums + _BIAS).astype(np.uint16)).view(np.uint64)
-
-
-def simhashes(vectors: _Vectors, lines: list[list[bytes]]) -> np.ndarray:
-    """The SimHash of each line's words (never an empty list): the signs of their vectors' sum."""
-    out = np.empty(len(lines), np.uint64)
-    lo = 0
-    while lo < len(lines):
-        hi, n = lo, 0
-        while hi < len(lines) and (hi == lo or n < 50_000):
-            n += len(lines[hi])
-            hi += 1
-        sizes = np.array([len(x) for x in lines[lo:hi]])
-        rows = vectors.rows(chain.from_iterable(lines[lo:hi]), n)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        parts = starts
-        if sizes.max() > _FIT:
-            parts = np.concatenate([np.arange(a, b, _FIT) for a, b in zip(starts, ends, strict=True)])
-        packed = np.add.reduceat(vectors.table.take(rows, axis=1), parts, axis=1)
-        sums = np.ascontiguousarray(packed.T).view(np.uint16).astype(np.int32)
-        sums -= _BIAS * np.diff(np.append(parts, n))[:, None].astype(np.int32)
-        if len(parts) > len(starts):
-            sums = np.add.reduceat(sums, np.searchsorted(parts, starts), axis=0)
-        out[lo:hi] = np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
-        lo = hi
+def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of a chunk."""
+    gaps = np.flatnonzero(buf <= 32)
+    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(buf))
+    own = ends > starts
+    starts, ends = starts[own], ends[own]
+    up, down = _powers()
+    sums = np.empty(len(buf) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((buf + np.uint64(1)) * up[: len(buf)], out=sums[1:])
+    return starts, ends, _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def _grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the trigrams of letters of words that lie at starts to ends: one around every byte, with a space at both ends."""
+    padded = np.full(len(buf) + 2, 32, np.uint64)
+    padded[1:-1] = np.maximum(buf, 32)
+    sizes = ends - starts
+    at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return _mixed((padded[at] << np.uint64(16) | padded[at + 1] << np.uint64(8) | padded[at + 2]) + np.uint64(1 << 40))
+
+
+def _signed(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each group of features (they begin at `first`) its 64 sums of signed weights."""
+    sizes = np.diff(np.append(first, len(h)))
+    n = -(-sizes // _FIT)
+    lead = np.cumsum(n) - n
+    parts = np.repeat(first, n) + _FIT * (np.arange(n.sum()) - np.repeat(lead, n))
+    lanes = np.ascontiguousarray(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64).T)
+    lanes *= weight
+    ones = np.ascontiguousarray(np.add.reduceat(lanes, parts, axis=1).T).view(np.uint8).astype(np.int64)
+    ones = np.add.reduceat(ones, lead, axis=0)
+    return 2 * ones - np.add.reduceat(weight.astype(np.int64), first)[:, None]
+
+
+def _least(h: np.ndarray, shift: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each group of features the least of each order (SAMPLES x PICKS); features of a larger shift come first more often."""
+    out = np.empty((len(first), SAMPLES * PICKS), np.uint64)
+    for k in range(SAMPLES * PICKS):
+        out[:, k] = np.minimum.reduceat(((h ^ _XOR[k]) * _TIMES[k]) >> shift, first)
     return out
 
 
-@functools.cache
-def _memo() -> _Vectors:
-    """One a Python worker, whatever number of tasks it runs."""
-    return _Vectors()
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vectors, digest = _memo(), xxhash.xxh3_64_intdigest
-    for batch in batches:
-        doc, number, ids, words = [], [], [], []
-
-        def out(doc=doc, number=number, ids=ids, words=words):
-            made = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc, pa.int64()),
-                    pa.array(number, pa.int32()),
-                    pa.array(np.array(ids, np.uint64).view(np.int64)),
-                    pa.array(simhashes(vectors, words).view(np.int64)),
-                ],
-                names=["doc_id", "line", "id", "sim"],
-            )
-            for x in (doc, number, ids, words):
-                x.clear()
-            return made
+def _spread(lo: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places lo, lo + 1, ... of each group, one after the other, and where each group begins."""
+    first = np.cumsum(sizes) - sizes
+    return np.repeat(lo - first, sizes) + np.arange(sizes.sum()), first
+
+
+def _raw(buf: np.ndarray, words: tuple, lo: np.ndarray, sizes: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and least values of lines (or parts of lines), which have `sizes` words of this chunk from `lo` on, and n_words in all."""
+    signed = np.zeros((len(lo), 64), np.int64)
+    least = np.zeros((len(lo), SAMPLES * PICKS), np.uint64)
+    starts, ends, hashes = words
+    if (by_words := n_words >= min(SAMPLE_WORDS)).any():
+        at, first = _spread(lo[by_words], sizes[by_words])
+        h, length = hashes[at], (ends - starts)[at]
+        signed[by_words] = _signed(h, np.clip(length - 2, 1, 5).astype(np.uint64), first)
+        least[by_words] = _least(h, np.clip(length - 1, 0, 4).astype(np.uint64), first)
+    if (by_grams := n_words < max(SAMPLE_WORDS)).any():
+        at, first = _spread(lo[by_grams], sizes[by_grams])
+        h = _grams(buf, starts[at], ends[at])
+        ahead = np.cumsum((ends - starts)[at])
+        first = np.append(0, ahead)[first]
+        few = n_words[by_grams, None]
+        signed[by_grams] = np.where(few < SIM_WORDS, _signed(h, np.ones(len(h), np.uint64), first), signed[by_grams])
+        up_to = np.repeat(SAMPLE_WORDS, PICKS)
+        least[by_grams] = np.where(few < up_to, _least(h, np.zeros(len(h), np.uint64), first), least[by_grams])
+    return signed, least
+
+
+def _digests(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """128 bits of each line's words in their order: two sums over hash and place."""
+    at = place.astype(np.uint64) * np.uint64(_P)
+    both = [np.add.reduceat(_mixed(hashes ^ (at + np.uint64(seed))), first) for seed in (0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+    return np.stack(both, axis=1)
+
+
+def _finished(signed: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The SimHash and the sample keys: one row a line."""
+    out = np.empty((len(signed), 1 + SAMPLES), np.uint64)
+    out[:, 0] = np.packbits(signed > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+    picks = least.reshape(-1, SAMPLES, PICKS)
+    key = np.broadcast_to(np.arange(1, SAMPLES + 1, dtype=np.uint64), (len(signed), SAMPLES)).copy()
+    for k in range(PICKS):
+        key = _mixed((key ^ picks[:, :, k]) * np.uint64(_P))
+    out[:, 1:] = key
+    return out
 
-        for i, text in zip(batch.column("doc_id").to_pylist(), binary_texts(batch.column("text")), strict=True):
-            for k, line in enumerate((text or b"").translate(_NEWLINE_SAFE).split(b"\n")):
-                found = line.split()
-                if len(found) >= MIN_WORDS:
-                    doc.append(i)
-                    number.append(k)
-                    ids.append(digest(b" ".join(found)))
-                    words.append(found)
-            if len(ids) >= 20_000:
-                yield out()
-        yield out()
 
+def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the lines that have words, and for each: 128 bits that stand for the words, the SimHash, the sample keys."""
+    text = text.translate(_NORMAL)
+    numbers, found = [np.empty(0, np.int64)], [np.empty((0, 3 + SAMPLES), np.uint64)]
+    lo, line = 0, 0
+    while lo < len(text):
+        if len(text) - lo <= CHUNK:
+            hi = len(text)
+        elif (hi := text.rfind(b"\n", lo, lo + CHUNK)) < 0:  # a line longer than a chunk
+            hi = text.find(b"\n", lo + CHUNK)
+            hi = len(text) if hi < 0 else hi
+            if (row := _long_line(text, lo, hi)) is not None:
+                numbers.append(np.array([line]))
+                found.append(row)
+            lo, line = hi + 1, line + 1
+            continue
+        buf = np.frombuffer(text, np.uint8, hi - lo, lo)
+        words = _words(buf)
+        breaks = np.flatnonzero(buf == 10)
+        edge = np.searchsorted(words[0], np.concatenate([[0], breaks, [len(buf)]]))
+        sizes = np.diff(edge)
+        own = np.flatnonzero(sizes)
+        if len(own):
+            first, sizes = edge[own], sizes[own]
+            digests = _digests(words[2], first, sizes, np.arange(len(words[2])) - np.repeat(first, sizes))
+            found.append(np.concatenate([digests, _finished(*_raw(buf, words, first, sizes, sizes))], axis=1))
+            numbers.append(own + line)
+        line += len(breaks) + 1
+        lo = hi + 1
+    return np.concatenate(numbers), np.concatenate(found)
+
+
+def _long_line(text: bytes, lo: int, hi: int) -> np.ndarray | None:
+    """What line_features() gives for one line, a chunk at a time; None without words. Chunks end at a space if there is one."""
+    parts, n = [], 0
+    while lo < hi:
+        end = hi if hi - lo <= CHUNK else text.rfind(b" ", lo + 1, lo + CHUNK)
+        end = lo + CHUNK if end < 0 else end
+        buf = np.frombuffer(text, np.uint8, end - lo, lo)
+        words = _words(buf)
+        if len(words[0]):
+            parts.append((buf, words, n))
+            n += len(words[0])
+        lo = end
+    if not n:
+        return None
+    sums, zero = None, np.zeros(1, np.int64)
+    for buf, words, before in parts:
+        size = np.array([len(words[0])])
+        signed, least = _raw(buf, words, zero, size, np.array([n]))
+        digest = _digests(words[2], zero, size, np.arange(size[0]) + before)
+        sums = (digest, signed, least) if sums is None else (sums[0] + digest, sums[1] + signed, np.minimum(sums[2], least))
+    return np.concatenate([sums[0], _finished(*sums[1:])], axis=1)
 
-_NEWLINE_SAFE = bytes(10 if b == 10 else c for b, c in enumerate(_NORMAL))
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = binary_texts(batch.column("text"))
+        ids = batch.column("doc_id")
+        first = 0
+        while first < len(texts):  # so many documents that they fill a chunk
+            last, size = first, 0
+            while last < len(texts) and (last == first or size + len(texts[last] or b"") < CHUNK):
+                size += len(texts[last] or b"") + 1
+                last += 1
+            here = [t or b"" for t in texts[first:last]]
+            ends = np.cumsum([t.count(b"\n") + 1 for t in here])
+            number, found = line_features(b"\n".join(here))
+            doc = np.searchsorted(ends, number, "right")
+            at = pa.array(doc + first)
+            cols = [ids.take(at), batch.column("copy").take(at), (number - np.append(0, ends)[doc]).astype(np.int32)]
+            cols += list(np.ascontiguousarray(found.T).view(np.int64))
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=_LINES)
+            first = last
+
+
+_LINES = ["doc_id", "copy", "line", "h", "g", *_COLUMNS]
+_LINES_SCHEMA = "doc_id long, copy long, line int, h long, g long, " + ", ".join(f"{c} long" for c in _COLUMNS)
+
+
+def _block_keys(sim: np.ndarray, samples: list[np.ndarray]) -> np.ndarray:
+    """One key a table for each line: pairs of the SimHash's blocks, then the samples."""
+    blocks = [(sim >> np.uint64(16 * i)) & np.uint64(0xFFFF) for i in range(4)]
+    pairs = [np.uint64(v + 1) << np.uint64(32) | blocks[i] << np.uint64(16) | blocks[j] for v, (i, j) in enumerate(PAIRS)]
+    return np.stack([*pairs, *samples])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, v, id, met, part) of classes, sorted by key a buffer at a time. Of lines that share a key in a buffer only one is
+    dealt by it (met: 1), so that a hot key comes down to a row a buffer; the others go where their id says (met: 2)."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        cols = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("id", *_COLUMNS)]
+        ids, rest = cols[0], [c.view(np.uint64) for c in cols[1:]]
+        key = _block_keys(rest[0], rest[1:]).view(np.int64)
+        v = np.repeat(np.arange(len(key), dtype=np.int8), len(ids))
+        key = key.ravel()
+        by = np.argsort(key)
+        key, v, ids = key[by], v[by], ids[by % len(ids)]
+        same = key[1:] == key[:-1]
+        met = np.zeros(len(key), np.int8)
+        met[:-1][same] = 1
+        met[1:][same] = 2
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (key, v, ids, met, np.where(met == 2, ids, key))], names=["key", "v", "id", "met", "part"]
+        )
 
-def _table(v: int, d: np.ndarray) -> np.ndarray:
-    """Which differences belong to table v: its two blocks are equal, and no earlier table's."""
-    here = (d & _PAIR_MASKS[v]) == 0
-    for m in _PAIR_MASKS[:v]:
-        here &= (d & m) != 0
-    return here & (popcount(d) <= MAX_BITS)
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= 1 << 16:
+            yield out(held)
+            held, size = [], 0
+    if size:
+        yield out(held)
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id) that have a partner in a run of rows sorted by key; of a run over BUCKET_ROWS, all rows."""
-    for key, sim, ids in sorted_runs((b.select(["key", "sim", "id"]) for b in batches), ("key",)):
-        sim = sim.view(np.uint64)
-        bounds = run_bounds([key])
-        size = np.diff(bounds)
-        hit = np.zeros(len(key), bool)
-        longest = int(size.max())
-        for lag in range(1, min(longest, 33)):  # short runs all at once, by distance in the order
-            same = key[lag:] == key[:-lag]
-            at = np.flatnonzero(same)
-            if not len(at):
-                break
-            d = sim[at] ^ sim[at + lag]
-            close = popcount(d) <= MAX_BITS
-            at, d = at[close], d[close]
-            table = key[at] >> 26
-            for v in np.unique(table):
-                own = table == v
-                got = at[own][_table(int(v), d[own])]
-                hit[got] = hit[got + lag] = True
-        for i in np.flatnonzero(size > 33):
-            lo, hi = bounds[i], bounds[i + 1]
-            if hi - lo > BUCKET_ROWS:
-                hit[lo:hi] = True
-                continue
-            x, v = sim[lo:hi], int(key[lo] >> 26)
-            for a, b in spanning_edges(len(x), lambda k, others, x=x, v=v: _table(v, x[k] ^ x[others])):
-                hit[lo + a] = hit[lo + b] = True
-        if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(ids[hit])], names=["key", "id"])
-
-
-def _similar(a: str, b: str) -> bool:
-    """Edit similarity of SIMILARITY or more. Replacing all between the common ends, or replacing, adding and leaving out words
-    as they come, bounds the distance from above, and mostly settles it."""
-    most = int((1 - SIMILARITY) * max(len(a), len(b)))
+    """Of rows sorted by key those that share it with another."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, v, ids, met = (batch.column(c).to_numpy() for c in ("key", "v", "id", "met"))
+        if last is not None:
+            key, v, ids, met = (np.append(a, b) for a, b in zip(last, (key, v, ids, met), strict=True))
+        same = key[1:] == key[:-1]
+        hit = met > 0
+        hit[:-1] |= same
+        hit[1:] |= same
+        now = hit[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][now]) for c in (key, v, ids)], names=["key", "v", "id"])
+        last = key[-1:], v[-1:], ids[-1:], np.array([1 if hit[-1] else 0], np.int8)
+    if last is not None and last[3][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last[:3]], names=["key", "v", "id"])
+
+
+def similar(a: str, b: str) -> bool:
+    """Edit similarity of SIMILARITY_PERCENT or more. Replacing all between the common ends, or replacing, adding and leaving out
+    words as they come, bounds the distance from above, and mostly settles it."""
+    most = (100 - SIMILARITY_PERCENT) * max(len(a), len(b)) // 100
+    if abs(len(a) - len(b)) > most:
+        return False
     lo = len(os.path.commonprefix((a, b)))
     hi = len(os.path.commonprefix((a[: lo - len(a) - 1 : -1], b[: lo - len(b) - 1 : -1])))
     if max(len(a), len(b)) - lo - hi <= most:
@@ -249,30 +339,38 @@ def _similar(a: str, b: str) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def _letters(lines: list[str]) -> np.ndarray:
+    """How often each line has the letters of each of 32 kinds."""
+    return np.stack([np.bincount(np.frombuffer(x.encode(), np.uint8) & 31, minlength=32) for x in lines])
+
+
+def _may_link(counts: np.ndarray, length: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
+    """Whether lines may be as similar as that: an edit changes the number of letters of a kind by one, of two kinds at most."""
+    d = counts[others] - counts[k]
+    least = np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) / 4  # a character is up to four bytes
+    return 100 * least <= (100 - SIMILARITY_PERCENT) * np.maximum(length[others], length[k])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of every (key, salt) run: lines of one bucket with near SimHashes and similar texts."""
-    for key, salt, sim, ids, norm in sorted_runs(
-        (b.select(["key", "salt", "sim", "id", "norm"]) for b in batches), ("key", "salt")
-    ):
-        sim = sim.view(np.uint64)
+    """Edges that join what is similar in each (key, salt) run of lines sorted by it."""
+    small = (b.slice(lo, 2048) for b in batches for lo in range(0, b.num_rows, 2048))
+    for key, salt, ids, norm in sorted_runs((b.select(["key", "salt", "id", "norm"]) for b in small), ("key", "salt")):
         bounds = run_bounds([key, salt])
         edges, size = [], np.diff(bounds)
-        pairs = bounds[:-1][size == 2]
-        table, d = key[pairs] >> 26, sim[pairs] ^ sim[pairs + 1]
-        for v in np.unique(table):
-            for at in pairs[table == v][_table(int(v), d[table == v])].tolist():
-                if _similar(norm[at], norm[at + 1]):
-                    edges.append((ids[at], ids[at + 1]))
+        for at in bounds[:-1][size == 2].tolist():
+            if similar(norm[at], norm[at + 1]):
+                edges.append((ids[at], ids[at + 1]))
         for lo, hi in zip(bounds[:-1][size > 2], bounds[1:][size > 2], strict=True):
-            x, v = sim[lo:hi], int(key[lo] >> 26)
+            own = list(norm[lo:hi])
+            counts, length = _letters(own), np.array([len(x) for x in own])
 
-            def linked(k, others, x=x, v=v, lo=lo):
-                near = _table(v, x[k] ^ x[others])
+            def linked(k, others, own=own, counts=counts, length=length):
+                near = _may_link(counts, length, k, others)
                 for j in np.flatnonzero(near):
-                    near[j] = _similar(norm[lo + k], norm[lo + others[j]])
+                    near[j] = similar(own[k], own[others[j]])
                 return near
 
-            edges += [(ids[lo + a], ids[lo + b]) for a, b in spanning_edges(len(x), linked)]
+            edges += [(ids[lo + a], ids[lo + b]) for a, b in spanning_edges(len(own), linked)]
         if edges:
             a, b = stars(*np.array(edges, np.int64).T)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -282,20 +380,19 @@ def _verify_open(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Lines of the minority against all of one (key, salt): an edge for each component that a line links to."""
     if left.empty or right.empty:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    x, ids, comp, norm = (right[c].to_numpy() for c in ("sim", "id", "component", "norm"))
-    x, edges = x.view(np.uint64), []
+    ids, comp, norm = (right[c].to_numpy() for c in ("id", "component", "norm"))
+    edges = []
     for row in left.itertuples():
-        near = np.flatnonzero(_table(int(row.key >> 26), np.uint64(row.sim & 0xFFFFFFFFFFFFFFFF) ^ x) & (comp != row.component))
-        met = set()
-        for j in near:
-            if comp[j] not in met and _similar(row.norm, norm[j]):
+        met = {row.component}
+        for j in np.flatnonzero(comp != row.component):
+            if comp[j] not in met and similar(row.norm, norm[j]):
                 met.add(comp[j])
                 edges.append((row.id, ids[j]))
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
 def _place_hash(doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
-    x = doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = doc.astype(np.int64).view(np.uint64) * np.uint64(_P) + line.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(31)
     return (x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
 
@@ -319,138 +416,155 @@ def _texts_at(bloom: np.ndarray, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, number, norm = [], [], []
-            texts, ids = binary_texts(batch.column("text")), batch.column("doc_id")
+            doc, copy, number, norm = [], [], [], []
+            texts, ids, copies = binary_texts(batch.column("text")), batch.column("doc_id"), batch.column("copy")
             counts = np.array([0 if t is None else t.count(b"\n") + 1 for t in texts])
-            owner = np.repeat(np.arange(len(texts)), counts)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            owner, first = _spread(np.zeros(len(counts), np.int64), counts)
+            owner, place = np.repeat(np.arange(len(texts)), counts), owner
             h = _place_hash(ids.fill_null(-1).to_numpy(zero_copy_only=False)[owner], place, bits)
             hits = np.flatnonzero(bloom[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1))
-            last, lines = -1, []
+            last, lines, own = -1, [], 0
             for i, k in zip(owner[hits].tolist(), place[hits].tolist(), strict=True):
                 if i != last:
-                    last, lines = i, texts[i].split(b"\n")
+                    last, lines, own = i, texts[i].split(b"\n"), copies[i].as_py()
                 doc.append(ids[i].as_py())
+                copy.append(own)
                 number.append(k)
-                norm.append(b" ".join(lines[k].translate(_NORMAL).split()).decode("utf-8", "replace"))
+                norm.append(normalise(lines[k]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(norm, pa.string())],
-                names=["doc_id", "line", "norm"],
+                [pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(number, pa.int32()), pa.array(norm, pa.string())],
+                names=["doc_id", "copy", "line", "norm"],
             )
 
     return run
 
 
 def _fetch(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, line, norm) for places (doc_id, line) and a few more: a Bloom filter of bounded size finds them on the map side."""
+    """(doc_id, copy, line, norm) for places (doc_id, line) and a few more: a Bloom filter of bounded size finds them on the map side."""
     n = places.count()
     bits = int(min(np.log2(BLOOM_BITS), max(12, np.ceil(np.log2(16 * max(1, n))))))
     words = places.select("doc_id", "line").mapInArrow(_bloom_words(bits), "word long, value long")
     rows = words.groupBy("word").agg(F.expr("bit_or(value)").alias("value")).toArrow()
     bloom = np.zeros(1 << (bits - 6), np.uint64)
     bloom[rows["word"].to_numpy()] = rows["value"].to_numpy().view(np.uint64)
-    return docs.mapInArrow(_texts_at(bloom, bits), "doc_id long, line int, norm string")
+    return docs.mapInArrow(_texts_at(bloom, bits), "doc_id long, copy long, line int, norm string")
 
 
 def _places(lines: DataFrame):
-    """(doc_id, line) as one value in that order, and how to take it apart: a long where both fit one, which aggregates by hash and
-    without sorting, else a struct."""
+    """(doc_id, copy, line) as one value in that order, and how to take it apart. Where doc_ids are unique, a long that leaves copy
+    out, as longs aggregate by hash and without sorting; else a struct."""
     row = lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("line"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
     bits = int(row[2] or 0).bit_length()
-    if row[3] == 0 and row[0] is not None and row[0] >= 0 and row[1] < 1 << (62 - bits):
+    plain = row[3] == 0 and row[0] is not None and row[0] >= 0 and row[1] < 1 << (62 - bits)
+    if plain:
+        per = lines.groupBy("doc_id").agg(F.min("copy").alias("x"), F.max("copy").alias("y"))
+        plain = per.where("x <> y").isEmpty()
+    if plain:
         place = F.shiftleft("doc_id", bits).bitwiseOR(F.col("line").cast("long"))
-        return (
-            place,
-            lambda c: F.shiftright(c, bits),
-            lambda c: F.col(c).bitwiseAND((1 << bits) - 1).cast("int"),
-        )
-    return F.struct("doc_id", "line"), lambda c: F.col(c)["doc_id"], lambda c: F.col(c)["line"]
+        return place, lambda c: F.shiftright(c, bits), lambda c: F.col(c).bitwiseAND((1 << bits) - 1).cast("int"), False
+    return F.struct("doc_id", "copy", "line"), lambda c: F.col(c)["doc_id"], lambda c: F.col(c)["line"], True
 
 
-def duplicate_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Rows (doc_id, line): the lines (from 0) of docs (doc_id, text) that repeat, exactly or nearly, one that stays.
-
-    Normalised lines (lower case, digits as 0, words only) of five words or more count. Equal ones are one class, by a 64-bit hash,
-    from the first aggregation on. Classes are compared by SimHash over letter trigrams: of five blocks of bits two are equal where
-    at most three bits differ, so every class has one row in each of ten tables. Sorted runs show which classes have a partner; only
-    their texts are fetched (a bounded Bloom filter finds them in one pass), and runs are linked where edit similarity holds, by
-    spanning edges. Buckets that are too large are salted, and what that parts is compared afterwards. Of each component the first
-    line by (doc_id, line) stays. Rows without doc_id count as one document that comes first.
-    """
-    texts = pick(docs, doc_id="long", text="string")
-    lines = cut(texts.mapInArrow(_lines, "doc_id long, line int, id long, sim long"), "lines")
-    place, doc_id, line = _places(lines)
-    lines = lines.withColumn("place", place)
-    classes = cut(
-        lines.groupBy("id").agg(F.min("place").alias("first"), F.min("sim").alias("sim"), F.count("*").alias("n")), "line-classes"
-    )
-    tables = F.array(
-        *[
-            F.shiftleft(F.lit(v).cast("long"), 26)
-            .bitwiseOR(F.shiftleft(_bits(_SHIFTS[i], _WIDTHS[i]), 13))
-            .bitwiseOR(_bits(_SHIFTS[j], _WIDTHS[j]))
-            for v, (i, j) in enumerate(TABLES)
-        ]
-    )
-    rows = classes.select(F.explode(tables).alias("key"), "sim", "id")
-    hits = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_partners, "key long, id long")
-    hits = cut(hits, "line-partners")
-    near = cut(hits.select("id").distinct().join(classes, "id").select("id", "sim", doc_id("first").alias("doc_id"), line("first").alias("line")), "near-lines")
-    there = near.select("id", "sim", F.col("doc_id").alias("_doc"), F.col("line").alias("_line"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("line") == F.col("_line"))
-    found = _fetch(texts, near).join(there, same).select("id", "sim", "norm").dropDuplicates(["id"])
-    found = cut(found, "near-texts")
+def _edges(hits: DataFrame, found: DataFrame, bucket_rows: int) -> DataFrame:
+    """Edges (a, b) that join what is similar in the buckets of hits (key, id); found has the lines (id, norm)."""
     work = hits.join(found, "id")
     hot = hot_keys(hits.groupBy("key").agg(F.count("*").alias("n")), bucket_rows)
-    edges = salted(work, hot).repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_verify, "a long, b long")
+    rows = salted(work, hot).repartition("key", "salt").sortWithinPartitions("key", "salt")
+    edges = cut(rows.mapInArrow(_verify, "a long, b long").distinct(), "line-links")
     if hot is None:
-        comp = components(edges)
-    else:
-        edges = cut(edges.distinct(), "line-links")
-        comp = components(edges)
-        minority, everything = unsettled(work, hot, comp)
-        more = minority.groupBy("key", "salt").cogroup(everything.groupBy("key", "salt")).applyInPandas(
-            _verify_open, "a long, b long"
-        )
-        comp = components(cut(edges.union(more).distinct(), "line-links"))
+        return edges
+    minority, everything = unsettled(work, hot, components(edges))
+    pairs = minority.groupBy("key", "salt").cogroup(everything.groupBy("key", "salt"))
+    return cut(edges.union(pairs.applyInPandas(_verify_open, "a long, b long")).distinct(), "line-links")
+
+
+def duplicate_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Rows (doc_id, copy, line): the lines (from 0) of docs (doc_id, text) that repeat, exactly or nearly, but one that stays.
+
+    Lines are compared without ASCII case, ASCII punctuation and surplus white space; those without words (blank ones, rules) are
+    never duplicates. Lines of equal words are one class, by 128 bits of them, from the first aggregation on, however short. Other
+    classes link at an edit similarity of 0.8 or more, verified on the normalised lines. Candidates come from tables of pigeonhole
+    blocks, a row of each class in every one: pairs of blocks of the line's SimHash, of which two are equal where two bits differ at
+    most; and, as a SimHash of 64 bits has most lines of that similarity further apart, blocks of words: four words (in short lines
+    and scripts without spaces, trigrams) that an order of the table's own puts first. Only the texts of classes that share a block
+    are made again (a bounded Bloom filter finds them in one pass). Two tables are verified first, of the others what these have left
+    open. Runs give spanning edges, never all pairs; large ones are salted, and what that parts is compared afterwards. Of each
+    component the first line by (doc_id, text's hash, line) stays.
+
+    Repeated rows of one doc_id and text are one document; with another text (`copy` is its hash) they are documents of their own,
+    also without a doc_id (these come first). Null and empty texts have no lines; an empty table gives no rows.
+    """
+    texts = pick(docs, doc_id="long", text="string").withColumn("copy", _copy(F.col("text")))
+    lines = cut(texts.mapInArrow(_lines, _LINES_SCHEMA), "lines")
+    place, doc_id, line, copies = _places(lines)
+    place = place.alias("place")
+    least = [F.min(c).alias(c) for c in _COLUMNS]
+    classes = lines.select("h", "g", place, *_COLUMNS).groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n"), *least)
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    rows = classes.select("id", *_COLUMNS).mapInArrow(_keys, "key long, v byte, id long, met byte, part long")
+    hits = rows.repartition("part").sortWithinPartitions("key").mapInArrow(_partners, "key long, v byte, id long")
+    hits = cut(hits, "line-partners")
+    near = classes.join(hits.select("id").distinct(), "id", "left_semi")
+    near = cut(near.select("id", "first", doc_id("first").alias("doc_id"), line("first").alias("line")), "near-lines")
+    there = _fetch(texts, near).select(place, "norm")
+    same = F.col("place").eqNullSafe(F.col("first")) if copies else F.col("place") == F.col("first")
+    found = cut(near.select("id", "first").join(there, same).select("id", "norm").dropDuplicates(["id"]), "near-texts")
+    first = F.col("v").isin(*FIRST)
+    edges = _edges(hits.where(first).select("key", "id"), found, bucket_rows)
+    more = hits.where(~first).select("key", "id")
+    now = more.join(components(edges), F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    more = cut(more.join(several, "key", "left_semi"), "line-open")
+    comp = components(edges.union(_edges(more, found, bucket_rows)))
     grouped = classes.join(comp, F.col("id") == F.col("node"), "left").select(
-        "id", "first", "n", F.coalesce("component", "id").alias("component")
+        "h", "g", "first", "n", F.coalesce("component", "id").alias("component")
     )
     best = grouped.groupBy("component").agg(F.min("first").alias("best"), F.sum("n").alias("total")).where("total > 1")
-    losers = cut(grouped.join(best, "component").select("id", "best"), "line-losers")
-    return lines.join(losers, "id").where(~F.col("place").eqNullSafe(F.col("best"))).select("doc_id", "line")
+    losers = cut(grouped.join(best, "component").select("h", "g", "best"), "line-losers")
+    rest = lines.select("doc_id", "copy", "line", "h", "g", place).join(losers, ["h", "g"])
+    return rest.where(~F.col("place").eqNullSafe(F.col("best"))).select("doc_id", "copy", "line")
 
 
-def _bits(shift: int, width: int) -> F.Column:
-    return F.shiftrightunsigned("sim", shift).bitwiseAND((1 << width) - 1)
+def _copy(text: F.Column) -> F.Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, kept, dropped = batch.column("text").to_pylist(), [], []
-        for i, gone in enumerate(batch.column("_gone").to_pylist()):
+        for i, gone in enumerate(batch.column("gone").to_pylist()):
             text = texts[i]
             total = 0 if text is None else text.count("\n") + 1
-            if gone and total:
-                out = set(gone)
+            out = set(gone or ())
+            if out and total:
                 texts[i] = "\n".join([x for k, x in enumerate(text.split("\n")) if k not in out])
                 total -= len(out)
-                dropped.append(len(out))
-            else:
-                dropped.append(0)
             kept.append(total)
-        names = [n for n in batch.schema.names if n != "_gone"]
-        cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-        counts = [pa.array(kept, pa.int32()), pa.array(dropped, pa.int32())]
-        yield pa.RecordBatch.from_arrays([*cols, *counts], names=[*names, "n_kept", "n_dropped"])
+            dropped.append(len(out))
+        cols = [batch.column("row"), pa.array(texts, pa.string()), pa.array(kept, pa.int32()), pa.array(dropped, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, names=["row", "text", "n_kept", "n_dropped"])
 
 
 def dedup_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """docs, all columns, with text lacking its duplicate lines, and n_kept, n_dropped (lines). Null texts stay null, with no lines;
-    a document may end up empty; repeated rows of a doc_id are one document, so each of them keeps what it keeps."""
-    gone = duplicate_lines(docs, bucket_rows).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_doc"), "_gone")
-    plain = [c for c in docs.columns if c not in ("n_kept", "n_dropped")]
-    schema = docs.select(*[F.col(f"`{c}`") for c in plain]).schema.add("n_kept", "integer").add("n_dropped", "integer")
-    joined = docs.select(*[F.col(f"`{c}`") for c in plain]).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    return joined.drop("_doc").mapInArrow(_without, schema)
+    """docs, all columns, with text lacking its duplicate lines (see duplicate_lines()), and n_kept, n_dropped (lines; columns of
+    docs by these names go). Null texts stay null, with no lines; a document may end up empty; repeated rows of a doc_id and text are
+    one document, so each of them keeps what it keeps. Other columns of any name stay as they are."""
+    gone = duplicate_lines(docs, bucket_rows).groupBy("doc_id", "copy").agg(F.collect_set("line").alias("gone"))
+    gone = gone.select(F.col("doc_id").alias("its_doc"), F.col("copy").alias("its_copy"), "gone")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(row.alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    whole = whole.withColumn("copy", _copy(F.col("text")))
+    joined = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("its_doc")) & (F.col("copy") == F.col("its_copy")), "left")
+    out = joined.select("row", "text", "gone").mapInArrow(
+        _without, joined.select("row", "text").schema.add("n_kept", "integer").add("n_dropped", "integer")
+    )
+    kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_kept", "n_dropped")]
+    return out.select(*kept, "n_kept", "n_dropped")
+
+
+def drop_duplicate_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """docs, its columns only, with text lacking its duplicate lines; documents that lose every line with words go, those that had
+    none stay. Columns of docs named n_kept or n_dropped stay what they are."""
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
+    left = dedup_lines(plain, bucket_rows).where(F.col("text").isNull() | (F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
+    return left.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
