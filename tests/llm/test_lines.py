@@ -192,7 +192,7 @@ def test_a_hot_block_is_dealt_evenly():
     import pyarrow as pa
 
     n = 5000
-    cols = {c: np.arange(n, dtype=np.int64) * 7919 + k for k, c in enumerate(["id", *L._COLUMNS])}
+    cols = {c: np.arange(n, dtype=np.int64) * 7919 + k for k, c in enumerate(["h", *L._COLUMNS])}
     cols["b3"] = np.full(n, 42)
     rows = pa.concat_batches(L._keys([pa.RecordBatch.from_pydict(cols)])).to_pandas()
     hot = rows[rows.key == 42]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,15 +31,15 @@ from whinstone.llm.common import (
 
 #: Lines link where 1 - distance / longer length is SIMILARITY_PERCENT / 100 or more.
 SIMILARITY_PERCENT = 80
-#: 64 bits of a SimHash in four blocks; two differing bits leave two blocks equal, whichever: one table for each pair of blocks.
-PAIRS = list(combinations(range(4), 2))
-#: Two more bits or more are too many for blocks of bits, so a line also has blocks of words: the PICKS features that come first in an
-#: order of the table's own. So many edits that all SAMPLES blocks are touched are what it takes to hide a pair.
-SAMPLES, PICKS = 6, 4
+#: 64 bits of a SimHash in two blocks; one differing bit leaves one of them equal. More blocks would be too short to tell lines apart.
+BLOCKS = 2
+#: Most lines of that similarity differ in more bits, so a line also has blocks of words: the PICKS features (of runs of GRAM
+#: bytes, which edits spoil sooner, GRAM_PICKS) that come first in an order of the table's own. Only edits in all SAMPLES blocks hide a pair.
+SAMPLES, PICKS, GRAM_PICKS, GRAM = 8, 6, 5, 5
 #: Tables that are verified first; of the others only buckets that these left in several components.
-FIRST = (6, 7)
-#: Features are words, in lines of few words letter trigrams: in the SimHash and in samples up to so many words, exclusively.
-SIM_WORDS, SAMPLE_WORDS = 16, (12, 12, 12, 20, 20, 20)
+FIRST = (2, 6)
+#: Features are words, in lines of few words runs of bytes: in the SimHash and in samples up to so many words, exclusively.
+SIM_WORDS, SAMPLE_WORDS = 16, (12, 12, 12, 12, 20, 20, 20, 20)
 #: A-Z lower-cased, other ASCII but letters and digits as a space, line ends kept.
 _NORMAL = bytes(
     b if b >= 128 or b == 10 or 48 <= b <= 57 else LOWER[b] if chr(b).isalpha() else 32 for b in range(256)
@@ -98,13 +97,24 @@ def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def _grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the trigrams of letters of words that lie at starts to ends: one around every byte, with a space at both ends."""
-    padded = np.full(len(buf) + 2, 32, np.uint64)
-    padded[1:-1] = np.maximum(buf, 32)
-    sizes = ends - starts
-    at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    return _mixed((padded[at] << np.uint64(16) | padded[at + 1] << np.uint64(8) | padded[at + 2]) + np.uint64(1 << 40))
+def _spread(lo: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places lo, lo + 1, ... of each group, one after the other, and where each group begins."""
+    first = np.cumsum(sizes) - sizes
+    return np.repeat(lo - first, sizes) + np.arange(sizes.sum()), first
+
+
+def _grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of GRAM bytes in lines with one space after each word (the words lie at starts to ends; `lines` says with
+    which word each line begins), and where each line's begin. Beyond a line's end there are spaces."""
+    at, first = _spread(starts, ends - starts + 1)
+    flat = np.append(np.maximum(buf, 32), np.uint8(32))[at].astype(np.uint64)
+    first = first[lines]
+    left = np.repeat(np.append(first[1:], len(flat)), np.diff(np.append(first, len(flat)))) - np.arange(len(flat))
+    flat = np.append(flat, np.full(GRAM, 32, np.uint64))
+    run = np.zeros(len(left), np.uint64)
+    for k in range(GRAM):
+        run = run << np.uint64(8) | np.where(left > k, flat[k : k + len(left)], np.uint64(32))
+    return _mixed(run + np.uint64(1 << 40)), first
 
 
 def _signed(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -128,12 +138,6 @@ def _least(h: np.ndarray, shift: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spread(lo: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places lo, lo + 1, ... of each group, one after the other, and where each group begins."""
-    first = np.cumsum(sizes) - sizes
-    return np.repeat(lo - first, sizes) + np.arange(sizes.sum()), first
-
-
 def _raw(buf: np.ndarray, words: tuple, lo: np.ndarray, sizes: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and least values of lines (or parts of lines), which have `sizes` words of this chunk from `lo` on, and n_words in all."""
     signed = np.zeros((len(lo), 64), np.int64)
@@ -146,13 +150,12 @@ def _raw(buf: np.ndarray, words: tuple, lo: np.ndarray, sizes: np.ndarray, n_wor
         least[by_words] = _least(h, np.clip(length - 1, 0, 4).astype(np.uint64), first)
     if (by_grams := n_words < max(SAMPLE_WORDS)).any():
         at, first = _spread(lo[by_grams], sizes[by_grams])
-        h = _grams(buf, starts[at], ends[at])
-        ahead = np.cumsum((ends - starts)[at])
-        first = np.append(0, ahead)[first]
+        h, first = _grams(buf, starts[at], ends[at], first)
         few = n_words[by_grams, None]
         signed[by_grams] = np.where(few < SIM_WORDS, _signed(h, np.ones(len(h), np.uint64), first), signed[by_grams])
         up_to = np.repeat(SAMPLE_WORDS, PICKS)
-        least[by_grams] = np.where(few < up_to, _least(h, np.zeros(len(h), np.uint64), first), least[by_grams])
+        picked = np.where(np.arange(SAMPLES * PICKS) % PICKS < GRAM_PICKS, _least(h, np.zeros(len(h), np.uint64), first), np.uint64(0))
+        least[by_grams] = np.where(few < up_to, picked, least[by_grams])
     return signed, least
 
 
@@ -256,30 +259,30 @@ _LINES_SCHEMA = "doc_id long, copy long, line int, h long, g long, " + ", ".join
 
 
 def _block_keys(sim: np.ndarray, samples: list[np.ndarray]) -> np.ndarray:
-    """One key a table for each line: pairs of the SimHash's blocks, then the samples."""
-    blocks = [(sim >> np.uint64(16 * i)) & np.uint64(0xFFFF) for i in range(4)]
-    pairs = [np.uint64(v + 1) << np.uint64(32) | blocks[i] << np.uint64(16) | blocks[j] for v, (i, j) in enumerate(PAIRS)]
-    return np.stack([*pairs, *samples])
+    """One key a table for each line: the SimHash's blocks, then the samples."""
+    return np.stack([np.uint64(1) << np.uint64(32) | sim & np.uint64(0xFFFFFFFF), np.uint64(2) << np.uint64(32) | sim >> np.uint64(32), *samples])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, v, id, met, part) of classes, sorted by key a buffer at a time. Of lines that share a key in a buffer only one is
-    dealt by it (met: 1), so that a hot key comes down to a row a buffer; the others go where their id says (met: 2)."""
+    """Rows (key, v, h, met, part) of lines, sorted by key and h a buffer at a time, each pair once. Of different lines that share a
+    key in a buffer only one is dealt by it (met: 1), so that a hot key comes down to a row a buffer; the others go where their h
+    says (met: 2)."""
 
     def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        cols = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("id", *_COLUMNS)]
-        ids, rest = cols[0], [c.view(np.uint64) for c in cols[1:]]
+        cols = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("h", *_COLUMNS)]
+        h, own = np.unique(cols[0], return_index=True)
+        rest = [c[own].view(np.uint64) for c in cols[1:]]
         key = _block_keys(rest[0], rest[1:]).view(np.int64)
-        v = np.repeat(np.arange(len(key), dtype=np.int8), len(ids))
+        v = np.repeat(np.arange(len(key), dtype=np.int8), len(h))
         key = key.ravel()
         by = np.argsort(key)
-        key, v, ids = key[by], v[by], ids[by % len(ids)]
+        key, v, h = key[by], v[by], h[by % len(h)]
         same = key[1:] == key[:-1]
         met = np.zeros(len(key), np.int8)
         met[:-1][same] = 1
         met[1:][same] = 2
         return pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in (key, v, ids, met, np.where(met == 2, ids, key))], names=["key", "v", "id", "met", "part"]
+            [pa.array(c) for c in (key, v, h, met, np.where(met == 2, h, key))], names=["key", "v", "h", "met", "part"]
         )
 
     held, size = [], 0
@@ -294,23 +297,25 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key those that share it with another."""
+    """Of rows sorted by key and h those whose key another h shares."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, v, ids, met = (batch.column(c).to_numpy() for c in ("key", "v", "id", "met"))
+        cols = [batch.column(c).to_numpy() for c in ("key", "v", "h", "met")]
         if last is not None:
-            key, v, ids, met = (np.append(a, b) for a, b in zip(last, (key, v, ids, met), strict=True))
+            cols = [np.append(a, b) for a, b in zip(last, cols, strict=True)]
+        key, v, h, met = cols
         same = key[1:] == key[:-1]
+        same &= h[1:] != h[:-1]  # one line may come from several buffers
         hit = met > 0
         hit[:-1] |= same
         hit[1:] |= same
         now = hit[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][now]) for c in (key, v, ids)], names=["key", "v", "id"])
-        last = key[-1:], v[-1:], ids[-1:], np.array([1 if hit[-1] else 0], np.int8)
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][now]) for c in (key, v, h)], names=["key", "v", "h"])
+        last = key[-1:], v[-1:], h[-1:], np.array([1 if hit[-1] else 0], np.int8)
     if last is not None and last[3][0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last[:3]], names=["key", "v", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last[:3]], names=["key", "v", "h"])
 
 
 def similar(a: str, b: str) -> bool:
@@ -339,16 +344,28 @@ def similar(a: str, b: str) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def _letters(lines: list[str]) -> np.ndarray:
-    """How often each line has the letters of each of 32 kinds."""
-    return np.stack([np.bincount(np.frombuffer(x.encode(), np.uint8) & 31, minlength=32) for x in lines])
+def _parts(lines: list[str]) -> list[frozenset]:
+    """What _common() compares: words, or trigrams if any line is short."""
+    if min(x.count(" ") for x in lines) + 1 >= max(SAMPLE_WORDS):
+        return [frozenset(x.split(" ")) for x in lines]
+    return [frozenset([x[i : i + 3] for i in range(max(1, len(x) - 2))]) for x in lines]
+
+
+def _common(a: frozenset, b: frozenset) -> bool:
+    """Whether two fifths of the parts are common, which costs less to tell than edit_distance(). An edit spoils three trigrams, so
+    lines that are similar enough keep that many of them; of words hardly any pair that shares a block of them has fewer."""
+    return 5 * len(a & b) + 10 >= 2 * max(len(a), len(b))
+
 
+def _links(lines: list[str]):
+    """linked() of spanning_edges() for lines."""
+    words = _parts(lines)
 
-def _may_link(counts: np.ndarray, length: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
-    """Whether lines may be as similar as that: an edit changes the number of letters of a kind by one, of two kinds at most."""
-    d = counts[others] - counts[k]
-    least = np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) / 4  # a character is up to four bytes
-    return 100 * least <= (100 - SIMILARITY_PERCENT) * np.maximum(length[others], length[k])
+    def linked(k: int, others: np.ndarray) -> np.ndarray:
+        own, text = words[k], lines[k]
+        return np.fromiter((_common(own, words[j]) and similar(text, lines[j]) for j in others.tolist()), bool, len(others))
+
+    return linked
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,20 +374,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, salt, ids, norm in sorted_runs((b.select(["key", "salt", "id", "norm"]) for b in small), ("key", "salt")):
         bounds = run_bounds([key, salt])
         edges, size = [], np.diff(bounds)
-        for at in bounds[:-1][size == 2].tolist():
-            if similar(norm[at], norm[at + 1]):
-                edges.append((ids[at], ids[at + 1]))
-        for lo, hi in zip(bounds[:-1][size > 2], bounds[1:][size > 2], strict=True):
+        for lo, hi in zip(bounds[:-1][size > 1].tolist(), bounds[1:][size > 1].tolist(), strict=True):
             own = list(norm[lo:hi])
-            counts, length = _letters(own), np.array([len(x) for x in own])
-
-            def linked(k, others, own=own, counts=counts, length=length):
-                near = _may_link(counts, length, k, others)
-                for j in np.flatnonzero(near):
-                    near[j] = similar(own[k], own[others[j]])
-                return near
-
-            edges += [(ids[lo + a], ids[lo + b]) for a, b in spanning_edges(len(own), linked)]
+            edges += [(ids[lo + a], ids[lo + b]) for a, b in spanning_edges(len(own), _links(own))]
         if edges:
             a, b = stars(*np.array(edges, np.int64).T)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -381,11 +387,11 @@ def _verify_open(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if left.empty or right.empty:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     ids, comp, norm = (right[c].to_numpy() for c in ("id", "component", "norm"))
-    edges = []
-    for row in left.itertuples():
+    words, edges = _parts([*norm, *left["norm"]]), []
+    for row, own in zip(left.itertuples(), words[len(norm) :], strict=True):
         met = {row.component}
         for j in np.flatnonzero(comp != row.component):
-            if comp[j] not in met and similar(row.norm, norm[j]):
+            if comp[j] not in met and _common(own, words[j]) and similar(row.norm, norm[j]):
                 met.add(comp[j])
                 edges.append((row.id, ids[j]))
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
@@ -466,7 +472,11 @@ def _places(lines: DataFrame):
 
 
 def _edges(hits: DataFrame, found: DataFrame, bucket_rows: int) -> DataFrame:
-    """Edges (a, b) that join what is similar in the buckets of hits (key, id); found has the lines (id, norm)."""
+    """Edges (a, b) that join what is similar in the buckets of hits (key, id); found has the lines (id, norm). Two lines that are a
+    bucket of their own in several tables are compared once."""
+    sizes = hits.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("n > 1")
+    hits = hits.join(sizes, "key").select(F.when(F.col("n") == 2, F.xxhash64("x", "y")).otherwise(F.col("key")).alias("key"), "id")
+    hits = cut(hits.distinct(), "line-buckets")
     work = hits.join(found, "id")
     hot = hot_keys(hits.groupBy("key").agg(F.count("*").alias("n")), bucket_rows)
     rows = salted(work, hot).repartition("key", "salt").sortWithinPartitions("key", "salt")
@@ -484,10 +494,10 @@ def duplicate_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     Lines are compared without ASCII case, ASCII punctuation and surplus white space; those without words (blank ones, rules) are
     never duplicates. Lines of equal words are one class, by 128 bits of them, from the first aggregation on, however short. Other
     classes link at an edit similarity of 0.8 or more, verified on the normalised lines. Candidates come from tables of pigeonhole
-    blocks, a row of each class in every one: pairs of blocks of the line's SimHash, of which two are equal where two bits differ at
-    most; and, as a SimHash of 64 bits has most lines of that similarity further apart, blocks of words: four words (in short lines
-    and scripts without spaces, trigrams) that an order of the table's own puts first. Only the texts of classes that share a block
-    are made again (a bounded Bloom filter finds them in one pass). Two tables are verified first, of the others what these have left
+    blocks, a row of each class in every one: halves of the line's SimHash, of which one is equal where one bit differs at most; and, as a SimHash of 64 bits has most lines of that similarity further apart, blocks of words: six words (in short lines
+    and scripts without spaces, five runs of five bytes) that an order of the table's own puts first. Only the texts of classes that share a block
+    are made again (a bounded Bloom filter finds them in one pass). Two fifths of the words must be common (of short lines the trigrams)
+    before the distance is worked out. Two tables are verified first, of the others what these have left
     open. Runs give spanning edges, never all pairs; large ones are salted, and what that parts is compared afterwards. Of each
     component the first line by (doc_id, text's hash, line) stays.
 
@@ -498,14 +508,14 @@ def duplicate_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     lines = cut(texts.mapInArrow(_lines, _LINES_SCHEMA), "lines")
     place, doc_id, line, copies = _places(lines)
     place = place.alias("place")
-    least = [F.min(c).alias(c) for c in _COLUMNS]
-    classes = lines.select("h", "g", place, *_COLUMNS).groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n"), *least)
+    classes = lines.select("h", "g", place).groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
-    rows = classes.select("id", *_COLUMNS).mapInArrow(_keys, "key long, v byte, id long, met byte, part long")
-    hits = rows.repartition("part").sortWithinPartitions("key").mapInArrow(_partners, "key long, v byte, id long")
-    hits = cut(hits, "line-partners")
-    near = classes.join(hits.select("id").distinct(), "id", "left_semi")
-    near = cut(near.select("id", "first", doc_id("first").alias("doc_id"), line("first").alias("line")), "near-lines")
+    rows = lines.select("h", *_COLUMNS).mapInArrow(_keys, "key long, v byte, h long, met byte, part long")
+    met = rows.repartition("part").sortWithinPartitions("key", "h").mapInArrow(_partners, "key long, v byte, h long")
+    met = cut(met.distinct(), "line-partners")
+    near = classes.join(met.select("h").distinct(), "h", "left_semi")
+    near = cut(near.select("h", "id", "first", doc_id("first").alias("doc_id"), line("first").alias("line")), "near-lines")
+    hits = cut(met.join(near.select("h", "id"), "h").select("key", "v", "id"), "line-hits")
     there = _fetch(texts, near).select(place, "norm")
     same = F.col("place").eqNullSafe(F.col("first")) if copies else F.col("place") == F.col("first")
     found = cut(near.select("id", "first").join(there, same).select("id", "norm").dropDuplicates(["id"]), "near-texts")
@@ -515,13 +525,12 @@ def duplicate_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     now = more.join(components(edges), F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     more = cut(more.join(several, "key", "left_semi"), "line-open")
-    comp = components(edges.union(_edges(more, found, bucket_rows)))
-    grouped = classes.join(comp, F.col("id") == F.col("node"), "left").select(
-        "h", "g", "first", "n", F.coalesce("component", "id").alias("component")
-    )
-    best = grouped.groupBy("component").agg(F.min("first").alias("best"), F.sum("n").alias("total")).where("total > 1")
-    losers = cut(grouped.join(best, "component").select("h", "g", "best"), "line-losers")
-    rest = lines.select("doc_id", "copy", "line", "h", "g", place).join(losers, ["h", "g"])
+    comp = cut(components(edges.union(_edges(more, found, bucket_rows))), "line-components")
+    linked = classes.join(comp, F.col("id") == F.col("node"))
+    best = linked.groupBy("component").agg(F.min("first").alias("best"))
+    alone = classes.where("n > 1").join(comp.select("node"), F.col("id") == F.col("node"), "left_anti")
+    losers = linked.join(best, "component").select("h", "g", "best").union(alone.select("h", "g", F.col("first").alias("best")))
+    rest = lines.select("doc_id", "copy", "line", "h", "g", place).join(cut(losers, "line-losers"), ["h", "g"])
     return rest.where(~F.col("place").eqNullSafe(F.col("best"))).select("doc_id", "copy", "line")
 
 
