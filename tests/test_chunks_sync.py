@@ -199,3 +199,18 @@ def test_streaming_watch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["note_path"], r["text"]) for r in table.read().collect()] == [("a.md", "changed")]
+
+
+def test_snapshots_are_whole_at_any_moment(spark, tmp_path):
+    table = S.SnapshotTable(spark, f"file://{tmp_path}/t", "id long, v string")
+    assert table.read().count() == 0
+    reader = None
+    for k in range(S.SnapshotTable.KEEP + 3):
+        table.write(spark.createDataFrame([(1, f"v{k}")], "id long, v string"))
+        if reader is not None:  # what a reader has begun with is still there
+            assert reader.first()["v"] == f"v{k - 1}"
+        reader = table.read()
+        assert reader.first()["v"] == f"v{k}"
+    assert len(table.versions()) == S.SnapshotTable.KEEP
+    (tmp_path / "t" / "v99999999999999999999-x").mkdir()  # data without a marker: a write that failed
+    assert table.read().first()["v"] == f"v{k}"

@@ -20,7 +20,7 @@ def test_coverage_and_leaks(spark):
     leak = {r["question_id"]: (r["leak_token"], r["leak_min_df"], r["leak"]) for r in V.leak_min_df(q, notes(spark)).collect()}
     assert leak == {1: ("disk", 1, True), 2: ("", 3, False), 3: ("", 3, False), 4: ("birds", 2, True)}
     rare = {r["question_id"]: (r["token"], r["df"]) for r in V.keyword_rarity(q, notes(spark)).collect()}
-    assert rare[1] == ("disk", 1) and rare[3] == ("topics", 0) and 2 not in rare
+    assert rare[1] == ("disk", 1) and rare[3] == ("topics", 0) and rare[2] == ("", 3)
 
 
 def test_candidate_rules(spark):
@@ -75,6 +75,23 @@ def test_strides(spark, n, limit):
         assert got == [3 * i for i in range(0, n, max(1, n // limit))][:limit]
 
 
+def test_strides_with_other_columns(spark):
+    """Many ranges, shuffled rows and columns beside the key, against a plain sort."""
+    n = 400_000
+    docs = spark.range(n).selectExpr("(id * 7919) % 400000 AS doc_id", "concat('t', id) AS text", "id AS more").repartition(7, "text")
+    got = sorted((r["doc_id"], r["text"], r["more"]) for r in V.stride_uniform(docs, 1000, "doc_id").collect())
+    assert [g[0] for g in got] == [int(i * n / 1000) for i in range(1000)]
+    assert all(text == f"t{more}" and more * 7919 % n == key for key, text, more in got)
+    assert sorted(r["doc_id"] for r in V.stride_integer(docs, 300, "doc_id").collect()) == [i * (n // 300) for i in range(300)]
+
+
+def test_keyword_rarity_without_tokens(spark):
+    notes = spark.createDataFrame([("a", "some text"), ("b", "more")], "note string, text string")
+    asked = spark.createDataFrame([(1, "?!"), (2, "some more"), (3, "text")], "question_id int, question string")
+    got = {r["question_id"]: (r["token"], r["df"]) for r in V.keyword_rarity(asked, notes).collect()}
+    assert got == {1: ("", 2), 2: ("more", 1), 3: ("text", 1)}
+
+
 def test_pools_and_checks(spark):
     files = spark.createDataFrame([("a", 5000, "text"), ("b", 10, "text"), ("c", 5000, "会")], "name string, size int, text string")
     assert [r["name"] for r in V.pool(files, "en", 100).collect()] == ["a"]

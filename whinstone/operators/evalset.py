@@ -75,6 +75,7 @@ def leak_min_df(questions: DataFrame, notes: DataFrame) -> DataFrame:
 
 def keyword_rarity(questions: DataFrame, notes: DataFrame) -> DataFrame:
     """question_id, token, df: the question's token (two characters or more) that the fewest notes hold as a substring; ties by token.
+    Without such a token: an empty one and the number of notes.
 
     The distinct tokens of the questions, a stated set, are tried against every note in one pass.
     """
@@ -83,7 +84,10 @@ def keyword_rarity(questions: DataFrame, notes: DataFrame) -> DataFrame:
     tried = low.join(F.broadcast(tokens.select("token").distinct()), F.contains("text", "token"))
     counts = tried.groupBy("token").agg(F.countDistinct("note").alias("df"))
     rows = tokens.join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    return rows.groupBy("question_id").agg(F.min(F.struct("df", "token")).alias("r")).select("question_id", "r.token", "r.df")
+    rarest = rows.groupBy("question_id").agg(F.min(F.struct("df", "token")).alias("r"))
+    total = notes.agg(F.countDistinct("note").alias("total"))
+    every = questions.select("question_id").distinct().join(rarest, "question_id", "left").crossJoin(F.broadcast(total))
+    return every.select("question_id", F.coalesce("r.token", F.lit("")).alias("token"), F.coalesce("r.df", "total").alias("df"))
 
 
 def gate_candidates(candidates: DataFrame, notes: DataFrame, meta: str = r"(?i)\b(this|the) (note|article|document|passage)\b") -> DataFrame:
@@ -175,7 +179,7 @@ def stride_uniform(docs: DataFrame, limit: int, order: str) -> DataFrame:
         return docs
     spark = docs.sparkSession
     places = spark.range(limit).select((F.floor(F.col("id") * F.lit(n / limit)) + 1).alias("_place"))
-    ranked = _placed(docs, order)
+    ranked = _placed(docs, order, n)
     return ranked.join(F.broadcast(places), "_place", "left_semi").drop("_place")
 
 
@@ -186,13 +190,26 @@ def stride_integer(docs: DataFrame, count: int, order: str) -> DataFrame:
         raise ValueError(f"{count} rows are wanted, there are {n}")
     stride = max(1, n // count)
     at = F.col("_place") - 1
-    return _placed(docs, order).where((at % stride == 0) & (at / stride < count)).drop("_place")
-
-
-def _placed(docs: DataFrame, order: str) -> DataFrame:
-    """docs with _place, from 1 in the global order: places within ranges plus the sizes of the ranges before, so that no task sees all
-    rows."""
-    ranged = docs.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    return _placed(docs, order, n).where((at % stride == 0) & (at / stride < count)).drop("_place")
+
+
+#: Ranges of _placed(): a task ranks about so many rows, but there are no more ranges than RANGES.
+RANGE_ROWS, RANGES = 50_000, 512
+
+
+def _placed(docs: DataFrame, order: str, n: int) -> DataFrame:
+    """docs (n rows) with _place, from 1 in the global order: places within ranges plus the sizes of the ranges before, so that no
+    task sees all rows. The ranges' bounds are values (a bounded sample's), so a row's range is the same wherever it is worked out."""
+    wanted = min(RANGES, n // RANGE_ROWS + 1)
+    sample = docs.select(F.col(order).alias("k")).where("k is not null")
+    if n > 100 * wanted:
+        sample = sample.sample(min(1.0, 100 * wanted / n), seed=7)
+    found = sorted({r["k"] for r in sample.limit(200 * wanted).collect()}) if wanted > 1 else []
+    bounds = sorted({found[i * len(found) // wanted] for i in range(1, wanted)}) if found else []
+    at = F.lit(0)
+    if bounds:
+        at = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))), F.lit(0))
+    ranged = docs.withColumn("_part", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(at))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))

@@ -36,8 +36,11 @@ def delete(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 class SnapshotTable:
-    """A table as numbered Parquet snapshots: a pointer file names the current one, readers of an older one are never disturbed, and a
-    write that fails leaves the table as it was. The embedding's length is fixed by the first write."""
+    """A table as numbered Parquet snapshots. A snapshot counts once its marker is there, a file that is made in one step after all
+    data; readers take the newest one, so they see a whole table at any moment, and a write that fails leaves it as it was. The
+    KEEP newest snapshots stay for readers that have begun. The embedding's length is fixed by the first write."""
+
+    KEEP = 4
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -47,11 +50,13 @@ class SnapshotTable:
         at = jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
+    def versions(self) -> list[str]:
+        """Snapshots that count, the oldest first: their names begin with the time."""
+        fs, at = self._fs(f"{self.path}/CURRENT-*")
+        return sorted(x.getPath().getName().removeprefix("CURRENT-") for x in (fs.globStatus(at) or ()))
+
     def current(self) -> str | None:
-        fs, at = self._fs(f"{self.path}/CURRENT")
-        if not fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        return (self.versions() or [None])[-1]
 
     def exists(self) -> bool:
         return self.current() is not None
@@ -63,16 +68,13 @@ class SnapshotTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
 
     def write(self, rows: DataFrame) -> None:
-        version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         rows.write.parquet(f"{self.path}/{version}")
-        fs, temp = self._fs(f"{self.path}/.next-{version}")
-        out = fs.create(temp, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, pointer = self._fs(f"{self.path}/CURRENT")
-        fs.delete(pointer, False)
-        if not fs.rename(temp, pointer):
-            raise OSError(f"{self.path}: another writer was faster")
+        fs, marker = self._fs(f"{self.path}/CURRENT-{version}")
+        fs.create(marker, False).close()
+        for old in self.versions()[: -self.KEEP]:
+            fs.delete(self._fs(f"{self.path}/CURRENT-{old}")[1], False)
+            fs.delete(self._fs(f"{self.path}/{old}")[1], True)
 
 
 CHUNK_TABLE = (

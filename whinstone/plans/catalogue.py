@@ -830,14 +830,13 @@ def delete_stale(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_OLD_SQL} SELECT doc_id AS id, lang || chr(10) || source || chr(10) || chr(10) || trim(substr(text, 1, 50)) AS text FROM documents
-WHERE doc_id IN (SELECT id FROM old) AND doc_id % 13 = 0"""
+    f"""WITH {_OLD_SQL} SELECT doc_id AS id, lang || chr(10) || source || chr(10) || chr(10) || trim(text) AS text FROM documents
+WHERE doc_id IN (SELECT id FROM old)"""
 )
 def embed_text_of_known(spark, sf_dir):
     old, _ = snapshots(spark, sf_dir)
-    docs = documents(spark, sf_dir).where("doc_id % 13 = 0")
-    rows = docs.join(old.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(
-        F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.array("source").alias("heading_path"), F.trim(F.substring("text", 1, 50)).alias("text")
+    rows = documents(spark, sf_dir).join(old.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.array("source").alias("heading_path"), F.trim("text").alias("text")
     )
     return rows.select("id", chunking.embed_text().alias("text"))
 
