@@ -196,6 +196,36 @@ def plain_log_probability(model, ids):
     return total
 
 
+def test_one_training_step_by_definition():
+    """The gradient against differences of the loss, and Adam's first step against its formula."""
+    from whinstone.llm.masked_lm import Trainer, _join
+
+    rng = np.random.default_rng(2)
+    model = initial_model(rng.integers(1, 50, 64).astype(float))
+    ids, at = _join([rng.integers(0, 64, n).astype(np.int32) for n in (40, 1, 90)], 64)
+    exact = {k: v.astype(np.float64) for k, v in model.items()}
+    trainer = Trainer(model, 0.01)
+    trainer.step(ids, at)
+    for name, x in exact.items():
+        for place in rng.integers(0, x.size, 25):
+            was = x.flat[place]
+            loss = []
+            for step in (1e-4, -1e-4):
+                x.flat[place] = was + step
+                loss.append(-log_probabilities(exact, ids, at).mean())
+            x.flat[place] = was
+            g = trainer.gradient[name].flat[place]
+            assert abs(g - (loss[0] - loss[1]) / 2e-4) < 1e-5, name
+            assert abs(trainer.model[name].flat[place] - (was - 0.01 * g / (abs(g) + 1e-8 / 0.001**0.5))) < 1e-5
+
+
+def test_masked_lm_with_clashing_columns(spark):
+    rows = [(i, f"some words {i} of a text", "x", 1, 2, 3) for i in range(20)] + [(None, None, "x", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string, n int, row int, h int")
+    got = {r["doc_id"]: r for r in masked_lm_scores(docs).collect()}
+    assert len(got) == 21 and got[None]["n_tokens"] == 0 and got[3]["n_tokens"] == 6 and got[3]["log_prob"] < 0
+
+
 def lm_docs():
     rng = random.Random(8)
     chain = {w: [f"w{(int(w[1:]) * 3 + 1) % 40}", f"w{(int(w[1:]) + 7) % 40}"] for w in (f"w{i}" for i in range(40))}

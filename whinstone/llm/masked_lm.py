@@ -66,7 +66,11 @@ def word_codes(words: Words, text: bytes | None) -> np.ndarray:
     if not text:
         return np.empty(0, np.int64)
     get = words.__getitem__
-    return np.concatenate([np.array(list(map(get, b.translate(LOWER).split())), np.int64) for b in text_blocks(text)])
+    parts = []
+    for block in text_blocks(text):
+        found = block.translate(LOWER).split()
+        parts.append(np.fromiter(map(get, found), np.int64, len(found)))
+    return np.concatenate(parts)
 
 
 def code_ids(codes: np.ndarray, size: int) -> np.ndarray:
@@ -131,7 +135,7 @@ def _forward(model: dict, ids: np.ndarray, at: np.ndarray):
     target = ids[at]
     classes, _, per_class = model["word_w"].shape
     cls = target // per_class
-    order = np.argsort(cls, kind="stable")
+    order = _order(cls, classes)
     bounds = np.searchsorted(cls[order], np.arange(classes + 1))
     return h, target, cls, order, bounds
 
@@ -144,55 +148,81 @@ def log_probabilities(model: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarra
         h, target, cls, order, bounds = _forward(model, ids, here)
         x = h @ model["class_w"] + model["class_b"]
         got = (x[np.arange(len(here)), cls] - np.log(_exp(x)[1])).astype(np.float64)
-        for c in range(len(model["word_w"])):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                x = h.take(rows, axis=0) @ model["word_w"][c] + model["word_b"][c]
-                got[rows] += x[np.arange(len(rows)), target[rows] % model["word_w"].shape[2]] - np.log(_exp(x)[1])
+        by_class, place = h.take(order, axis=0), target[order] % model["word_w"].shape[2]
+        inner = np.empty(len(here))
+        for c in np.flatnonzero(np.diff(bounds)):
+            a, b = bounds[c], bounds[c + 1]
+            x = by_class[a:b] @ model["word_w"][c] + model["word_b"][c]
+            inner[a:b] = x[np.arange(b - a), place[a:b]] - np.log(_exp(x)[1])
+        got[order] += inner
         out[lo : lo + BLOCK] = got
     return out
 
 
+def _order(x: np.ndarray, size: int) -> np.ndarray:
+    """A stable order of numbers below size; small ones are sorted by radix."""
+    return np.argsort(x.astype(np.uint16) if size < 1 << 16 else x, kind="stable")
+
+
+def _views(flat: np.ndarray, like: dict) -> dict:
+    """Parts of a flat array, shaped like the parameters, one after the other by name."""
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
 class Trainer:
-    """Adam over blocks of positions."""
+    """Adam over blocks of positions; parameters, gradients and moments are flat arrays, so a step updates all of them at once."""
 
     def __init__(self, model: dict, rate: float):
-        self.model = {k: v.copy() for k, v in model.items()}
-        self.m = {k: np.zeros_like(v) for k, v in model.items()}
-        self.v = {k: np.zeros_like(v) for k, v in model.items()}
+        self.flat = np.concatenate([model[k].ravel() for k in sorted(model)]).astype(np.float32)
+        self.g, self.m, self.v, self.work = (np.zeros_like(self.flat) for _ in range(4))
+        self.model, self.gradient = _views(self.flat, model), _views(self.g, model)
         self.t, self.rate = 0, rate
 
     def step(self, ids: np.ndarray, at: np.ndarray) -> None:
         model, n = self.model, len(at)
         h, target, cls, order, bounds = _forward(model, ids, at)
-        g = {k: np.zeros_like(v) for k, v in model.items()}
+        g = self.gradient
+        self.g[:] = 0
         p = _softmax(h @ model["class_w"] + model["class_b"])
         p[np.arange(n), cls] -= 1
         p /= n
-        g["class_w"], g["class_b"] = h.T @ p, p.sum(0)
+        g["class_w"][:], g["class_b"][:] = h.T @ p, p.sum(0)
         gh = p @ model["class_w"].T
-        for c in range(len(model["word_w"])):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                hr = h.take(rows, axis=0)
-                q = _softmax(hr @ model["word_w"][c] + model["word_b"][c])
-                q[np.arange(len(rows)), target[rows] % model["word_w"].shape[2]] -= 1
-                q /= n
-                g["word_w"][c], g["word_b"][c] = hr.T @ q, q.sum(0)
-                gh[rows] += q @ model["word_w"][c].T
+        by_class, place, back = h.take(order, axis=0), target[order] % model["word_w"].shape[2], np.empty_like(h)
+        for c in np.flatnonzero(np.diff(bounds)):
+            lo, hi = bounds[c], bounds[c + 1]
+            hr = by_class[lo:hi]
+            q = _softmax(hr @ model["word_w"][c] + model["word_b"][c])
+            q[np.arange(hi - lo), place[lo:hi]] -= 1
+            q /= n
+            g["word_w"][c], g["word_b"][c] = hr.T @ q, q.sum(0)
+            np.matmul(q, model["word_w"][c].T, out=back[lo:hi])
+        gh[order] += back
         gh *= 1 - h * h
         for k, o in enumerate(_OFFSETS):
             around = ids[at + o]
-            by = np.argsort(around, kind="stable")
+            by = _order(around, model["embed"].shape[1])
             around = around[by]
             starts = np.flatnonzero(np.append(True, around[1:] != around[:-1]))
             g["embed"][k][around[starts]] = np.add.reduceat(gh.take(by, axis=0), starts, axis=0)
         self.t += 1
         scale = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            model[k] -= (scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+        m, v, work = self.m, self.v, self.work
+        m *= 0.9
+        m += np.multiply(self.g, np.float32(0.1), out=work)
+        v *= 0.999
+        np.multiply(self.g, self.g, out=work)
+        work *= 0.001
+        v += work
+        np.sqrt(v, out=work)
+        work += 1e-8
+        np.divide(m, work, out=work)
+        work *= np.float32(scale)
+        self.flat -= work
 
 
 def _join(parts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +256,7 @@ def _train(model: dict, vocabulary: dict, rate: float):
             learn()
         if total:
             weight = total // 1000 + 1
-            flat = np.concatenate([trainer.model[k].ravel() for k in sorted(model)]).astype(np.float64)
+            flat = trainer.flat.astype(np.float64)
             value = np.rint(flat * FIXED_POINT).astype(np.int64) * weight
             slots = np.arange(-1, len(flat), dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -320,11 +350,8 @@ def fit(docs: DataFrame, rounds: int = 2, rate: float = 0.01, head: int = HEAD)
         rows = sent.groupBy("slot").agg(F.sum("value").alias("value")).toPandas().sort_values("slot")
         if len(rows):
             values = rows["value"].to_numpy()
-            flat, at = values[1:] / values[0] / FIXED_POINT, 0
-            for name in sorted(model):
-                shape = model[name].shape
-                model[name] = flat[at : at + model[name].size].reshape(shape).astype(np.float32)
-                at += model[name].size
+            flat = (values[1:] / values[0] / FIXED_POINT).astype(np.float32)
+            model = _views(flat, model)
     return vocabulary, model
 
 
