@@ -88,3 +88,33 @@ def test_upper_layers_larger_than_the_first_block(monkeypatch):
     assert graph.sizes[1] > 16
     ids, _ = graph.search(x, 48)
     assert (ids[:, 0] == np.arange(len(x))).mean() > 0.99
+
+
+def test_large_and_tiny_finite_vectors(spark):
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 0.0]), (3, [5e-324, 0.0]), (4, [1e308, 1.7e308]), (5, [1e-200, 1.7e-200]), (6, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r)[:3] for r in E.near_duplicate_vectors(df).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6)]
+
+
+def test_wider_beams_walk_the_graph(monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 24))
+    x = np.concatenate([np.repeat(centres, 150, 0) + rng.normal(size=(1800, 24)) * 0.1, rng.normal(size=(3200, 24))])
+    x = unit(x[rng.permutation(len(x))])
+    graph, beams = Graph(x), []
+    walk = graph.search
+    monkeypatch.setattr(graph, "search", lambda q, beam: beams.append(beam) or walk(q, beam))
+    a, b, _ = E._search(graph, x, x, 0.95, E._audited(graph, x, x, 0.95, E.BEAM))
+    true = set(zip(*np.nonzero(x @ x.T >= 0.95)))
+    found = set(zip(a.tolist(), b.tolist()))
+    assert max(beams) >= 4 * E.BEAM and found <= true and len(found) >= 0.995 * len(true)
+
+
+def test_shards_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(E, "SHARD_BYTES", 16 * 8 * 20)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(8, 16))
+    rows = [(i, [float(x) for x in base[i % 8] + rng.normal(size=16) * 0.05]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in E.near_duplicate_vectors(df).collect()) == brute(rows)

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from whinstone.llm.common import components, cut, pick, stars
 from whinstone.llm.hnsw import Graph, unit
 
-#: Points of a shard at most, and shards at least: every vector asks every shard, so shards stay few while each fits a task.
-SHARD_ROWS, MIN_SHARDS = 200_000, 3
+#: Points of a shard at most, bytes of its vectors in double precision, and shards at least: every vector asks every shard, so shards
+#: stay few while each fits a task.
+SHARD_ROWS, SHARD_BYTES, MIN_SHARDS = 200_000, 1 << 28, 3
 BEAM, AUDIT, AUDIT_RECALL = 32, 128, 0.995
-#: A wider beam than one in so many points of the shard is as wide as the shard.
-SCAN = 400
+#: A beam of over one in so many points of the shard is as wide as the shard: a walk would cost more than comparing them all.
+WIDEST = 8
 #: Cells of the table of visited points that a search may hold.
 CELLS = 1 << 26
 
@@ -35,17 +36,15 @@ def _build(shard: pd.DataFrame) -> pd.DataFrame:
 def _search(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, point, cosine) of all links found; a query with links in over three quarters of its beam asks again with one four times as wide."""
     found: list[tuple] = []
-    todo, wider_than = np.arange(len(q)), None
+    todo = np.arange(len(q))
     while len(todo):
         beam = min(beam, len(x))
         wider = []
-        step = max(1, min(256, CELLS // (len(x) + 1), (1 << 20) // beam))
-        everything = wider_than is not None and beam * SCAN > len(x)
-        if everything:
-            step = max(1, (1 << 22) // len(x))
+        everything = beam * WIDEST > len(x) > WIDEST * BEAM or beam == len(x)
+        step = max(1, (1 << 22) // len(x) if everything else min(256, CELLS // (len(x) + 1), (1 << 20) // beam))
         for lo in range(0, len(todo), step):
             rows = todo[lo : lo + step]
-            if everything:  # the widest beam: all points, which a matrix product compares faster than a walk
+            if everything:  # a beam as wide as the shard holds all of its points: they are compared without a walk
                 a, point = np.nonzero(q[rows] @ x.T >= least - 1e-9)
                 who = rows[a]
                 cosine = np.einsum("ij,ij->i", q[who], x[point])
@@ -61,7 +60,7 @@ def _search(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, beam: int)
             ok = cosine >= least
             found.append((who[ok], point[ok], cosine[ok]))
         todo = np.concatenate(wider) if wider else todo[:0]
-        wider_than, beam = beam, beam * 4
+        beam *= 4
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, int),) * 3
 
 
@@ -134,21 +133,23 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, shard_rows:
     of their smallest vec_id; each shard, a bounded group, becomes a graph. Every class asks every shard, block by block: a task
     reads one graph and then streams a block's vectors. Its beam doubles until an audit against all points of the shard, of vectors
     and of points moved to the edge of linking, finds 99.5 % of links, and grows on for a query with links in over three quarters of it, so large groups are found whole.
-    Cosines are verified in double precision. A task sends each vector's number of links and a spanning forest of what it linked,
+    A beam of over an eighth of the shard's points holds all of them. Cosines are verified in double precision, of vectors scaled by powers of two first. A task sends each vector's number of links and a spanning forest of what it linked,
     never all pairs. Vectors that are null, empty or zero or have null or non-finite components link with nothing, and those of
-    different lengths not with each other. Repeated rows are vectors of their own.
+    different lengths not with each other. Repeated rows are vectors of their own. Vectors without a vec_id count as links but name no
+    component, unless all of a class have none: then it links with nothing. An empty table gives no rows; extra columns don't matter.
     """
     spark = vectors.sparkSession
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     rows = pick(vectors, vec_id="long", embedding=kind)
     good = F.expr(
-        "embedding is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < 1e150)"
-        " and exists(embedding, v -> abs(v) > 1e-150)"
+        "embedding is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < double('infinity'))"
+        " and exists(embedding, v -> v <> 0)"
     )
     rows = rows.withColumn("embedding", F.when(F.coalesce(good, F.lit(False)), F.col("embedding")))
     classes = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     classes = cut(classes.where("id is not null").withColumn("dim", F.size("embedding")), "vector-classes")
-    total = classes.count()
+    total, longest = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shard_rows = min(shard_rows, max(1, SHARD_BYTES // (8 * longest)))
     shards = max(MIN_SHARDS, math.ceil(total / shard_rows))
     blocks = max(1, math.ceil(total / max(8192, math.ceil(total / shards))))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))

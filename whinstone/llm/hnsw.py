@@ -8,15 +8,16 @@ import numpy as np
 
 #: Links of a new point, most links of a point, and beam while building.
 LINKS, MOST, BUILD_BEAM = 16, 32, 64
-#: Nodes of a beam that are expanded at once.
-EXPAND = 4
+#: Nodes of a beam that are expanded at once: so many, or of a wide beam a part of it, so that its rounds stay few.
+EXPAND, EXPAND_PART = 4, 16
 #: Layers of at most this many points are linked by comparing all of them.
 EXACT = 1024
 BATCH = 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length 1, in double precision."""
+    """Rows of length 1, in double precision. They are scaled by a power of two first, so no finite row is too large or too small."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -40,7 +41,7 @@ def search_layer(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, entry: np.n
     rows = np.arange(n_q)
     while len(rows):
         s = np.where(todo[rows], sims[rows], -np.inf)
-        width = min(EXPAND, beam)
+        width = min(max(EXPAND, beam // EXPAND_PART), beam)
         at = np.argpartition(-s, width - 1, axis=1)[:, :width] if beam > width else np.tile(np.arange(width), (len(rows), 1))
         open_ = np.take_along_axis(s, at, 1) > -np.inf
         alive = open_.any(axis=1)
