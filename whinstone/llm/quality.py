@@ -13,14 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whinstone.llm.common import LOWER, binary_texts, cut, pick, text_blocks
+from whinstone.llm.common import LOWER, TEXT_BLOCK, binary_texts, cut, pick, text_blocks
 
 #: Buckets of each of the three families of n-grams: words, pairs of words, pairs of word shapes.
 BUCKETS, FAMILIES = 1 << 14, 3
 #: How much a model of raw text weighs in the target's smoothing, in n-grams.
 PRIOR = 500.0
-#: Nats that a whole step of the mean log ratio is worth against the Gumbel noise.
-SHARPNESS = 200.0
+#: What summed log weights are divided by before the Gumbel noise: 1 samples in proportion to the weights themselves.
+TEMPERATURE = 1.0
 #: N-grams of ratio 1 that are added to every text, so that a few rare words don't condemn a short one.
 NEUTRAL = 20
 
@@ -49,19 +49,26 @@ def _bucket(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
     return ((x * _MIX) >> np.uint64(64 - 14)).astype(np.int64)
 
 
-def buckets(words: _Words, text: bytes | None) -> Iterator[np.ndarray]:
-    """The buckets of a text's n-grams, block by block; a family's buckets are numbered after those of the one before. A pair of
-    equal words is one and the same n-gram whatever the word, so repetition shows however rare the word is."""
-    for block in text_blocks(text or b""):
+def buckets(words: _Words, text: bytes | None, size: int = TEXT_BLOCK) -> Iterator[np.ndarray]:
+    """The buckets of a text's n-grams, block by block; a family's buckets are numbered after those of the one before. A block's last
+    word is carried into the next one, so where blocks end makes no difference. A pair of equal words is one and the same n-gram
+    whatever the word, so repetition shows however rare the word is."""
+    last, out, low = np.empty(0, np.uint64), None, np.uint64(0xFFFFFFFF)
+    for block in text_blocks(text or b"", size):
         found = block.split()
         if not found:
             continue
-        both = np.array(list(map(words.__getitem__, found)), np.uint64)
-        word, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+        if out is not None:
+            yield out
+        both = np.concatenate([last, np.array(list(map(words.__getitem__, found)), np.uint64)])
+        word, shape = both >> np.uint64(32), both & low
         two = _bucket(word[:-1], word[1:])
         two[word[:-1] == word[1:]] = int(_bucket(_REPEAT[None])[0])
-        around = _bucket(shape, np.append(shape[1:], np.uint64(0)))
-        yield np.concatenate([_bucket(word), two + BUCKETS, around + 2 * BUCKETS])
+        around = _bucket(shape[:-1], shape[1:])
+        out = np.concatenate([_bucket(word[len(last) :]), two + BUCKETS, around + 2 * BUCKETS])
+        last = both[-1:]
+    if out is not None:  # the last word's shape, with nothing after it
+        yield np.append(out, _bucket(last & low, np.zeros(1, np.uint64)) + 2 * BUCKETS)
 
 
 @dataclass
@@ -71,13 +78,19 @@ class Ratio:
     logs: np.ndarray
     cut: float = -np.inf
 
-    def weigh(self, words: _Words, text: bytes | None) -> float:
-        """The mean log ratio of a text's n-grams and NEUTRAL more of ratio 1; 0 for a text without words."""
-        total, n = 0.0, 0
+    def summed(self, words: _Words, text: bytes | None) -> tuple[float, int]:
+        """The summed log ratio of a text's n-grams and how many they are, NEUTRAL more of ratio 1 included."""
+        total, n = 0.0, NEUTRAL
         for b in buckets(words, text):
             total += float(self.logs[b].sum())
             n += len(b)
-        return total / (n + NEUTRAL)
+        return total, n
+
+    def weigh(self, words: _Words, text: bytes | None) -> float:
+        """The log weight: the summed log ratio, less the cut for each n-gram. That is a length term: target texts go on after an
+        n-gram with exp(-cut) times the raw texts' probability."""
+        total, n = self.summed(words, text)
+        return total - n * self.cut if np.isfinite(self.cut) else total
 
 
 def gumbel(doc_id: int | None, seed: int) -> float:
@@ -107,7 +120,7 @@ def _weigh(ratio: Ratio, seed: int):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             weights = [ratio.weigh(words, t) for t in binary_texts(batch.column("text"))]
-            keys = [SHARPNESS * w + gumbel(i, seed) for w, i in zip(weights, ids, strict=True)]
+            keys = [w / TEMPERATURE + gumbel(i, seed) for w, i in zip(weights, ids, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(weights, pa.float64()), pa.array(keys, pa.float64())],
                 names=["doc_id", "log_weight", "sample_key"],
@@ -116,12 +129,23 @@ def _weigh(ratio: Ratio, seed: int):
     return run
 
 
+def _means(ratio: Ratio):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            sums = [ratio.summed(words, t) for t in binary_texts(batch.column("text"))]
+            means = pa.array([total / n for total, n in sums], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), means], names=["doc_id", "quality", "mean"])
+
+    return run
+
+
 def _sample(ratio: Ratio, seed: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             rows = zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), binary_texts(batch.column("text")), strict=True)
-            keep = [SHARPNESS * ratio.weigh(words, t) + gumbel(i, seed) >= least for i, t in rows]
+            keep = [ratio.weigh(words, t) / TEMPERATURE + gumbel(i, seed) >= least for i, t in rows]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -137,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, seed: int =
     """Raw model: n-grams of all documents. Target model: those of documents labelled 1, of one half of at most max_rows labelled rows
     (by a hash of doc_id; their ids are broadcast, at most 12 bytes each). Tasks count into arrays of fixed size, which Spark sums.
 
-    The cut is the mean log ratio with the best balanced accuracy on the other half, which the target model has not seen; without
-    labels of both kinds, none.
+    The cut is the mean log ratio with the best balanced accuracy on the other half, which the target model has not seen (of rows with
+    one doc_id, the smallest mean); without labels of both kinds, none.
     """
     known = F.broadcast(_labelled(labels, max_rows))
     texts = pick(docs, doc_id="long", text="string").join(known, "doc_id", "left")
@@ -152,9 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 50_000, seed: int =
     q = (target + PRIOR * p) / (target.sum(1, keepdims=True) + PRIOR)
     ratio = Ratio((np.log(q) - np.log(p)).ravel() if target.any() else np.zeros(raw.size))
     graded = texts.where("quality is not null").where(fold == 1).select("doc_id", "text", "quality")
-    scored = graded.select("doc_id", "text").mapInArrow(_weigh(ratio, seed), "doc_id long, log_weight double, sample_key double")
-    rows = scored.join(known, "doc_id").select("log_weight", "quality").limit(2 * max_rows).toPandas()
-    ratio.cut = best_cut(rows["log_weight"].to_numpy(float), rows["quality"].to_numpy(int))
+    rows = graded.mapInArrow(_means(ratio), "doc_id long, quality int, mean double")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("mean").alias("mean")).toPandas()  # at most max_rows
+    ratio.cut = best_cut(rows["mean"].to_numpy(float), rows["quality"].to_numpy(int))
     return ratio
 
 
@@ -205,7 +229,7 @@ def _threshold(docs: DataFrame, ratio: Ratio, seed: int, k: int | None) -> tuple
         "weights",
     )
     if k is None:
-        k = scored.where(F.col("log_weight") >= ratio.cut).count()
+        k = (scored.where("log_weight >= 0") if np.isfinite(ratio.cut) else scored).count()
     if k <= 0:
         return scored, np.inf
     return scored, kth_largest(scored, "sample_key", min(k, scored.count()))
@@ -214,12 +238,14 @@ def _threshold(docs: DataFrame, ratio: Ratio, seed: int, k: int | None) -> tuple
 def importance_sample(
     docs: DataFrame, labels: DataFrame, k: int | None = None, max_rows: int = 50_000, seed: int = 11
 ) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, log_weight (mean log importance of its n-grams), sample_key (SHARPNESS times that,
-    plus Gumbel noise by doc_id), kept (among the k largest keys; rows tied with the last stay too).
-
-    k is by default how many documents weigh at least the cut between labels 1 and 0, so the sample is as large as the good part of
-    the corpus. A text without words weighs 0; null labels don't count; without any labels everything is kept; an empty table gives
-    an empty result. Repeated rows get equal keys.
+    """Per row of docs (doc_id, text): doc_id, log_weight (summed log ratio of the target's and the raw model's probabilities of its
+    n-grams, with a length term: Ratio.weigh), sample_key (that over TEMPERATURE, plus Gumbel noise by doc_id), kept (among the k
+    largest keys; rows tied with the last stay too).
+
+    k is by default how many documents weigh 0 or more, the cut between labels 1 and 0, so the sample is as large as the good part of
+    the corpus. Whole texts count, also very long ones, in blocks. A null text or one without words has no n-grams but the NEUTRAL ones;
+    null labels don't count; without labels of both kinds everything is kept; an empty table gives an empty result. Repeated rows get equal
+    keys, and so do rows without a doc_id and of the same text. Extra columns of docs don't matter.
     """
     scored, least = _threshold(docs, fit(docs, labels, max_rows, seed), seed, k)
     return scored.withColumn("kept", F.col("sample_key") >= F.lit(least))
