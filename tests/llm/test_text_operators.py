@@ -308,3 +308,45 @@ def test_duplicate_buckets_do_not_depend_on_blocks(monkeypatch):
     assert sum(whole.values()) == 60 + 59 + 60
     monkeypatch.setattr(common, "TEXT_BLOCK", 10)
     assert defaultdict(int, whole)
+
+
+def test_ngrams_do_not_depend_on_blocks():
+    text = b" ".join(random.Random(1).choices([b"aa", b"Bb", b"cc1", b"d", b"aa aa"], k=400))
+    whole = np.bincount(np.concatenate(list(Q.buckets(Q._Words(), text))))
+    for size in (1, 10, 40, 399):
+        parts = list(Q.buckets(Q._Words(), text, size))
+        assert len(parts) > 2 and np.array_equal(np.bincount(np.concatenate(parts)), whole)
+
+
+def test_weights_and_the_sample_by_hand(spark):
+    docs, labels = quality_corpus(120)
+    df = spark.createDataFrame([*docs, docs[0], (9001, ""), (9002, "aa " * 400_000)], SCHEMA)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    ratio = Q.fit(df, lab, 1000, 11)
+    words, keys = Q._Words(), {}
+    for d, t in [*docs, (9001, ""), (9002, "aa " * 400_000)]:
+        grams = [b for part in Q.buckets(words, t.encode()) for b in part.tolist()]
+        weight = sum(ratio.logs[b] for b in grams) - ratio.cut * (len(grams) + Q.NEUTRAL)
+        keys[d] = weight, weight + Q.gumbel(d, 11)
+    rows = Q.importance_sample(df, lab, k=50, max_rows=1000, seed=11).collect()
+    best = sorted([keys[r["doc_id"]][1] for r in rows], reverse=True)[49]
+    assert len(rows) == len(docs) + 3
+    for r in rows:
+        assert np.allclose((r["log_weight"], r["sample_key"]), keys[r["doc_id"]], rtol=1e-6)
+        assert r["kept"] == (r["sample_key"] >= best - 1e-6 * abs(best))
+    assert Q.importance_sample(df.where("false"), lab).count() == 0
+    assert all(r["kept"] for r in Q.importance_sample(df, lab.where("false")).collect())
+
+
+def test_short_items_have_their_budget_and_blocks_do_not_matter(spark):
+    docs = [(1, "what is a whale"), (2, "What is  a whale?"), (3, "what is a whale and more of it"), (4, "whot is b whale"), (5, None), (6, "x" * 50_000)]
+    items = [(10, "what is a whale"), (11, "the quick brown fox jumps over the lazy dog"), (12, ""), (13, None), (14, "x" * 30)]
+    docs += [(7, "so the quick brown fox jumped over the lazy dog, he said")]
+    df = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 as distance", "2 as item_id")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [(1, 10, 0), (2, 10, 1), (6, 14, 0), (7, 11, 2)]
+    for block in (1 << 20, 20):
+        got = D.contamination(df, bench, block_chars=block)
+        assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()) == want
+        left = D.decontaminate(df, bench, block_chars=block)
+        assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5]

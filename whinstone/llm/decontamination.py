@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whinstone.llm.common import pick
+from whinstone.llm.common import cut, edit_distance, pick, release
 
 HITS = "doc_id long, item_id long, distance int, start long, end long"
 
@@ -59,50 +59,76 @@ def myers(pattern: str, text: str, peq: dict[str, int] | None = None, whole: boo
 GRAM = 5
 
 
+class _Pieces:
+    """Exact pieces of items, found in one Aho-Corasick pass over a text."""
+
+    def __init__(self):
+        import ahocorasick
+
+        self.where: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.automaton = ahocorasick.Automaton()
+
+    def add(self, at: int, text: str, k: int) -> None:
+        """Cut a text into k + 1 pieces, of which k edits leave one untouched."""
+        for i in range(k + 1):
+            a, b = i * len(text) // (k + 1), (i + 1) * len(text) // (k + 1)
+            self.where[text[a:b]].append((at, a))
+
+    def finish(self) -> None:
+        for piece, where in self.where.items():
+            self.automaton.add_word(piece, (len(piece), where))
+        if self.where:
+            self.automaton.make_automaton()
+
+    def places(self, text: str) -> dict[int, set[int]]:
+        """For each item that has a piece in text the places where it would start."""
+        found: dict[int, set[int]] = defaultdict(set)
+        if self.where and text:
+            for end, (n, where) in self.automaton.iter(text):
+                for at, offset in where:
+                    found[at].add(end + 1 - n - offset)
+        return found
+
+
 class Matcher:
     """Items with at most `rate` edits a character, found in normalised texts.
 
     An item of n characters allows k = int(n * rate) edits and is cut into k + 1 pieces: k edits leave one of them untouched. One
     Aho-Corasick pass over a text finds all exact pieces; each gives a place where the item would lie, and places within the
     budget of each other are verified together. First the place's 5-grams are counted: an edit spoils at most five of the item's,
-    so a place with fewer than n - 4 - 5k of them can't be within k edits.
+    so a place with fewer than n - 4 - 5k of them can't be within k edits. Items of fewer than min_chars characters have the same
+    budget and pieces, but are held against whole texts only.
     """
 
     def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
-        import ahocorasick
-
-        self.items, self.short = [], defaultdict(list)
-        pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.items, self.short, self.longest_short = [], [], 0
+        self.pieces, self.short_pieces = _Pieces(), _Pieces()
         for item_id, text in items:
             text = normalise(text)
+            k = int(len(text) * rate)
+            if not text:
+                continue
             if len(text) < min_chars:
-                if text:
-                    self.short[text].append(item_id)
+                self.short_pieces.add(len(self.short), text, k)
+                self.short.append((item_id, text, k))
+                self.longest_short = max(self.longest_short, len(text) + k)
                 continue
-            k, at = int(len(text) * rate), len(self.items)
             grams = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+            self.pieces.add(len(self.items), text, k)
             self.items.append((item_id, text, k, masks(text), grams))
-            for i in range(k + 1):
-                a, b = i * len(text) // (k + 1), (i + 1) * len(text) // (k + 1)
-                pieces[text[a:b]].append((at, a))
-        self.automaton = ahocorasick.Automaton()
-        for piece, where in pieces.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        if pieces:
-            self.automaton.make_automaton()
-        self.empty = not pieces
+        self.pieces.finish()
+        self.short_pieces.finish()
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of the best place of each item that occurs in text."""
         text = normalise(text)
-        out = [(i, 0, 0, len(text)) for i in self.short.get(text, ())]
-        if self.empty or not text:
-            return out
-        places: dict[int, set[int]] = defaultdict(set)
-        for end, (n, where) in self.automaton.iter(text):
-            for at, offset in where:
-                places[at].add(end + 1 - n - offset)
-        for at, starts in places.items():
+        out = []
+        if len(text) <= self.longest_short:
+            for at in self.short_pieces.places(text):
+                item_id, item, k = self.short[at]
+                if (distance := edit_distance(item, text, k)) <= k:
+                    out.append((item_id, distance, 0, len(text)))
+        for at, starts in self.pieces.places(text).items():
             item_id, pattern, k, peq, grams = self.items[at]
             if (best := self._best(text, pattern, k, peq, grams, sorted(starts))) is not None:
                 out.append((item_id, *best))
@@ -129,14 +155,19 @@ class Matcher:
         return best
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about block_chars characters: the driver and a task hold one block's automaton at a time."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks of about block_chars characters the items make, and these one by one: where the caller writes what a block
+    finds before it takes the next, the driver and a task hold one block's items at a time."""
     items = pick(benchmark, item_id="long", text="string").where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
-    for k in range(n):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"]) for r in mine.collect()]
+
+    def blocks() -> Iterator[list[tuple[int, str]]]:
+        for k in range(n):
+            mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+            yield [(r["item_id"], r["text"]) for r in mine.collect()]
+
+    return n, blocks()
 
 
 def _hits(items: list, rate: float, min_chars: int):
@@ -173,13 +204,17 @@ def contamination(
     int(rate * item length) edits: doc_id, item_id, distance, start, end (characters of the normalised text).
 
     Texts and items are lower-cased with white space collapsed. Null or empty texts and items match nothing; an item of fewer than
-    min_chars characters counts only where it is a whole document (its words occur anywhere). Repeated documents or items give
-    repeated pairs; empty tables give none. There is no shuffle: items come in bounded blocks, each one pass over the documents.
+    min_chars characters counts only where it is a whole document, with as many edits (its words occur anywhere). Texts of any length
+    are searched whole. Of several places of an item the one with the smallest distance is given, of equal ones the first. Repeated
+    documents or items give repeated pairs; empty tables give none; extra columns don't matter. There is no shuffle: items come in
+    bounded blocks, each one pass over the documents, whose hits are written before the next block is read.
     """
     texts = pick(docs, doc_id="long", text="string")
+    n, blocks = _blocks(benchmark, block_chars)
     out = None
-    for items in _blocks(benchmark, block_chars):
+    for items in blocks:
         found = texts.mapInArrow(_hits(items, rate, min_chars), HITS)
+        found = cut(found, "hits") if n > 1 else found
         out = found if out is None else out.union(found)
     return out
 
@@ -187,7 +222,14 @@ def contamination(
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 24, block_chars: int = 8 << 20
 ) -> DataFrame:
-    """The rows of docs, all columns, in which no item of benchmark occurs (see contamination())."""
-    for items in _blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(_clean(items, rate, min_chars), docs.schema)
-    return docs
+    """The rows of docs, all columns, in which no item of benchmark occurs (see contamination()). With several blocks of items, what
+    one leaves is written before the next is read."""
+    n, blocks = _blocks(benchmark, block_chars)
+    left = docs
+    for items in blocks:
+        before, left = left, left.mapInArrow(_clean(items, rate, min_chars), docs.schema)
+        if n > 1:
+            left = cut(left, "clean")
+            if before is not docs:
+                release(before)
+    return left
