@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 #: A block has 8 words of 32 bits; 16 keys in each set about a third of its bits.
 KEYS_PER_BLOCK = 16
-#: The filter is broadcast up to this size only (1 GB of list makes about 40 MB of filter); beyond it the exact join does without.
+#: The filter is broadcast up to this size only (1 GB of list makes about 40 MB of filter); a larger one is joined by block.
 MAX_FILTER_BYTES = 64 << 20
 #: Distinct (labels, path length) shapes of a list up to which only they are tried for each URL; beyond, all of the URL's own are.
 MAX_SHAPES = 4096
@@ -90,13 +90,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", unlisted: s
     tried = tried.select("host", "path", "c.*").withColumn("h", F.xxhash64("r_host", "r_path"))
 
     blocks = max(1, -(-listed.count() // KEYS_PER_BLOCK))
-    if blocks * 64 <= MAX_FILTER_BYTES:
-        passes = F.lit(True)
-        for i in range(8):
-            passes &= F.call_function("shiftright", F.col(f"w{i}"), _word_bit(F.col("h"), i).cast("int")).bitwiseAND(1) == 1
-        known = bloom_filter(listed.select("h"), blocks)
-        tried = tried.withColumn("block", _block(F.col("h"), blocks))
-        tried = tried.join(F.broadcast(known), "block").where(passes).select("host", "path", "r_host", "r_path")
+    passes = F.lit(True)
+    for i in range(8):
+        passes &= F.call_function("shiftright", F.col(f"w{i}"), _word_bit(F.col("h"), i).cast("int")).bitwiseAND(1) == 1
+    known = bloom_filter(listed.select("h"), blocks)
+    known = F.broadcast(known) if blocks * 64 <= MAX_FILTER_BYTES else known
+    tried = tried.withColumn("block", _block(F.col("h"), blocks)).join(known, "block")
+    tried = tried.where(passes).select("host", "path", "r_host", "r_path")
     hits = tried.join(listed, ["r_host", "r_path"])
     best = hits.groupBy("host", "path").agg(
         F.max(
