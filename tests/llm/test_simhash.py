@@ -94,3 +94,18 @@ def test_hexadecimal(spark):
     rows = {r["doc_id"]: r["h"] for r in fingerprints(df).select("doc_id", hexadecimal("fp").alias("h")).collect()}
     assert rows == {1: f"{plain_fingerprint('a b c'):016x}", 2: "0" * 16}
     assert np.uint64(int(rows[1], 16))
+
+
+def test_columns_of_any_name_survive(spark):
+    from whinstone.llm.near_copies import drop_near_copies
+    from whinstone.llm.simhash import drop_near_duplicates
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 5), (2, text, 6), (3, "something else", 7), (None, text, 8), (4, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int").selectExpr(
+        "doc_id", "text", "k as _gone", "k as gone", "k as row", "k as id", "k as component_id", "k as fp"
+    )
+    for drop in (drop_near_duplicates, drop_near_copies):
+        left = drop(df)
+        assert left.columns == df.columns
+        assert {1, 3, 4} <= {r["doc_id"] for r in left.collect()} and 2 not in {r["doc_id"] for r in left.collect()}
