@@ -47,6 +47,8 @@ _NORMAL = bytes(
 #: Bytes of normalised text that are worked on at a time.
 CHUNK = 1 << 18
 BLOOM_BITS = 1 << 27
+#: What a row's table number is raised by once for a line that met another in its buffer, twice if it isn't dealt by their key.
+MET = np.int8(32)
 _COLUMNS = ["sim", *[f"b{t}" for t in range(SAMPLES)]]
 
 _P = 0x9E3779B97F4A7C15
@@ -296,26 +298,33 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
+def _packed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is shuffled of _keys(): key, v plus MET times met, h; the part follows from them."""
+    for b in _keys(batches):
+        v = b.column("v").to_numpy() + MET * b.column("met").to_numpy()
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(v), b.column("h")], names=["key", "v", "h"])
+
+
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and h those whose key another h shares."""
+    """Of packed rows sorted by key and h those whose key another h shares."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(c).to_numpy() for c in ("key", "v", "h", "met")]
+        cols = [batch.column(c).to_numpy() for c in ("key", "v", "h")]
         if last is not None:
             cols = [np.append(a, b) for a, b in zip(last, cols, strict=True)]
-        key, v, h, met = cols
+        key, v, h = cols
         same = key[1:] == key[:-1]
         same &= h[1:] != h[:-1]  # one line may come from several buffers
-        hit = met > 0
+        hit = v >= MET
         hit[:-1] |= same
         hit[1:] |= same
         now = hit[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][now]) for c in (key, v, h)], names=["key", "v", "h"])
-        last = key[-1:], v[-1:], h[-1:], np.array([1 if hit[-1] else 0], np.int8)
-    if last is not None and last[3][0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last[:3]], names=["key", "v", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][now]) for c in (key, v % MET, h)], names=["key", "v", "h"])
+        last = key[-1:], v[-1:] % MET + MET * hit[-1:].astype(np.int8), h[-1:]
+    if last is not None and last[1][0] >= MET:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (last[0], last[1] % MET, last[2])], names=["key", "v", "h"])
 
 
 def similar(a: str, b: str) -> bool:
@@ -510,8 +519,8 @@ def duplicate_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     place = place.alias("place")
     classes = lines.select("h", "g", place).groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
-    rows = lines.select("h", *_COLUMNS).mapInArrow(_keys, "key long, v byte, h long, met byte, part long")
-    met = rows.repartition("part").sortWithinPartitions("key", "h").mapInArrow(_partners, "key long, v byte, h long")
+    rows = lines.select("h", *_COLUMNS).mapInArrow(_packed_keys, "key long, v byte, h long")
+    met = rows.repartition(F.when(F.col("v") >= 2 * int(MET), F.col("h")).otherwise(F.col("key"))).sortWithinPartitions("key", "h").mapInArrow(_partners, "key long, v byte, h long")
     met = cut(met.distinct(), "line-partners")
     near = classes.join(met.select("h").distinct(), "h", "left_semi")
     near = cut(near.select("h", "id", "first", doc_id("first").alias("doc_id"), line("first").alias("line")), "near-lines")
@@ -560,9 +569,9 @@ def dedup_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     one document, so each of them keeps what it keeps. Other columns of any name stay as they are."""
     gone = duplicate_lines(docs, bucket_rows).groupBy("doc_id", "copy").agg(F.collect_set("line").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("its_doc"), F.col("copy").alias("its_copy"), "gone")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    whole = docs.select(row.alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
-    whole = whole.withColumn("copy", _copy(F.col("text")))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    whole = docs.select(rest.alias("row"), F.col("text").cast("string").alias("text"))
+    whole = whole.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), "text").withColumn("copy", _copy(F.col("text")))
     joined = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("its_doc")) & (F.col("copy") == F.col("its_copy")), "left")
     out = joined.select("row", "text", "gone").mapInArrow(
         _without, joined.select("row", "text").schema.add("n_kept", "integer").add("n_dropped", "integer")
@@ -574,6 +583,7 @@ def dedup_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 def drop_duplicate_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs, its columns only, with text lacking its duplicate lines; documents that lose every line with words go, those that had
     none stay. Columns of docs named n_kept or n_dropped stay what they are."""
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    plain = docs.select(rest.alias("row"), F.col("doc_id"), F.col("text"))
     left = dedup_lines(plain, bucket_rows).where(F.col("text").isNull() | (F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
     return left.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
