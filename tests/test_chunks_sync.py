@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from whinstone.engine import Engine, Settings
 from whinstone.operators import sync as S
 from whinstone.operators.chunking import chunk_notes, chunk_spans, hard_split
 from whinstone.operators.embedding import CachedEmbedder, HashingEmbedder, Md5Embedder, build_embedder
+from whinstone.operators.evaluation import language_rollup, leak_rollup, query_labels
 from whinstone.sources.files import decode, read_candidates, read_eval_set, read_names, read_roots, read_vault, to_qrels, write_corpus, write_jsonl
 
 
@@ -152,8 +154,43 @@ def test_sync_and_search(spark, vault, tmp_path):
     assert sorted((r["query_id"], r["doc_id"], r["grade"]) for r in to_qrels(rows).collect()) == [
         ("1", "note.md", 1.0), ("2", "note.md", 1.0), ("2", "sub/deep.markdown", 2.0),
     ]
-    report = {(r["view"], r["metric"]): r["value"] for r in engine.evaluate(rows, ["keyword"]).collect()}
+    found = engine.evaluation(rows, ["keyword"], (1, 5), repeats=2, samples=20)
+    got = {(r["mode"], r["view"], r["metric"]): r["value"] for r in found.metrics.collect()}
+    report = {key[1:]: value for key, value in got.items()}
     assert report["strict", "recall@1"] == 1 and report["strict", "queries"] == 2 and report["abstention", "abstain_rate"] == 1
+    assert got["keyword", "lang:en", "queries"] == 2 and got["keyword", "lang:en", "notes"] == 2 and got["keyword", "lang:en", "abstained"] == 1
+    assert got["keyword", "strict", "recall@1 low"] == got["keyword", "strict", "recall@1 high"] == 1
+    assert got["keyword", "abstention", "recall@5 with abstention"] == 1 and got["keyword", "time", "ms_per_query p95"] > 0
+    assert found.drift == [] and not any(view.startswith("leak") for _, view, _ in got)
+    text = found.report()
+    assert [x for x in text.splitlines() if x.startswith("## ")] == ["## Quality", "## Languages", "## Abstention and time"]
+    found.write_json(str(tmp_path / "run.json"))
+    run = json.loads((tmp_path / "run.json").read_text())
+    assert run["rankings"]["keyword"]["1"][0] == "note.md" and run["coverage"]["keyword"]["1"] == 1 and run["drift"] == []
+    for bad in ({"repeats": 0}, {"ks": ()}, {"samples": -1}):
+        with pytest.raises(ValueError):
+            engine.evaluation(rows, ["keyword"], **bad)
+
+
+def test_query_labels(spark):
+    rows = spark.createDataFrame(
+        [("a", "what", {"x": 1.0, "y": 2.0, "z": 2.0}, None, None, 3), ("b", "什么", {}, None, True, None)],
+        "id string, question string, grades map<string,double>, lang string, leak boolean, leak_min_df int",
+    )
+    got = {r["query_id"]: tuple(r)[1:] for r in query_labels(rows).collect()}
+    assert got == {"a": ("y", "en", "3-10", False), "b": (None, "zh", None, True)}
+
+
+def test_rollups(spark):
+    labels = spark.createDataFrame(
+        [("a", "n1", "en", "<=2", False), ("b", "n1", "en", "3-10", False), ("c", "n2", "zh", "<=2", False), ("d", None, "en", "<=2", False)],
+        "query_id string, cluster string, lang string, bucket string, leak boolean",
+    )
+    facts = spark.createDataFrame([("a", 1.0, 1.0), ("b", 0.0, 0.5), ("c", 1.0, 0.0)], "query_id string, `recall@5` double, `ndcg@10` double")
+    coverage = spark.createDataFrame([("a", 0.9), ("b", 0.1), ("c", 0.9), ("d", 0.2)], "query_id string, coverage double")
+    got = {r["lang"]: tuple(r)[1:] for r in language_rollup(facts, facts, coverage, labels, "recall@5", "ndcg@10", 0.3).collect()}
+    assert got == {"en": (2, 1, 0.5, 0.75, 1, 1, 0.5), "zh": (1, 1, 1.0, 0.0, 0, 0, 0.0)}
+    assert {tuple(r) for r in leak_rollup(facts, labels, "recall@5").collect()} == {("<=2", 2, 1.0), ("3-10", 1, 0.0)}
 
 
 def test_broken_eval_sets(spark, tmp_path):
@@ -162,6 +199,9 @@ def test_broken_eval_sets(spark, tmp_path):
         path.write_text(text)
         with pytest.raises(ValueError):
             read_eval_set(spark, str(path))
+    path.write_text('// one\n{"id": "1", "question": "q", "relevant_notes": []}\n{"id": "1"}\n')
+    with pytest.raises(ValueError, match=r"x\.jsonl:3: "):
+        read_eval_set(spark, str(path))
 
 
 def test_candidates_and_names(spark, tmp_path):

@@ -6,7 +6,6 @@ import argparse
 from dataclasses import asdict
 
 from whinstone.engine import Engine
-from whinstone.operators.metrics import report
 from whinstone.operators.retrieval import MODES, format_hits
 from whinstone.session import local_session
 from whinstone.sources.files import read_eval_set, write_jsonl
@@ -28,7 +27,10 @@ def main() -> None:
     p.add_argument("--modes", default=",".join(MODES))
     p.add_argument("--ks", default="1,5,10")
     p.add_argument("--abstain-threshold", type=float, default=0.30)
+    p.add_argument("--latency-repeats", type=int, default=1)
+    p.add_argument("--bootstrap-samples", type=int, default=2000)
     p.add_argument("--out")
+    p.add_argument("--json")
     p = sub.add_parser("drafts")
     p.add_argument("--out", required=True)
     p.add_argument("--limit", type=int)
@@ -45,7 +47,11 @@ def main() -> None:
             print(row["line"])
     elif args.command == "eval":
         rows = read_eval_set(engine.spark, args.dataset)
-        text = report(engine.evaluate(rows, args.modes.split(","), [int(k) for k in args.ks.split(",")], args.abstain_threshold))
+        ks = [int(k) for k in args.ks.split(",")]
+        found = engine.evaluation(rows, args.modes.split(","), ks, args.abstain_threshold, args.latency_repeats, args.bootstrap_samples)
+        text = found.report()
+        if args.json:
+            found.write_json(args.json)
         if args.out:
             with open(args.out, "w", encoding="utf-8") as f:
                 f.write(text + "\n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -13,6 +14,7 @@ from whinstone.functions.notes import parse_notes, read_section
 from whinstone.operators import metrics as M
 from whinstone.operators.chunking import chunk_notes
 from whinstone.operators.embedding import Embedder, build_embedder
+from whinstone.operators.evaluation import Evaluation, evaluate_run, query_labels
 from whinstone.operators.evalset import concat_notes, recent, require_indexed
 from whinstone.operators.retrieval import MODES, KeepOrder, Reranker, Retriever
 from whinstone.operators.sync import CHUNK_TABLE, SnapshotTable, SyncStats, sync_chunks
@@ -97,30 +99,53 @@ class Engine:
         return found.search_notes(asked, k, mode) if notes else found.search(asked, k, mode)
 
     def evaluate(self, eval_set: DataFrame, modes: Sequence[str] = MODES, ks: Sequence[int] = (1, 5, 10), threshold: float = 0.30) -> DataFrame:
-        """mode, view, metric, value for all modes: quality in three views and abstention. All queries of a mode are one job."""
+        """mode, view, metric, value of evaluation(), without intervals."""
+        return self.evaluation(eval_set, modes, ks, threshold, samples=0).metrics
+
+    def evaluation(
+        self, eval_set: DataFrame, modes: Sequence[str] = MODES, ks: Sequence[int] = (1, 5, 10), threshold: float = 0.30,
+        repeats: int = 1, samples: int = 2000,
+    ) -> Evaluation:
+        """All modes over an evaluation set (see evaluate_run()). All queries of a mode are one job, so its time is the job's by the
+        number of queries: p50 and p95 over the repeats. Each repeat runs every mode in turn; the first one's rankings count, and
+        modes that a later one ranks otherwise are named as drift."""
+        if repeats < 1 or samples < 0 or not modes or not ks or min(ks) <= 0:
+            raise ValueError("repeats, modes and every k must be positive, samples not negative")
         qrels = to_qrels(eval_set)
         require_indexed(qrels.select(F.col("doc_id").alias("note_path")), self.table.read())
         asked = self.queries(eval_set.select(F.col("id").alias("query_id"), F.col("question").alias("text"))).persist()
-        leaks = eval_set.where("leak").select(F.col("id").alias("query_id"))
-        found, out = self.retriever(), None
-        for mode in modes:
-            hits = found.search_notes(asked, max(ks), mode).persist()
+        n, found, labels = max(1, asked.count()), self.retriever(), query_labels(eval_set).persist()
+        runs: dict[str, DataFrame] = {}
+        times, drift = [], []
+        for _ in range(repeats):
+            for mode in modes:
+                hits = found.search_notes(asked, max(ks), mode)
+                # a plan equal to a persisted one would be read from there, and not be run again
+                hits = hits.withColumn("run", F.lit(len(times))).persist()
+                start = time.perf_counter()
+                hits.count()
+                times.append((mode, (time.perf_counter() - start) * 1000 / n))
+                now = hits.select("query_id", F.col("note_path").alias("doc_id"), "rank")
+                if mode not in runs:
+                    runs[mode] = hits
+                    continue
+                before = runs[mode].select("query_id", F.col("note_path").alias("doc_id"), "rank")
+                if mode not in drift and not M.rankings_differ(before, now).isEmpty():
+                    drift.append(mode)
+                hits.unpersist()
+        spent = self.spark.createDataFrame(times, "mode string, ms double")
+        spent = M.percentile(spent, "ms", (50, 95), ["mode"])
+        metrics = spent.select("mode", F.lit("time").alias("view"), F.format_string("ms_per_query p%d", F.col("p").cast("int")).alias("metric"), "value")
+        rankings = coverage = None
+        for mode, hits in runs.items():
             ranked = hits.select("query_id", F.col("note_path").alias("doc_id"), "rank")
-            quality = M.evaluate_views(ranked, qrels, asked.select("query_id"), leaks, ks)
             covered = M.abstain_coverage(asked, hits.where("rank = 1"))
-            silent = M.abstention_report(covered, qrels, threshold).select(
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(F.lit("abstention").alias("view"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                            for c in ("abstain_rate", "false_abstain_rate")
-                        ]
-                    )
-                )
-            )
-            rows = quality.unionByName(silent).select(F.lit(mode).alias("mode"), "view", "metric", "value")
-            out = rows if out is None else out.unionByName(rows)
-        return out
+            rows = evaluate_run(ranked, covered, qrels, labels, ks, threshold, samples)
+            metrics = metrics.unionByName(rows.withColumn("mode", F.lit(mode)))
+            ranked, covered = ranked.withColumn("mode", F.lit(mode)), covered.withColumn("mode", F.lit(mode))
+            rankings = ranked if rankings is None else rankings.unionByName(ranked)
+            coverage = covered if coverage is None else coverage.unionByName(covered)
+        return Evaluation(metrics.persist(), rankings, coverage, drift)
 
     def drafts(self, limit: int | None = None, most: int = 6000) -> DataFrame:
         """note_path, text of each note, for writing questions."""

@@ -134,7 +134,10 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("grades", grades)
     bad = rows.where("id is null or question is null or grades is null").select("value").limit(1).collect()
     if bad:
-        raise ValueError(f"{path}: id, question and relevant_notes (a list or an object) are needed: {bad[0][0][:200]}")
+        texts = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+        at = texts.where(F.col("line") == bad[0][0]).agg(F.min("at")).first()[0]
+        where = path if at is None else f"{path}:{at + 1}"
+        raise ValueError(f"{where}: id, question and relevant_notes (a list or an object) are needed: {bad[0][0][:200]}")
     if rows.isEmpty():
         raise ValueError(f"{path} has no rows")
     return rows.drop("value", "relevant_notes")
