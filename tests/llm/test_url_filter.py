@@ -3,7 +3,12 @@ import random
 import pytest
 
 from whinstone.llm import url_filter as U
-from whinstone.llm.queries import RULES
+from whinstone.llm import queries
+
+#: The rules of the URL query, written out here on their own.
+RULES = [
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
+]
 
 
 def plain(url, rules):
@@ -59,3 +64,22 @@ def test_filter_has_no_false_negatives(spark):
         passes &= F.call_function("shiftright", F.col(f"w{i}"), U._word_bit(F.col("h"), i).cast("int")).bitwiseAND(1) == 1
     found = [r["id"] for r in probes.join(known, "block").where(passes).collect()]
     assert set(range(2000)) <= set(found) and len(found) < 2100
+
+
+def test_the_query_uses_these_rules(spark, tmp_path):
+    assert queries.RULES == RULES
+    urls = [*URLS, "http://a.net/de/1", "http://net/de/", "http://example.net/de/7", "http://example.net/de/81", "http://b.org/es/" + "x" * 3_000_000]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    rows = queries.op7_url_filter(spark, str(tmp_path)).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == plain(urls[r["page_id"]], RULES), r["page_id"]
+
+
+def test_two_fitting_rules_of_one_length(spark):
+    """Where the method's rules tie in length, the rule whose text comes last wins, as the docstring says."""
+    rules = [("b.com", "/x", "block"), ("com", "/xyz", "allow"), ("b.com", "/x/", "allow")]
+    pages = spark.createDataFrame([(1, "http://b.com/xyz"), (2, "http://b.com/x/"), (3, "http://b.com/xy")], "page_id long, url string")
+    rows = {r["page_id"]: r["rule"] for r in U.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert rows == {1: max(["b.com/x", "com/xyz"], key=lambda r: (len(r), r)), 2: "b.com/x/", 3: "b.com/x"}

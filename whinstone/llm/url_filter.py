@@ -48,9 +48,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", unlisted: s
     """pages with host, path, rule and verdict (a clash with such a column of pages: theirs goes).
 
     rules has columns host, path, verdict. A rule fits its host and that host's subdomains where the URL's path starts with the
-    rule's path; the longest rule wins, and a rule listed twice counts once (the smallest verdict). A URL that no rule fits gets
-    null and `unlisted`. Null, empty and malformed URLs have empty host and path and fit only a rule of that kind. Rows of pages
-    are never merged or dropped; no rules or no pages are fine.
+    rule's path; the longest rule wins (of equal lengths the one whose text sorts last), and a rule listed twice counts once (the
+    smallest verdict). A URL that no rule fits gets null and `unlisted`. Null, empty and malformed URLs have empty host and path and
+    fit only a rule of that kind; URLs of any length are judged whole. Rows of pages are never merged or dropped; no rules or no
+    pages are fine.
 
     The list's keys go into a blocked Bloom filter. Each URL is cut into as many candidate keys as the list has shapes (number of
     host labels, length of path); what the filter passes is joined with the list exactly, so false positives end there. URLs are
