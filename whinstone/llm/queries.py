@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from whinstone.llm.decontamination import contamination
 from whinstone.llm.embedding_dedup import near_duplicate_vectors
+from whinstone.llm.hard_negatives import hard_negatives
 from whinstone.llm.line_dedup import dedup_lines
 from whinstone.llm.masked_lm import masked_lm_scores
 from whinstone.llm.packing import pack_documents
@@ -77,6 +78,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm_scores(read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 OP7_SQL = f"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES {_RULES_SQL}),
@@ -112,6 +118,26 @@ FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON v.vec_
 """
 
 
+OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def queries() -> dict:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -124,8 +150,9 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_lm_scoring": op10_lm_scoring,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op7_url_filter": OP7_SQL, "op12_hard_negatives": OP12_SQL}
