@@ -9,6 +9,7 @@ from whinstone.llm.decontamination import contamination
 from whinstone.llm.embedding_dedup import near_duplicate_vectors
 from whinstone.llm.hard_negatives import hard_negatives
 from whinstone.llm.line_dedup import dedup_lines
+from whinstone.llm.line_frequency import line_quality
 from whinstone.llm.masked_lm import masked_lm_scores
 from whinstone.llm.packing import pack_documents
 from whinstone.llm.quality import importance_sample
@@ -78,6 +79,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm_scores(read(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(read(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
@@ -150,6 +155,7 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_quality_rules": op11_quality_rules,
         "op12_hard_negatives": op12_hard_negatives,
     }
 
