@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,25 +83,30 @@ def _sha(*parts: object) -> str:
     return hashlib.sha1("".join(f"{p}{UNIT}" for p in parts).encode(), usedforsecurity=False).hexdigest()[:16]
 
 
-def _chunk(most: int, overlap: int):
+def _chunk(most: int, overlap: int, carry: Sequence[str] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "note_path", "title", "heading_path", "text", "char_start", "char_end", "content_hash"]
         kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
-            rows = []
-            for path, title, body in zip(*(batch.column(c).to_pylist() for c in ("path", "title", "body")), strict=True):
+            rows, of = [], []
+            for i, (path, title, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "title", "body")), strict=True)):
                 for heads, text, start, end in chunk_spans(body or "", most, overlap):
                     rows.append((_sha(path, " > ".join(heads), start), path, title, list(heads), text, start, end, _sha(text)))
+                    of.append(i)
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            made = [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]
+            carried = [batch.column(c).take(pa.array(of, pa.int64())) for c in carry]
+            yield pa.RecordBatch.from_arrays([*made, *carried], names=[*names, *carry])
 
     return run
 
 
-def chunk_notes(notes: DataFrame, most: int = 1200, overlap: int = 150) -> DataFrame:
-    """Chunks of notes (path, title, body). One pass over the notes, no shuffle."""
+def chunk_notes(notes: DataFrame, most: int = 1200, overlap: int = 150, carry: Sequence[str] = ()) -> DataFrame:
+    """Chunks of notes (path, title, body), each with its note's columns `carry`. One pass over the notes, no shuffle."""
     chunk_spans("", most, overlap)
-    return notes.select("path", "title", "body").mapInArrow(_chunk(most, overlap), CHUNKS)
+    kinds = dict(notes.dtypes)
+    schema = ", ".join([CHUNKS, *(f"`{c}` {kinds[c]}" for c in carry)])
+    return notes.select("path", "title", "body", *carry).mapInArrow(_chunk(most, overlap, carry), schema)
 
 
 def hard_split(docs: DataFrame, most: int = 1200, overlap: int = 150) -> DataFrame:
