@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from whinstone.functions.text import content_tokens, language, leak_bucket, squeeze, tokenize
+from whinstone.functions.text import CJK, content_tokens, language, leak_bucket, squeeze, tokenize
 from whinstone.operators.index import DIGITS
+from whinstone.operators.places import placed
 
 # Fixed values of the dataset's rules.
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -73,16 +74,38 @@ def leak_min_df(questions: DataFrame, notes: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", leak_bucket("leak_min_df"))
 
 
-def keyword_rarity(questions: DataFrame, notes: DataFrame) -> DataFrame:
-    """question_id, token, df: the question's token (two characters or more) that the fewest notes hold as a substring; ties by token.
-    Without such a token: an empty one and the number of notes.
+#: Runs of characters that a token lies in wherever a text holds it: its own maximal run of word characters, or of CJK.
+RUNS = rf"[a-z0-9._'-]+|[{CJK}]+"
+GRAM = 4
+
 
-    The distinct tokens of the questions, a stated set, are tried against every note in one pass.
+def substring_df(tokens: DataFrame, notes: DataFrame) -> DataFrame:
+    """token, df: in how many notes (note, text) a token (distinct, of two characters or more, as tokenize gives them) stands as a
+    substring; tokens that none holds have no row.
+
+    A token lies within one run of word characters, so only the distinct runs are searched, and those by an equi-join: each token has
+    one key, its first GRAM characters (or all of a shorter one), and each run all its pieces of up to GRAM characters; what agrees in
+    the key is compared in full. Nothing is compared with everything, and no side has to be small.
     """
+    runs = notes.select("note", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({RUNS})"), F.lit(1)))).alias("run"))
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("run") - n + 1)
+        cut = F.transform(starts, lambda i: F.substr("run", i, F.lit(n)))
+        return F.when(F.length("run") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(*map(pieces, range(2, GRAM + 1)))
+    grams = runs.select("run").distinct().select("run", F.explode(F.array_distinct(every)).alias("gram"))
+    keyed = tokens.select("token", F.substring("token", 1, GRAM).alias("gram"))
+    holds = grams.join(keyed, "gram").where((F.length("token") <= GRAM) | F.contains("run", "token")).select("run", "token")
+    return runs.join(holds, "run").groupBy("token").agg(F.countDistinct("note").alias("df"))
+
+
+def keyword_rarity(questions: DataFrame, notes: DataFrame) -> DataFrame:
+    """question_id, token, df: the question's token (two characters or more) that the fewest notes hold as a substring; ties by token.
+    Without such a token: an empty one and the number of notes."""
     tokens = questions.select("question_id", F.explode(F.array_distinct(tokenize("question"))).alias("token")).where(F.length("token") >= 2)
-    low = notes.select("note", F.lower("text").alias("text")).distinct()
-    tried = low.join(F.broadcast(tokens.select("token").distinct()), F.contains("text", "token"))
-    counts = tried.groupBy("token").agg(F.countDistinct("note").alias("df"))
+    counts = substring_df(tokens.select("token").distinct(), notes)
     rows = tokens.join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = rows.groupBy("question_id").agg(F.min(F.struct("df", "token")).alias("r"))
     total = notes.agg(F.countDistinct("note").alias("total"))
@@ -123,8 +146,8 @@ def count_reasons(gated: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, prefix: str, *order: str) -> DataFrame:
-    """Adds id: q0001, q0002, ... in the order given. For the compiled set, which is small by nature: one ordered window."""
-    return rows.withColumn("id", F.format_string(f"{prefix}%04d", F.row_number().over(Window.orderBy(*order))))
+    """Adds id: q0001, q0002, ... in the order given, range by range: no task numbers all rows."""
+    return placed(rows, order, rows.count()).withColumn("id", F.format_string(f"{prefix}%04d", "_place")).drop("_place")
 
 
 def slug(note: Column) -> Column:
@@ -179,7 +202,7 @@ def stride_uniform(docs: DataFrame, limit: int, order: str) -> DataFrame:
         return docs
     spark = docs.sparkSession
     places = spark.range(limit).select((F.floor(F.col("id") * F.lit(n / limit)) + 1).alias("_place"))
-    ranked = _placed(docs, order, n)
+    ranked = placed(docs, [order], n)
     return ranked.join(F.broadcast(places), "_place", "left_semi").drop("_place")
 
 
@@ -190,30 +213,7 @@ def stride_integer(docs: DataFrame, count: int, order: str) -> DataFrame:
         raise ValueError(f"{count} rows are wanted, there are {n}")
     stride = max(1, n // count)
     at = F.col("_place") - 1
-    return _placed(docs, order, n).where((at % stride == 0) & (at / stride < count)).drop("_place")
-
-
-#: Ranges of _placed(): a task ranks about so many rows, but there are no more ranges than RANGES.
-RANGE_ROWS, RANGES = 50_000, 512
-
-
-def _placed(docs: DataFrame, order: str, n: int) -> DataFrame:
-    """docs (n rows) with _place, from 1 in the global order: places within ranges plus the sizes of the ranges before, so that no
-    task sees all rows. The ranges' bounds are values (a bounded sample's), so a row's range is the same wherever it is worked out."""
-    wanted = min(RANGES, n // RANGE_ROWS + 1)
-    sample = docs.select(F.col(order).alias("k")).where("k is not null")
-    if n > 100 * wanted:
-        sample = sample.sample(min(1.0, 100 * wanted / n), seed=7)
-    found = sorted({r["k"] for r in sample.limit(200 * wanted).collect()}) if wanted > 1 else []
-    bounds = sorted({found[i * len(found) // wanted] for i in range(1, wanted)}) if found else []
-    at = F.lit(0)
-    if bounds:
-        at = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))), F.lit(0))
-    ranged = docs.withColumn("_part", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(at))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
-    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))
-    return ranged.withColumn("_in", within).join(before, "_part").withColumn("_place", F.col("_in") + F.col("before")).drop("_in", "_part", "before")
+    return placed(docs, [order], n).where((at % stride == 0) & (at / stride < count)).drop("_place")
 
 
 def pool(files: DataFrame, lang: str | None = None, least_bytes: int = 0, excluded: DataFrame | None = None) -> DataFrame:

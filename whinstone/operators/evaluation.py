@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whinstone.functions.text import language, leak_bucket
+from whinstone.functions.text import leak_bucket
 from whinstone.operators import metrics as M
 from whinstone.operators.index import DIGITS
 
@@ -56,14 +56,15 @@ class Evaluation:
 
 
 def query_labels(eval_set: DataFrame) -> DataFrame:
-    """query_id, cluster (the note with the highest grade, of several the first; null without an answer), lang, bucket, leak."""
+    """query_id, cluster (the note with the highest grade, of several the first; null without an answer), lang (unknown where the set has
+    none), bucket (a question without leak_min_df is in the first), leak."""
     best = eval_set.select("id", F.posexplode("grades").alias("pos", "note", "grade")).groupBy("id")
     best = best.agg(F.max_by("note", F.struct("grade", -F.col("pos"))).alias("cluster"))
     return eval_set.join(best, "id", "left").select(
         F.col("id").alias("query_id"),
         "cluster",
-        F.coalesce("lang", language("question")).alias("lang"),
-        F.when(F.col("leak_min_df").isNotNull(), leak_bucket("leak_min_df")).alias("bucket"),
+        F.coalesce("lang", F.lit("unknown")).alias("lang"),
+        leak_bucket(F.coalesce("leak_min_df", F.lit(0))).alias("bucket"),
         F.coalesce("leak", F.lit(False)).alias("leak"),
     )
 
@@ -107,7 +108,7 @@ def language_rollup(
 
 def leak_rollup(strict: DataFrame, labels: DataFrame, recall: str) -> DataFrame:
     """One row for each leak bucket that has answerable queries: bucket, queries, mean strict recall."""
-    rows = strict.join(labels.where("bucket is not null and cluster is not null").select("query_id", "bucket"), "query_id")
+    rows = strict.join(labels.where("cluster is not null").select("query_id", "bucket"), "query_id")
     return rows.groupBy("bucket").agg(F.count("*").alias("queries"), F.avg(F.col(f"`{recall}`")).alias(recall))
 
 
@@ -134,4 +135,5 @@ def evaluate_run(
     if samples:
         out = out.unionByName(intervals(strict, labels, "strict", [*(f"recall@{k}" for k in ks), "rr"], samples))
         out = out.unionByName(intervals(strict, labels, "lang:", [recall], samples, by=["lang"]))
+        out = out.unionByName(intervals(graded, labels, "lang:", [ndcg], samples, by=["lang"]))
     return out

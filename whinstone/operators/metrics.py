@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from whinstone.functions.text import content_tokens, tokenize
 from whinstone.operators.index import DIGITS
+from whinstone.operators.places import join_null_safe, running_total
 
 
 def strict_view(qrels: DataFrame) -> DataFrame:
@@ -123,14 +124,15 @@ def recall_with_abstention(facts: DataFrame, coverage: DataFrame, k: int = 5, th
 def percentile(rows: DataFrame, value: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Nearest-rank percentiles: by..., p, value: the value at place max(1, ceil(p / 100 * n)).
 
-    Places come from counts per distinct value, so no group of equal values is sorted row by row in one task.
+    Places come from counts per distinct value, added up range by range: neither equal values nor a large group meet in one task.
     """
     if any(not 0 <= p <= 100 for p in ps):
         raise ValueError("percentiles lie between 0 and 100")
     by = list(by)
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*by).orderBy(value)
-    counts = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy(*by))})
+    counts = running_total(counts, by, value, "n", "upto")
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    counts = join_null_safe(counts, totals, by) if by else counts.crossJoin(F.broadcast(totals))
     places = F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")
     wanted = counts.select(*by, value, "n", "upto", "total", places)
     place = F.greatest(F.ceil(F.col("p") / 100 * F.col("total")), F.lit(1))
@@ -173,24 +175,55 @@ def cluster_bootstrap(
     return sums.groupBy(*keys).applyInPandas(draw, schema).drop("_all")
 
 
+#: Chances of drawing a cluster at most 0, 1, 2, ... times when draws are Poisson with mean 1 (fixed values of that distribution, to
+#: the digits that a 32-bit hash can tell).
+AT_MOST = (0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532, 0.9994058152, 0.9999167589, 0.9999897508, 0.9999988748)
+
+
+def poisson_draws(cluster: Column, sample: Column, seed: int) -> Column:
+    """How often a sample draws a cluster: Poisson with mean 1, from 32 bits of the MD5 of seed, sample and cluster."""
+    text = F.concat_ws(":", F.lit(str(seed)), sample.cast("string"), cluster.cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return sum((F.when(u >= p, 1).otherwise(0) for p in AT_MOST), F.lit(0))
+
+
 def cluster_bootstrap_hashed(
-    rows: DataFrame, value: str = "value", cluster: str = "cluster", samples: int = 2000, confidence: float = 0.95, seed: int = 0
-) -> DataFrame:
-    """The same interval with draws by hash, as joins and aggregations only: scales with samples x clusters over all tasks."""
-    order = Window.orderBy(cluster)
-    sums = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    sums = sums.select(F.row_number().over(order).alias("c"), "s", "n")
-    n = sums.count()
-    spark = rows.sparkSession
-    draws = spark.range(samples * n).select(
-        F.floor(F.col("id") / n).alias("sample"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)) + 1).alias("c")
-    )
-    means = draws.join(sums, "c").groupBy("sample").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    rows: DataFrame, value: str = "value", cluster: str = "cluster", samples: int = 2000, confidence: float = 0.95, seed: int = 0,
+    stratum: str | None = None,
+) -> DataFrame:
+    """mean, low, high: the percentile interval of the mean when clusters are drawn with replacement, by Poisson draws instead of a
+    multinomial one: each sample draws each cluster by a hash of its own, so nothing but sums by sample meets anywhere. Rows without a
+    value or cluster don't count, nor do samples that draw nothing.
+
+    With a column `stratum` one row for each value of it, and one for each pair of values a < b, stratum "a - b": the interval of the
+    difference of their means, both from the same sample. A cluster may have rows in several strata; it is drawn as a whole.
+    """
+    if samples <= 0 or not 0 < confidence < 1:
+        raise ValueError("samples must be positive and confidence between 0 and 1")
+    name = F.lit("") if stratum is None else F.col(stratum).cast("string")
+    known = rows.where(F.col(value).isNotNull() & F.col(cluster).isNotNull()).select(
+        F.col(cluster).alias("cluster"), F.col(value).cast("double").alias("value"), name.alias("stratum")
+    ).where("stratum is not null")
+    sums = known.groupBy("cluster", "stratum").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    each = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    each = each.withColumn("w", poisson_draws(F.col("cluster"), F.col("sample"), seed)).where("w > 0")
+    drawn = each.groupBy("stratum", "sample").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    means = known.groupBy("stratum").agg(F.avg("value").alias("mean"))
+    if stratum is not None:
+        pair = lambda df, on: df.alias("a").join(df.alias("b"), on).select(
+            F.concat("a.stratum", F.lit(" - "), "b.stratum").alias("stratum"), *([F.col("a.sample")] if "sample" in df.columns else []),
+            (F.col("a.mean") - F.col("b.mean")).alias("mean"),
+        )
+        less = F.col("a.stratum") < F.col("b.stratum")
+        drawn = drawn.unionByName(pair(drawn, (F.col("a.sample") == F.col("b.sample")) & less))
+        means = means.unionByName(pair(means, less))
+    # a stratum has `samples` values at most
     tail = (1 - confidence) / 2
-    ranked = means.select("mean", F.row_number().over(Window.orderBy("mean")).alias("place"))
-    pick = [int(tail * samples) + 1, min(samples, int((1 - tail) * samples) + 1)]
-    bounds = ranked.agg(*[F.max(F.when(F.col("place") == p, F.col("mean"))).alias(c) for p, c in zip(pick, ("low", "high"), strict=True)])
-    return bounds.crossJoin(rows.agg(F.avg(value).alias("mean"))).select("mean", "low", "high")
+    ordered = drawn.groupBy("stratum").agg(F.array_sort(F.collect_list("mean")).alias("v"))
+    at = lambda share: F.get("v", F.least(F.floor(F.lit(share) * F.size("v")), F.size("v") - 1).cast("int"))
+    found = means.join(ordered.select("stratum", at(tail).alias("low"), at(1 - tail).alias("high")), "stratum", "left")
+    found = found.select("stratum", *[F.round(c, DIGITS).alias(c) for c in ("mean", "low", "high")])
+    return found if stratum is not None else found.drop("stratum")
 
 
 def format_interval(mean: Column, low: Column, high: Column) -> Column:

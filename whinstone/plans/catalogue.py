@@ -485,16 +485,43 @@ def by_language_report(spark, sf_dir):
     )
 
 
-@query()
-def cluster_bootstrap(spark, sf_dir):
-    rows = facts(spark, sf_dir).select(F.col("`recall@5`").alias("value"), (F.col("query_id") % 7).alias("cluster"))
-    return metrics.cluster_bootstrap(rows)
+def clustered(spark, sf_dir):
+    """value (recall@5), cluster (the matched document) and lang of every item that a document holds."""
+    judged = qrels(spark, sf_dir)
+    owner = judged.where("grade = 2").join(documents(spark, sf_dir), "doc_id").select("query_id", F.col("doc_id").alias("cluster"), "lang")
+    return facts(spark, sf_dir, judged).join(owner, "query_id").select(F.col("`recall@5`").alias("value"), "cluster", "lang")
 
 
 @query()
+def cluster_bootstrap(spark, sf_dir):
+    return metrics.cluster_bootstrap(clustered(spark, sf_dir).drop("lang"))
+
+
+def _bootstrap_sql(stratum: str) -> str:
+    """CTEs means and drawn, then bounds: mean, low and high of each stratum and of the differences of two."""
+    steps = " + ".join(f"(u >= {p})::INTEGER" for p in metrics.AT_MOST)
+    return f"""{_EVAL},
+owned AS (SELECT facts.query_id, "recall@5" AS value, doc_id AS cluster, {stratum} AS stratum FROM facts JOIN qrels USING (query_id) JOIN documents USING (doc_id) WHERE grade = 2),
+sums AS (SELECT cluster, stratum, sum(value) AS s, count(*) AS n FROM owned GROUP BY cluster, stratum),
+draws AS (SELECT *, {steps} AS w FROM (SELECT *, ('0x' || substr(md5('0:' || sample || ':' || cluster), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM sums CROSS JOIN range(2000) r(sample))),
+each AS (SELECT stratum, sample, sum(w * s) / sum(w * n) AS mean FROM draws WHERE w > 0 GROUP BY stratum, sample),
+means AS (SELECT stratum, avg(value) AS mean FROM owned GROUP BY stratum),
+drawn AS (SELECT * FROM each UNION ALL SELECT a.stratum || ' - ' || b.stratum, a.sample, a.mean - b.mean FROM each a JOIN each b ON a.sample = b.sample AND a.stratum < b.stratum),
+known AS (SELECT * FROM means UNION ALL SELECT a.stratum || ' - ' || b.stratum, a.mean - b.mean FROM means a JOIN means b ON a.stratum < b.stratum),
+bounds AS (SELECT stratum, list_sort(list(mean)) AS v FROM drawn GROUP BY stratum),
+found AS (SELECT stratum, round(mean, 9) AS mean, round(v[1 + least(floor({(1 - 0.95) / 2!r} * len(v)), len(v) - 1)::INTEGER], 9) AS low,
+  round(v[1 + least(floor({1 - (1 - 0.95) / 2!r} * len(v)), len(v) - 1)::INTEGER], 9) AS high FROM known LEFT JOIN bounds USING (stratum))"""
+
+
+@query(_bootstrap_sql("''") + " SELECT mean, low, high FROM found")
 def cluster_bootstrap_hashed(spark, sf_dir):
-    rows = facts(spark, sf_dir).select(F.col("`recall@5`").alias("value"), (F.col("query_id") % 7).alias("cluster"))
-    return metrics.cluster_bootstrap_hashed(rows)
+    return metrics.cluster_bootstrap_hashed(clustered(spark, sf_dir))
+
+
+@query(_bootstrap_sql("lang") + " SELECT * FROM found")
+def bootstrap_by_language(spark, sf_dir):
+    return metrics.cluster_bootstrap_hashed(clustered(spark, sf_dir), stratum="lang")
 
 
 _PS = (0, 25, 50, 55, 95, 99, 100)
@@ -510,6 +537,14 @@ def latency_percentiles(spark, sf_dir):
     return metrics.percentile(read(spark, sf_dir, "events"), "value", _PS, ["event_type"])
 
 
+@query(
+    f"""WITH r AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
+SELECT p::DOUBLE AS p, value FROM r CROSS JOIN (SELECT unnest([{', '.join(map(str, _PS))}]) AS p) WHERE i = greatest(1, ceil(p::DOUBLE / 100 * n))"""
+)
+def overall_percentiles(spark, sf_dir):
+    return metrics.percentile(read(spark, sf_dir, "events"), "value", _PS)
+
+
 @query("SELECT NULL::BIGINT AS query_id, NULL::BIGINT AS doc_id, NULL::INTEGER AS rank WHERE false")
 def determinism_check(spark, sf_dir):
     return metrics.rankings_differ(ranking(spark, sf_dir), ranking(spark, sf_dir))
