@@ -181,19 +181,21 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) -> tuple[list[bytes | None], np.ndarray]:
-    """Training rows (never held-out ones) in the order of a hash of doc_id: at most max_rows of them and, whole texts only,
-    max_chars characters. Labels of several rows count as toxic if one does; null labels or ids don't count."""
+    """Training rows (never held-out ones): of at most max_rows labelled doc_ids, taken by their hash, at most max_rows different texts,
+    taken by a hash of id and text, and of these, whole texts only, max_chars characters; a text that doesn't fit is left out, those
+    after it aren't. Only what is chosen reaches the driver. Labels of several rows count as toxic if one does; null labels or ids
+    don't count, and repeated rows count once."""
     known = pick(labels, doc_id="long", toxic="int").where("toxic is not null and doc_id is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = pick(docs, doc_id="long", text="string")
-    sizes = texts.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(F.broadcast(known), "doc_id")
-    sizes = sizes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
-    total = np.cumsum([r["n"] for r in sizes])
-    ids = sorted({r["doc_id"] for r, t in zip(sizes, total, strict=True) if t <= max_chars})
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
-    rows = rows.toArrow()
+    texts = pick(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
+    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "key", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    sizes, left = [], max_chars
+    for r in found.distinct().orderBy("key", "doc_id").limit(max_rows).collect():
+        if r["n"] <= left:
+            sizes.append(r)
+            left -= r["n"]
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["key"]) for r in sizes], "doc_id long, key long")
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "text").toArrow()
     toxic = {r["doc_id"]: r["toxic"] for r in sizes}
     got = sorted(zip(rows["doc_id"].to_pylist(), binary_texts(rows["text"]), strict=True), key=lambda x: (x[0], x[1] or b""))
     return [t for _, t in got], np.array([toxic[i] for i, _ in got])
@@ -205,7 +207,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_cha
     Learns from labels (doc_id, toxic) of rows that are not held out (crc32 of doc_id as text, modulo 5, is not 0), at most
     max_rows of them: lexicons, trees and calibration are fitted on the driver within that bound; scoring is one pass without a
     shuffle over whole texts. Only the text is ever looked at. Null and empty texts score as texts without words; without labels
-    every score is 0.
+    every score is 0. Repeated rows and equal texts get equal scores, rows are never merged or dropped, an empty table gives no rows,
+    and other columns, whatever their names, are ignored.
     """
     model = fit(*labelled_sample(docs, labels, max_rows, max_chars))
     scored = pick(docs, doc_id="long", text="string").mapInArrow(_scorer(model), "doc_id long, score double")
