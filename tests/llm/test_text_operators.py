@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -127,6 +127,25 @@ def test_toxicity_on_held_out_documents(spark):
     assert T.toxicity(df.where("false"), lab).count() == 0
 
 
+def test_the_labelled_sample_is_bounded_and_never_empties(spark):
+    docs, labels = toxic_corpus(200)
+    trained = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 5}
+    one, hot = sorted(trained)[:2]
+    long = [(one, "x" * 5000), *[(hot, f"text {i} of one id") for i in range(900)], *[d for d in docs if d[0] not in (one, hot)], *docs[50:60] * 3]
+    df = spark.createDataFrame([(i, t, 1, "a", 0) for i, t in long], SCHEMA + ", toxic int, key string, n int")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    # a text over the bound goes by itself, whatever comes after it
+    texts, toxic = T.labelled_sample(df, lab, 12_000, 4_000)
+    assert 40 < len(texts) == len(toxic) and sum(map(len, texts)) <= 4_000 and not any(len(t) > 4_000 for t in texts)
+    whole, _ = T.labelled_sample(df, lab, 12_000, 10**9)
+    assert len(whole) == len({(i, t) for i, t in long if i in trained})
+    # an id of very many texts gives no more rows than the bound, and leaves room for others
+    some, _ = T.labelled_sample(df, lab, 300, 10**9)
+    assert len(some) == 300 and len({t for t in some if b"of one id" not in t}) > 20
+    rows = T.toxicity(df, lab, max_chars=4_000).collect()
+    assert len(rows) == len(long) and len({r["score"] for r in rows}) > 1
+
+
 def quality_corpus(n=300):
     rng = random.Random(6)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(150)]
@@ -299,17 +318,6 @@ def test_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-3)
 
 
-def test_duplicate_buckets_do_not_depend_on_blocks(monkeypatch):
-    from whinstone.llm import common
-
-    text = " ".join(random.Random(1).choices(["ab", "Cd", "e!"], k=60)).encode()
-    words = Q._Words()
-    whole = Counter(np.concatenate(list(Q.buckets(words, text))).tolist())
-    assert sum(whole.values()) == 60 + 59 + 60
-    monkeypatch.setattr(common, "TEXT_BLOCK", 10)
-    assert defaultdict(int, whole)
-
-
 def test_ngrams_do_not_depend_on_blocks():
     text = b" ".join(random.Random(1).choices([b"aa", b"Bb", b"cc1", b"d", b"aa aa"], k=400))
     whole = np.bincount(np.concatenate(list(Q.buckets(Q._Words(), text))))
@@ -328,7 +336,7 @@ def test_weights_and_the_sample_by_hand(spark):
         grams = [b for part in Q.buckets(words, t.encode()) for b in part.tolist()]
         weight = sum(ratio.logs[b] for b in grams) - ratio.cut * (len(grams) + Q.NEUTRAL)
         keys[d] = weight, weight + Q.gumbel(d, 11)
-    rows = Q.importance_sample(df, lab, k=50, max_rows=1000, seed=11).collect()
+    rows = Q.importance_sample(df, lab, k=50, max_rows=1000, seed=11, temperature=1.0).collect()
     best = sorted([keys[r["doc_id"]][1] for r in rows], reverse=True)[49]
     assert len(rows) == len(docs) + 3
     for r in rows:
@@ -350,3 +358,63 @@ def test_short_items_have_their_budget_and_blocks_do_not_matter(spark):
         assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()) == want
         left = D.decontaminate(df, bench, block_chars=block)
         assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5]
+
+
+def grams(text):
+    """A text's n-grams by their definition: words, pairs (equal words are one pair), and pairs of shapes, the last with nothing."""
+    import re
+
+    words = re.findall(rb"[^\x20\x09-\x0d]+", text.encode())
+    low = [w.lower() for w in words]
+    kind = lambda c: b"A" if 65 <= c <= 90 else b"a" if 97 <= c <= 122 or c >= 128 else b"0" if 48 <= c <= 57 else bytes([c])
+    shapes = [re.sub(rb"(?s)(.)\1+", rb"\1", b"".join(map(kind, w))) for w in words]
+    pairs = ["same" if a == b else (a, b) for a, b in zip(low, low[1:], strict=False)]
+    return [("word", w) for w in low], [("pair", p) for p in pairs], [("shape", p) for p in zip(shapes, [*shapes[1:], None], strict=True)]
+
+
+def test_the_two_models_by_definition(spark):
+    """Few distinct n-grams, so buckets rarely hold two: there the model's log ratios are those of plain counts."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices(["ab", "Cd", "e!", "f9", "abcdefghijklmnopqrstuvwxyz!a!a!a!a", "zz"], k=rng.randint(1, 30)))) for i in range(80)]
+    labels = [(i, int(rng.random() < 0.5)) for i in range(60)]
+    df, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int")
+    ratio = Q.fit(df, lab, 1000, 11)
+    from pyspark.sql import functions as F
+
+    first = {r["id"] for r in spark.range(60).where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(2)) == 0).collect()}
+    good = {i for i, y in labels if y == 1} & first
+    raw = [Counter() for _ in range(3)]
+    target = [Counter() for _ in range(3)]
+    for i, t in docs:
+        for k, family in enumerate(grams(t)):
+            raw[k].update(family)
+            if i in good:
+                target[k].update(family)
+    words = Q._Words()
+    for i, t in docs[:20]:
+        whole = 0.0
+        for k, family in enumerate(grams(t)):
+            for g in family:
+                p = (raw[k][g] + 0.5) / (raw[k].total() + 0.5 * Q.BUCKETS)
+                q = (target[k][g] + Q.PRIOR * p) / (target[k].total() + Q.PRIOR)
+                whole += np.log(q) - np.log(p)
+        assert ratio.summed(words, t.encode())[0] == pytest.approx(whole, rel=1e-9), i
+
+
+def test_the_noise_decides_near_the_cut(spark):
+    """At the fitted temperature two seeds give different samples, and a row's chance rises with its weight as Gumbel top-k has it."""
+    docs, labels = quality_corpus(700)
+    df, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels[::2], "doc_id long, quality int")
+    ratio = Q.fit(df, lab)
+    samples, weights, temperature = [], {}, None
+    for seed in range(12):
+        scored, least, temperature = Q._threshold(df, ratio, seed, None, None)
+        rows = scored.collect()
+        weights = {r["doc_id"]: r["log_weight"] for r in rows}
+        samples.append({r["doc_id"] for r in rows if r["sample_key"] >= least})
+    near = sorted(abs(w) for w in weights.values())
+    assert temperature == pytest.approx(max(1.0, near[int(np.ceil(Q.NEAR * len(near))) - 1]))
+    assert len({frozenset(s) for s in samples}) > 6 and len({len(s) for s in samples}) == 1
+    chance = lambda low, high: [sum(d in s for s in samples) / 12 for d, w in weights.items() if low * temperature <= w < high * temperature]
+    assert np.mean(chance(-1e9, -4)) < 0.03 and np.mean(chance(4, 1e9)) > 0.99
+    assert np.mean(chance(-4, 0)) < np.mean(chance(0, 4))

@@ -19,8 +19,10 @@ from whinstone.llm.common import LOWER, TEXT_BLOCK, binary_texts, cut, pick, tex
 BUCKETS, FAMILIES = 1 << 14, 3
 #: How much a model of raw text weighs in the target's smoothing, in n-grams.
 PRIOR = 500.0
-#: What summed log weights are divided by before the Gumbel noise: 1 samples in proportion to the weights themselves.
-TEMPERATURE = 1.0
+#: The share of documents that weigh less than the temperature, either way. Weights are sums over whole texts and spread over hundreds,
+#: so noise of size 1 would decide nothing: they are divided by a temperature fitted to that spread, and the noise then decides among
+#: about this share of the documents, those that the two models tell least apart.
+NEAR = 0.01
 #: N-grams of ratio 1 that are added to every text, so that a few rare words don't condemn a short one.
 NEUTRAL = 20
 
@@ -38,7 +40,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        shape = _RUNS.sub(rb"\1", word.translate(_CLASSES))[:12]
+        shape = _RUNS.sub(rb"\1", word.translate(_CLASSES))
         self[word] = found = zlib.crc32(word.translate(LOWER)) << 32 | zlib.crc32(shape)
         return found
 
@@ -120,10 +122,10 @@ def _weigh(ratio: Ratio, seed: int):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             weights = [ratio.weigh(words, t) for t in binary_texts(batch.column("text"))]
-            keys = [w / TEMPERATURE + gumbel(i, seed) for w, i in zip(weights, ids, strict=True)]
+            noise = [gumbel(i, seed) for i in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(weights, pa.float64()), pa.array(keys, pa.float64())],
-                names=["doc_id", "log_weight", "sample_key"],
+                [batch.column("doc_id"), pa.array(weights, pa.float64()), pa.array(noise, pa.float64())],
+                names=["doc_id", "log_weight", "noise"],
             )
 
     return run
@@ -140,12 +142,12 @@ def _means(ratio: Ratio):
     return run
 
 
-def _sample(ratio: Ratio, seed: int, least: float):
+def _sample(ratio: Ratio, seed: int, least: float, temperature: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             rows = zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), binary_texts(batch.column("text")), strict=True)
-            keep = [ratio.weigh(words, t) / TEMPERATURE + gumbel(i, seed) >= least for i, t in rows]
+            keep = [ratio.weigh(words, t) / temperature + gumbel(i, seed) >= least for i, t in rows]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -221,38 +223,44 @@ def kth_largest(scored: DataFrame, key: str, k: int, exact_at: int = 10_000) ->
             return values[k - above - 1]
 
 
-def _threshold(docs: DataFrame, ratio: Ratio, seed: int, k: int | None) -> tuple[DataFrame, float]:
+def _threshold(docs: DataFrame, ratio: Ratio, seed: int, k: int | None, temperature: float | None) -> tuple[DataFrame, float, float]:
+    """doc_id, log_weight, sample_key of all rows; the smallest key that is kept; the temperature."""
     scored = cut(
-        pick(docs, doc_id="long", text="string").mapInArrow(
-            _weigh(ratio, seed), "doc_id long, log_weight double, sample_key double"
-        ),
-        "weights",
+        pick(docs, doc_id="long", text="string").mapInArrow(_weigh(ratio, seed), "doc_id long, log_weight double, noise double"), "weights"
     )
+    n = scored.count()
+    if temperature is None:
+        temperature = 1.0
+        if n and np.isfinite(ratio.cut):
+            near = scored.select((-F.abs("log_weight")).alias("near"))
+            temperature = max(1.0, -kth_largest(near, "near", int(np.ceil(NEAR * n))))
+    keyed = scored.select("doc_id", "log_weight", (F.col("log_weight") / F.lit(float(temperature)) + F.col("noise")).alias("sample_key"))
     if k is None:
-        k = (scored.where("log_weight >= 0") if np.isfinite(ratio.cut) else scored).count()
-    if k <= 0:
-        return scored, np.inf
-    return scored, kth_largest(scored, "sample_key", min(k, scored.count()))
+        k = scored.where("log_weight >= 0").count() if np.isfinite(ratio.cut) else n
+    return keyed, kth_largest(keyed, "sample_key", min(k, n)) if min(k, n) > 0 else np.inf, temperature
 
 
 def importance_sample(
-    docs: DataFrame, labels: DataFrame, k: int | None = None, max_rows: int = 50_000, seed: int = 11
+    docs: DataFrame, labels: DataFrame, k: int | None = None, max_rows: int = 50_000, seed: int = 11, temperature: float | None = None
 ) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, log_weight (summed log ratio of the target's and the raw model's probabilities of its
-    n-grams, with a length term: Ratio.weigh), sample_key (that over TEMPERATURE, plus Gumbel noise by doc_id), kept (among the k
+    n-grams, with a length term: Ratio.weigh), sample_key (that over the temperature, plus Gumbel noise by doc_id), kept (among the k
     largest keys; rows tied with the last stay too).
 
     k is by default how many documents weigh 0 or more, the cut between labels 1 and 0, so the sample is as large as the good part of
-    the corpus. Whole texts count, also very long ones, in blocks. A null text or one without words has no n-grams but the NEUTRAL ones;
+    the corpus; the temperature is by default the weight, either way, that a share NEAR of all documents doesn't exceed (1 at least).
+    Whole texts count, also very long ones, in blocks. A null text or one without words has no n-grams but the NEUTRAL ones;
     null labels don't count; without labels of both kinds everything is kept; an empty table gives an empty result. Repeated rows get equal
     keys, and so do rows without a doc_id and of the same text. Extra columns of docs don't matter.
     """
-    scored, least = _threshold(docs, fit(docs, labels, max_rows, seed), seed, k)
+    scored, least, _ = _threshold(docs, fit(docs, labels, max_rows, seed), seed, k, temperature)
     return scored.withColumn("kept", F.col("sample_key") >= F.lit(least))
 
 
-def keep_sample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_rows: int = 50_000, seed: int = 11) -> DataFrame:
+def keep_sample(
+    docs: DataFrame, labels: DataFrame, k: int | None = None, max_rows: int = 50_000, seed: int = 11, temperature: float | None = None
+) -> DataFrame:
     """The rows of docs, all columns, that importance_sample() keeps; they are weighed again on the way, so no text is shuffled."""
     ratio = fit(docs, labels, max_rows, seed)
-    _, least = _threshold(docs, ratio, seed, k)
-    return docs.mapInArrow(_sample(ratio, seed, least), docs.schema)
+    _, least, temperature = _threshold(docs, ratio, seed, k, temperature)
+    return docs.mapInArrow(_sample(ratio, seed, least, temperature), docs.schema)
