@@ -98,6 +98,10 @@ def read_questions(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.schema(QUESTIONS).json(f"{target}/questions")
 
 
+def read_report(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.schema("section string, key string, n long").parquet(f"{target}/report")
+
+
 def compile_eval_set(spark: SparkSession, notes: str, questions: str, target: str, settings: Settings | None = None) -> dict[str, int]:
     """Write the three tables; how many rows of each kind there are."""
     s = settings or Settings()
@@ -105,13 +109,14 @@ def compile_eval_set(spark: SparkSession, notes: str, questions: str, target: st
     known = spark.read.parquet(notes).select(F.col(f"`{s.note}`").alias("note"), F.col(f"`{s.text}`").cast("string").alias("text")).where("note is not null and text is not null")
     asked = spark.read.parquet(questions).select(F.col(f"`{s.question}`").alias("question_id"), F.col(f"`{s.question_text}`").cast("string").alias("question"))
     asked = asked.where("question_id is not null and question is not null").dropDuplicates(["question_id"])
-    candidates(asked, known, s).write.mode("overwrite").partitionBy("reason").parquet(f"{target}/candidates")
-    tried = spark.read.parquet(f"{target}/candidates")
+    judged = candidates(asked, known, s)
+    judged.write.mode("overwrite").partitionBy("reason").parquet(f"{target}/candidates")
+    tried = spark.read.schema(judged.schema).parquet(f"{target}/candidates")
     kept = tried.where("reason = 'kept'").drop("reason")
     annotated(kept, known).write.mode("overwrite").partitionBy("answerable", "lang").json(f"{target}/questions")
     compiled = read_questions(spark, target)
     build_report(tried, compiled).write.mode("overwrite").partitionBy("section").parquet(f"{target}/report")
-    report = spark.read.parquet(f"{target}/report")
+    report = read_report(spark, target)
     done = {r["key"]: r["n"] for r in report.where("section = 'reason'").collect()}
     log.info("compile_eval_set: read %d questions; %s", sum(done.values()), ", ".join(f"{n} {k}" for k, n in sorted(done.items())))
     return done

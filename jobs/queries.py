@@ -41,7 +41,7 @@ def job2_compile_eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
         compiler.compile_eval_set(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet", target)
     about = ("question_id", "lang", "note", "n_relevant", "coverage", "leak_token", "bucket", "rare_token", "rare_df")
     rows = compiler.read_questions(spark, target).select(F.lit("question").alias("part"), F.col("id").alias("key"), *about, F.col("leak_min_df").alias("n"))
-    report = spark.read.parquet(f"{target}/report").select(F.col("section").cast("string").alias("part"), "key", "n")
+    report = compiler.read_report(spark, target).select(F.col("section").alias("part"), "key", "n")
     return rows.unionByName(report, allowMissingColumns=True)
 
 

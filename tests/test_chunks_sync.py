@@ -158,12 +158,15 @@ def test_sync_and_search(spark, vault, tmp_path):
     got = {(r["mode"], r["view"], r["metric"]): r["value"] for r in found.metrics.collect()}
     report = {key[1:]: value for key, value in got.items()}
     assert report["strict", "recall@1"] == 1 and report["strict", "queries"] == 2 and report["abstention", "abstain_rate"] == 1
-    assert got["keyword", "lang:en", "queries"] == 2 and got["keyword", "lang:en", "notes"] == 2 and got["keyword", "lang:en", "abstained"] == 1
+    # a row without a language counts as unknown, one without leak_min_df in the first bucket
+    assert got["keyword", "lang:en", "queries"] == got["keyword", "lang:en", "notes"] == 1 and got["keyword", "lang:en", "unanswerable"] == 0
+    assert got["keyword", "lang:unknown", "queries"] == got["keyword", "lang:unknown", "abstained"] == 1
+    assert got["keyword", "leak:<=2", "queries"] == 2 and 0 <= got["keyword", "lang:en", "ndcg@5 low"] <= got["keyword", "lang:en", "ndcg@5 high"] <= 1
     assert got["keyword", "strict", "recall@1 low"] == got["keyword", "strict", "recall@1 high"] == 1
     assert got["keyword", "abstention", "recall@5 with abstention"] == 1 and got["keyword", "time", "ms_per_query p95"] > 0
-    assert found.drift == [] and not any(view.startswith("leak") for _, view, _ in got)
+    assert found.drift == []
     text = found.report()
-    assert [x for x in text.splitlines() if x.startswith("## ")] == ["## Quality", "## Languages", "## Abstention and time"]
+    assert [x for x in text.splitlines() if x.startswith("## ")] == ["## Quality", "## Languages", "## Leak buckets", "## Abstention and time"]
     found.write_json(str(tmp_path / "run.json"))
     run = json.loads((tmp_path / "run.json").read_text())
     assert run["rankings"]["keyword"]["1"][0] == "note.md" and run["coverage"]["keyword"]["1"] == 1 and run["drift"] == []
@@ -178,7 +181,7 @@ def test_query_labels(spark):
         "id string, question string, grades map<string,double>, lang string, leak boolean, leak_min_df int",
     )
     got = {r["query_id"]: tuple(r)[1:] for r in query_labels(rows).collect()}
-    assert got == {"a": ("y", "en", "3-10", False), "b": (None, "zh", None, True)}
+    assert got == {"a": ("y", "unknown", "3-10", False), "b": (None, "unknown", "<=2", True)}
 
 
 def test_rollups(spark):

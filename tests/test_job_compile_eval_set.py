@@ -25,7 +25,7 @@ def tables(spark, folder, notes=NOTES, questions=QUESTIONS):
 
 def result(spark, target):
     rows = [r.asDict() for r in J.read_questions(spark, target).orderBy("id").collect()]
-    report = sorted(tuple(r) for r in spark.read.parquet(f"{target}/report").select("section", "key", "n").collect())
+    report = sorted(tuple(r) for r in J.read_report(spark, target).select("section", "key", "n").collect())
     return rows, report
 
 

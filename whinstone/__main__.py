@@ -28,6 +28,7 @@ def main() -> None:
     p.add_argument("--ks", default="1,5,10")
     p.add_argument("--abstain-threshold", type=float, default=0.30)
     p.add_argument("--latency-repeats", type=int, default=1)
+    p.add_argument("--latency-queries", type=int, default=0)
     p.add_argument("--bootstrap-samples", type=int, default=2000)
     p.add_argument("--out")
     p.add_argument("--json")
@@ -48,7 +49,7 @@ def main() -> None:
     elif args.command == "eval":
         rows = read_eval_set(engine.spark, args.dataset)
         ks = [int(k) for k in args.ks.split(",")]
-        found = engine.evaluation(rows, args.modes.split(","), ks, args.abstain_threshold, args.latency_repeats, args.bootstrap_samples)
+        found = engine.evaluation(rows, args.modes.split(","), ks, args.abstain_threshold, args.latency_repeats, args.bootstrap_samples, args.latency_queries)
         text = found.report()
         if args.json:
             found.write_json(args.json)

@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 
 from whinstone.functions.notes import parse_notes, read_section
 from whinstone.operators import metrics as M
-from whinstone.operators.chunking import chunk_notes
+from whinstone.operators.chunking import chunk_or_fail
 from whinstone.operators.embedding import Embedder, build_embedder
-from whinstone.operators.evaluation import Evaluation, evaluate_run, query_labels
+from whinstone.operators.evaluation import Evaluation, evaluate_run, query_labels, time_figures
 from whinstone.operators.evalset import concat_notes, recent, require_indexed
 from whinstone.operators.retrieval import MODES, KeepOrder, Reranker, Retriever
-from whinstone.operators.sync import CHUNK_TABLE, SnapshotTable, SyncStats, sync_chunks
+from whinstone.operators.sync import CHUNK_TABLE, NoteVersions, SnapshotTable, SyncStats, sync_chunks
 from whinstone.sources.files import decode, read_vault, to_qrels
 
 
 @dataclass
 class Settings:
-    """Read from WHINSTONE_<NAME> where the environment has it."""
+    """Read from WHINSTONE_<NAME> where the environment has it, else from such a line of a .env file."""
 
     vault: str = "vault"
     table: str = "chunk-table"
@@ -31,20 +31,32 @@ class Settings:
     embed_base_url: str = ""
     embed_model: str = ""
     embed_api_key: str = ""
+    embed_batch: int = 64
+    embed_timeout: float = 60.0
+    top_k: int = 10
     candidate_k: int = 50
     rrf_k: float = 60.0
     vector_weight: float = 1.0
     keyword_weight: float = 1.0
     chunk_chars: int = 1200
     chunk_overlap: int = 150
+    #: versions: a sync writes the notes that changed; snapshots: each sync is a whole new table that appears at once.
+    table_layout: str = "versions"
 
     @classmethod
-    def from_environment(cls) -> Settings:
-        found = {}
-        for name, f in cls.__dataclass_fields__.items():
-            if (value := os.environ.get(f"WHINSTONE_{name.upper()}")) is not None:
-                found[name] = type(f.default)(value)
-        return cls(**found)
+    def from_environment(cls, env_file: str = ".env") -> Settings:
+        """Names are upper-cased; in the file empty lines and those that begin with # are skipped, and quotes around a value go."""
+        given = {}
+        if os.path.isfile(env_file):
+            with open(env_file, encoding="utf-8-sig") as f:
+                for line in map(str.strip, f):
+                    name, found, value = line.removeprefix("export ").partition("=")
+                    if found and not line.startswith("#"):
+                        value = value.strip()
+                        given[name.strip().upper()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
+        given |= os.environ
+        keys = {name: f"WHINSTONE_{name.upper()}" for name in cls.__dataclass_fields__}
+        return cls(**{name: type(cls.__dataclass_fields__[name].default)(given[key]) for name, key in keys.items() if key in given})
 
 
 @dataclass
@@ -54,18 +66,22 @@ class Engine:
     reranker: Reranker = field(default_factory=KeepOrder)
 
     @property
-    def table(self) -> SnapshotTable:
-        return SnapshotTable(self.spark, self.settings.table, CHUNK_TABLE)
+    def table(self) -> SnapshotTable | NoteVersions:
+        kinds = {"versions": NoteVersions, "snapshots": SnapshotTable}
+        if self.settings.table_layout not in kinds:
+            raise ValueError(f"table_layout must be one of {', '.join(kinds)}")
+        return kinds[self.settings.table_layout](self.spark, self.settings.table, CHUNK_TABLE)
 
     @property
     def embedder(self) -> Embedder:
         s = self.settings
-        return build_embedder(s.embed_dim, s.embed_base_url, s.embed_model, s.embed_api_key)
+        return build_embedder(s.embed_dim, s.embed_base_url, s.embed_model, s.embed_api_key, s.embed_batch, s.embed_timeout)
 
     def chunks(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(chunks, readable files, failures) of the vault."""
         good, bad = decode(read_vault(self.spark, self.settings.vault))
-        return chunk_notes(parse_notes(good), self.settings.chunk_chars, self.settings.chunk_overlap), good, bad
+        chunks, broken = chunk_or_fail(parse_notes(good), self.settings.chunk_chars, self.settings.chunk_overlap)
+        return chunks, good, bad.unionByName(broken)
 
     def preview(self, n: int = 5, width: int = 120) -> DataFrame:
         """The first chunks, without touching the table."""
@@ -80,7 +96,7 @@ class Engine:
         stats = sync_chunks(self.table, chunks, self.embedder, full)
         failures = [f"{r['path']}: {r['reason']}" for r in bad.orderBy("path").limit(10).collect()]
         stats.failures, stats.notes_failed = failures, bad.count()
-        stats.files_scanned = good.count() + stats.notes_failed
+        stats.files_scanned = good.select("path").unionByName(bad.select("path")).distinct().count()
         chunks.unpersist()
         return stats
 
@@ -93,7 +109,8 @@ class Engine:
         vectors = self.embedder.embed(texts.select(F.col("query_id").alias("id"), "text")).withColumnRenamed("id", "query_id")
         return texts.select("query_id", "text").join(vectors, "query_id")
 
-    def search(self, texts: Sequence[str], k: int = 10, mode: str = "hybrid", notes: bool = False) -> DataFrame:
+    def search(self, texts: Sequence[str], k: int | None = None, mode: str = "hybrid", notes: bool = False) -> DataFrame:
+        k = self.settings.top_k if k is None else k
         asked = self.queries(self.spark.createDataFrame(list(enumerate(texts)), "query_id long, text string"))
         found = self.retriever()
         return found.search_notes(asked, k, mode) if notes else found.search(asked, k, mode)
@@ -104,14 +121,16 @@ class Engine:
 
     def evaluation(
         self, eval_set: DataFrame, modes: Sequence[str] = MODES, ks: Sequence[int] = (1, 5, 10), threshold: float = 0.30,
-        repeats: int = 1, samples: int = 2000,
+        repeats: int = 1, samples: int = 2000, single: int = 0,
     ) -> Evaluation:
         """All modes over an evaluation set (see evaluate_run()). All queries of a mode are one job, so its time is the job's by the
         number of queries: p50 and p95 over the repeats. Each repeat runs every mode in turn; the first one's rankings count, and
-        modes that a later one ranks otherwise are named as drift."""
+        modes that a later one ranks otherwise are named as drift. With `single` so many questions are also asked one by one (latency())."""
         if repeats < 1 or samples < 0 or not modes or not ks or min(ks) <= 0:
             raise ValueError("repeats, modes and every k must be positive, samples not negative")
         qrels = to_qrels(eval_set)
+        if qrels.isEmpty():
+            raise ValueError("no question has an answer, so rankings can't be judged")
         require_indexed(qrels.select(F.col("doc_id").alias("note_path")), self.table.read())
         asked = self.queries(eval_set.select(F.col("id").alias("query_id"), F.col("question").alias("text"))).persist()
         n, found, labels = max(1, asked.count()), self.retriever(), query_labels(eval_set).persist()
@@ -145,8 +164,36 @@ class Engine:
             ranked, covered = ranked.withColumn("mode", F.lit(mode)), covered.withColumn("mode", F.lit(mode))
             rankings = ranked if rankings is None else rankings.unionByName(ranked)
             coverage = covered if coverage is None else coverage.unionByName(covered)
+        if single:
+            metrics = metrics.unionByName(self.latency(eval_set, modes, repeats, single, max(ks)))
         return Evaluation(metrics.persist(), rankings, coverage, drift)
 
+    def latency(self, eval_set: DataFrame, modes: Sequence[str] = MODES, repeats: int = 3, queries: int = 20, k: int = 10) -> DataFrame:
+        """mode, view (time), metric, value: how long single queries take (milliseconds) on a prepared index, one job a query: p50 and
+        p95 over the first `queries` questions, and of the repeats' figures the median, least and most. Repeats take modes in turn."""
+        if repeats < 1 or queries < 1:
+            raise ValueError("repeats and queries must be positive")
+        asked = self.queries(eval_set.select(F.col("id").alias("query_id"), F.col("question").alias("text")).orderBy("query_id").limit(queries)).persist()
+        found = self.retriever()
+        index = found.index
+        held = [df.persist() for df in (found.chunks, index.docs, index.postings)]
+        for df in held:
+            df.count()
+        ids = [r["query_id"] for r in asked.select("query_id").orderBy("query_id").collect()]
+        runs: dict[str, list[list[float]]] = {mode: [] for mode in modes}
+        for _ in range(repeats):
+            for mode in modes:
+                times = []
+                for i in ids:
+                    start = time.perf_counter()
+                    found.search_notes(asked.where(F.col("query_id") == i), k, mode).collect()
+                    times.append((time.perf_counter() - start) * 1000)
+                runs[mode].append(times)
+        for df in (asked, *held):
+            df.unpersist()
+        rows = [(mode, "time", f"ms of a query {name}", float(v)) for mode, r in runs.items() for name, v in time_figures(r).items()]
+        return self.spark.createDataFrame(rows, "mode string, view string, metric string, value double")
+
     def drafts(self, limit: int | None = None, most: int = 6000) -> DataFrame:
         """note_path, text of each note, for writing questions."""
         out = concat_notes(self.table.read(), "char_start", most=most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,20 +83,31 @@ def _sha(*parts: object) -> str:
     return hashlib.sha1("".join(f"{p}{UNIT}" for p in parts).encode(), usedforsecurity=False).hexdigest()[:16]
 
 
-def _chunk(most: int, overlap: int, carry: Sequence[str] = ()):
+Chunker = Callable[[str, int, int], list[tuple[tuple[str, ...], str, int, int]]]
+
+
+def _chunk(most: int, overlap: int, carry: Sequence[str] = (), spans: Chunker = chunk_spans, errors: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "note_path", "title", "heading_path", "text", "char_start", "char_end", "content_hash"]
         kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
-            rows, of = [], []
+            rows, of, why = [], [], []
             for i, (path, title, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "title", "body")), strict=True)):
-                for heads, text, start, end in chunk_spans(body or "", most, overlap):
-                    rows.append((_sha(path, " > ".join(heads), start), path, title, list(heads), text, start, end, _sha(text)))
-                    of.append(i)
+                try:
+                    found = [(_sha(path, " > ".join(h), a), path, title, list(h), text, a, b, _sha(text)) for h, text, a, b in spans(body or "", most, overlap)]
+                    why.extend([None] * len(found))
+                except Exception as e:  # whatever a note breaks is that note's failure, not the job's
+                    if not errors:
+                        raise
+                    found = [(None, path, title, None, None, None, None, None)]
+                    why.append(f"{type(e).__name__}: {e}")
+                rows += found
+                of += [i] * len(found)
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             made = [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]
             carried = [batch.column(c).take(pa.array(of, pa.int64())) for c in carry]
-            yield pa.RecordBatch.from_arrays([*made, *carried], names=[*names, *carry])
+            told = [pa.array(why, pa.string())] if errors else []
+            yield pa.RecordBatch.from_arrays([*made, *carried, *told], names=[*names, *carry, *(["error"] if errors else [])])
 
     return run
 
@@ -109,6 +120,14 @@ def chunk_notes(notes: DataFrame, most: int = 1200, overlap: int = 150, carry: S
     return notes.select("path", "title", "body", *carry).mapInArrow(_chunk(most, overlap, carry), schema)
 
 
+def chunk_or_fail(notes: DataFrame, most: int = 1200, overlap: int = 150, spans: Chunker = chunk_spans) -> tuple[DataFrame, DataFrame]:
+    """(chunks, failures): as chunk_notes, but a note that the chunker raises at becomes a row (path, reason) of failures, and the others
+    are chunked all the same. Each of the two is a pass over the notes."""
+    chunk_spans("", most, overlap)
+    rows = notes.select("path", "title", "body").mapInArrow(_chunk(most, overlap, (), spans, True), f"{CHUNKS}, error string")
+    return rows.where("error is null").drop("error"), rows.where("error is not null").select(F.col("note_path").alias("path"), F.col("error").alias("reason"))
+
+
 def hard_split(docs: DataFrame, most: int = 1200, overlap: int = 150) -> DataFrame:
     """Windows of texts that have neither headings nor paragraphs, as expressions only: doc_id, piece, char_start, text, id,
     content_hash. Window i begins at i * (most - overlap)."""

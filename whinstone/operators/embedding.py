@@ -160,6 +160,6 @@ class CachedEmbedder:
         return keyed.select("id", "key").join(cache, "key", "left").select("id", "embedding")
 
 
-def build_embedder(dim: int = DIM, base_url: str = "", model: str = "", api_key: str = "") -> Embedder:
+def build_embedder(dim: int = DIM, base_url: str = "", model: str = "", api_key: str = "", batch: int = 64, timeout: float = 60) -> Embedder:
     """Remote where both its address and its model are known, else hashing."""
-    return RemoteEmbedder(base_url, model, api_key, dim) if base_url and model else HashingEmbedder(dim)
+    return RemoteEmbedder(base_url, model, api_key, dim, batch, timeout) if base_url and model else HashingEmbedder(dim)

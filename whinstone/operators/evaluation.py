@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import statistics
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -22,6 +24,19 @@ SECTIONS = (
 )
 
 
+def nearest_rank(values: Sequence[float], p: float) -> float:
+    return sorted(values)[max(0, math.ceil(p / 100 * len(values)) - 1)]
+
+
+def time_figures(runs: Sequence[Sequence[float]]) -> dict[str, float]:
+    """From the times of single queries, by repeat: p50 and p95 of each repeat, and of these the median, least and most."""
+    found = {}
+    for p in (50, 95):
+        each = [nearest_rank(run, p) for run in runs]
+        found |= {f"p{p} {name}": f(each) for name, f in (("median", statistics.median), ("min", min), ("max", max))}
+    return found
+
+
 @dataclass
 class Evaluation:
     """metrics: mode, view, metric, value; rankings: mode, query_id, doc_id, rank; coverage: mode, query_id, coverage; drift: modes

@@ -91,6 +91,10 @@ class Retriever:
         """The best chunk of each note, k notes at most, out of 4 k chunks."""
         return best_per_note(self.search(queries, 4 * k, mode), k)
 
+    def vector_rankings(self, queries: DataFrame, top_k: int = 50) -> DataFrame:
+        """For experiments on vectors alone: the best chunk of every note among the top_k nearest chunks, however many notes those are."""
+        return best_per_note(self.search(queries, top_k, "vector"))
+
 
 def best_per_note(hits: DataFrame, k: int | None = None, note: str = "note_path") -> DataFrame:
     """Of each query's hits the first of each note (hits without a note go), ranked anew."""

@@ -6,6 +6,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,60 @@ CHUNK_TABLE = (
 )
 
 
+class NoteVersions:
+    """A chunk table that only grows: each write adds the chunks of the notes that changed as one partition `batch` of path/chunks, and
+    then those notes' names to path/notes. A note's chunks are those of its latest batch, so a write costs what changed, not what is
+    there; a note is seen as it was or as it is, never in part; and writers of different notes don't disturb each other.
+
+    compact() puts the current state into one batch and deletes what it replaces; it is for a time without readers and writers.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str = ""):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema or CHUNK_TABLE
+
+    def _table(self, name: str, schema: str) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def exists(self) -> bool:
+        return self._table("notes", "note_path string, batch long") is not None
+
+    def read(self, within: DataFrame | None = None) -> DataFrame:
+        """The current chunks; of the notes in `within` (note_path) only, where given."""
+        notes, chunks = self._table("notes", "note_path string, batch long"), self._table("chunks", f"{self.schema}, batch long")
+        if notes is None or chunks is None:
+            return self.spark.createDataFrame([], self.schema)
+        if within is not None:
+            notes = notes.join(within.select("note_path").distinct(), "note_path", "left_semi")
+        latest = notes.groupBy("note_path").agg(F.max("batch").alias("batch"))
+        return chunks.join(latest, ["note_path", "batch"], "left_semi").select(*self.spark.createDataFrame([], self.schema).columns)
+
+    def replace(self, notes: DataFrame, chunks: DataFrame) -> int:
+        """From now on the notes (note_path) have these chunks, or none; the batch's number."""
+        batch = time.time_ns()
+        add = lambda rows, name: rows.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{self.path}/{name}")
+        add(chunks, "chunks")
+        add(notes.select("note_path").distinct(), "notes")
+        return batch
+
+    def compact(self) -> int:
+        now = self.read()
+        batch = self.replace(now.select("note_path"), now)
+        jvm = self.spark.sparkContext._jvm
+        for name in ("notes", "chunks"):  # names first: what they list is there until they are gone
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            for x in fs.listStatus(at):
+                found = x.getPath().getName().removeprefix("batch=")
+                if found.isdigit() and int(found) < batch:
+                    fs.delete(x.getPath(), True)
+        return batch
+
+
 @dataclass
 class SyncStats:
     files_scanned: int = 0
@@ -97,15 +152,22 @@ class SyncStats:
     failures: list[str] = field(default_factory=list)
 
 
-def sync_chunks(table: SnapshotTable, chunks: DataFrame, embedder: Embedder, full: bool = False, purge: bool | None = None) -> SyncStats:
+def sync_chunks(
+    table: SnapshotTable | NoteVersions, chunks: DataFrame, embedder: Embedder, full: bool = False, purge: bool | None = None,
+    within: DataFrame | None = None,
+) -> SyncStats:
     """Bring the table to the state of chunks; only new and changed chunks are embedded.
 
-    full embeds all of them and, as nothing is then known, leaves stale rows unless purge says otherwise. The new state is one
-    snapshot: readers see all of it or none.
+    full embeds all of them and, as nothing is then known, leaves stale rows unless purge says otherwise. In a SnapshotTable the new
+    state is one snapshot, of which readers see all or none; in NoteVersions only notes with new, changed or stale chunks are written.
+    within (note_path; NoteVersions only): chunks are all there is of these notes, and others are left as they are.
     """
     began, stats = time.time(), SyncStats()
     purge = not full if purge is None else purge
-    now = table.read()
+    versions = isinstance(table, NoteVersions)
+    if within is not None and not versions:
+        raise ValueError("part of the notes can be synchronised in NoteVersions only")
+    now = table.read(within) if versions else table.read()
     have = now.select("embedding").where("embedding is not null").first()
     if have and len(have[0]) != embedder.dim:
         raise ValueError(f"the table's embeddings have {len(have[0])} numbers, the embedder gives {embedder.dim}")
@@ -125,7 +187,14 @@ def sync_chunks(table: SnapshotTable, chunks: DataFrame, embedder: Embedder, ful
         vectors = embedder.embed(work.select("id", embed_text().alias("text")))
         fresh = work.join(vectors, "id", "left").withColumn("updated_at", F.current_timestamp())
         kept = delete(now, state.where("status = 'stale'")) if purge else now
-        table.write(upsert(kept, fresh.select(*now.columns)))
+        if versions:
+            noted = now.select("id", "note_path").unionByName(chunks.select("id", "note_path")).distinct()
+            moved = state.where("status <> 'unchanged'" + (" or true" if full else "")).select("id")
+            notes = noted.join(moved, "id", "left_semi").select("note_path").distinct()
+            rows = upsert(kept, fresh.select(*now.columns)).join(notes, "note_path", "left_semi")
+            table.replace(notes, rows.select(*now.columns))
+        else:
+            table.write(upsert(kept, fresh.select(*now.columns)))
     state.unpersist()
     stats.elapsed_s = time.time() - began
     return stats

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from whinstone.functions import notes as N
 from whinstone.functions import text as X
 from whinstone.operators import chunking, evalset, fusion, metrics, sync
+from whinstone.operators.ann import build_ivf, ivf_search, recall_sweep
 from whinstone.operators.embedding import HashingEmbedder, Md5Embedder
 from whinstone.operators.index import bm25_score, bm25_search, build_index, top_terms
 from whinstone.operators.retrieval import Retriever, format_hits
@@ -174,6 +175,42 @@ def vector_topk_lsh(spark, sf_dir):
     return vector_search_lsh(*vectors(spark, sf_dir), 10)
 
 
+def ivf(spark, sf_dir):
+    rows, asked = vectors(spark, sf_dir)
+    rows = rows.drop("label")
+    dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return build_ivf(rows, dim), rows, asked
+
+
+@query(_NEAR + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+def ivf_topk_all_lists(spark, sf_dir):
+    index, _, asked = ivf(spark, sf_dir)
+    return ivf_search(index, asked, 10, probes=len(index.sizes), refine=0).withColumn("score", F.round("score", 6))
+
+
+@query()
+def ivf_topk(spark, sf_dir):
+    index, _, asked = ivf(spark, sf_dir)
+    return ivf_search(index, asked, 10, probes=max(1, len(index.sizes) * 6 // 10))
+
+
+@query()
+def ivf_recall_sweep(spark, sf_dir):
+    index, rows, asked = ivf(spark, sf_dir)
+    return recall_sweep(index, rows, asked, sorted({max(1, len(index.sizes) * p // 100) for p in (5, 20, 40, 60, 100)}), 10)
+
+
+@query(
+    _NEAR
+    + """, h AS (SELECT query_id, doc_id, label AS note, rank FROM r JOIN embeddings ON vec_id = doc_id WHERE rank <= 50),
+f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, note ORDER BY rank) = 1)
+SELECT query_id, note::VARCHAR AS note_path, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM f"""
+)
+def vector_note_rankings(spark, sf_dir):
+    found, asked = labelled_chunks(spark, sf_dir)
+    return found.vector_rankings(asked).select("query_id", "note_path", "doc_id", "rank")
+
+
 @query(
     """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v)
@@ -196,14 +233,20 @@ def hash_embed_md5(spark, sf_dir):
     return Md5Embedder(384).features(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
 
 
-@query(_NEAR + " SELECT query_id, doc_id, (51 - rank)::DOUBLE AS score, rank FROM r WHERE rank <= 10")
-def search_vector_mode_score(spark, sf_dir):
+def labelled_chunks(spark, sf_dir):
+    """A retriever over the vectors, a label being a note, and the queries."""
     rows, asked = vectors(spark, sf_dir)
     chunks = rows.select(
         F.col("doc_id").alias("id"), F.col("label").cast("string").alias("note_path"), F.lit("").alias("title"),
         F.array().cast("array<string>").alias("heading_path"), F.lit("").alias("text"), "embedding",
     )
-    hits = Retriever(chunks).search(asked.withColumn("text", F.lit("x")), 10, "vector")
+    return Retriever(chunks), asked.withColumn("text", F.lit("x"))
+
+
+@query(_NEAR + " SELECT query_id, doc_id, (51 - rank)::DOUBLE AS score, rank FROM r WHERE rank <= 10")
+def search_vector_mode_score(spark, sf_dir):
+    found, asked = labelled_chunks(spark, sf_dir)
+    hits = found.search(asked, 10, "vector")
     return hits.select("query_id", "doc_id", "score", "rank")
 
 
