@@ -100,3 +100,26 @@ def test_plan_has_no_cartesian_product(spark, capsys):
     bm25_search(index, spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")).explain()
     plan = capsys.readouterr().out
     assert "CartesianProduct" not in plan and "WindowGroupLimit" in plan
+
+
+def test_blocks_of_documents_and_queries_score_as_the_join_does(spark, monkeypatch):
+    from whinstone.operators import index as I
+
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "x1", "框架", "会话"]
+    docs = [(f"d{i}", " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(60)] + [(None, "alpha beta"), ("e", None)]
+    docs += [(f"same{i}", "alpha beta") for i in range(9)]
+    asked = [(i, " ".join(rng.choices([*words, "unknown"], k=rng.randint(0, 5)))) for i in range(25)] + [(None, "alpha"), (99, None), (98, "alpha alpha")]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    queries = spark.createDataFrame(asked, "query_id int, text string")
+    index = I.build_index(df)
+    scores = I.bm25_scores(index, queries.where("query_id is not null")).where("doc_id is not null")
+    for blocks in (4096, 7):
+        monkeypatch.setattr(I, "BLOCK_DOCS", blocks)
+        monkeypatch.setattr(I, "BLOCK_QUERIES", blocks)
+        for k in (1, 4, 500):
+            want = sorted(tuple(r) for r in I.top_k(scores, k).select("query_id", "doc_id", "score", "rank").collect())
+            got = sorted(tuple(r) for r in I.bm25_search(index, queries, k).select("query_id", "doc_id", "score", "rank").collect())
+            assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want]
+            assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-9)
+    assert I.bm25_search(index, queries.where("false"), 5).count() == 0 and I.bm25_search(I.build_index(df.where("false")), queries, 5).count() == 0

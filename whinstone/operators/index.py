@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,9 +110,87 @@ def top_k(scored: DataFrame, k: int | None, id_col: str = "doc_id") -> DataFrame
     return ranked if k is None or k < 0 else ranked.where(F.col("rank") <= k)
 
 
+#: Documents whose postings one task scores at a time, and queries it does so for.
+BLOCK_DOCS, BLOCK_QUERIES = 4096, 4096
+
+
+def _block_scores(k: int):
+    """A block's postings and all queries' weighted terms: each query's k best documents of the block. Scores add up term by term in the
+    order of terms, wherever a document lies."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = table.column("query_id").is_valid()
+        queries, postings = table.filter(asked), table.filter(pc.invert(asked))
+        empty = {"query_id": table.column("query_id")[:0], "doc_id": table.column("doc_id")[:0], "score": pa.array([], pa.float64())}
+        if not len(queries) or not len(postings):
+            return pa.table(empty)
+        docs = postings.column("doc_id").combine_chunks().dictionary_encode()
+        ids, doc = docs.dictionary, docs.indices.to_numpy()
+        by_id = np.empty(len(ids), np.int64)
+        by_id[np.asarray(pc.sort_indices(ids))] = np.arange(len(ids))
+        doc = by_id[doc]  # places in the order of ids, so ties go by id
+        names = postings.column("term").combine_chunks().dictionary_encode()
+        order = np.argsort(names.indices.to_numpy(), kind="stable")
+        doc, part = doc[order], postings.column("part").to_numpy()[order]
+        bounds = np.searchsorted(names.indices.to_numpy()[order], np.arange(len(names.dictionary) + 1))
+        queries = queries.sort_by([("query_id", "ascending"), ("term", "ascending")])
+        at = pc.index_in(queries.column("term"), names.dictionary).to_numpy(zero_copy_only=False)
+        weight, numbers = queries.column("w").to_numpy(), queries.column("query_id").combine_chunks().dictionary_encode()
+        ends = np.append(np.flatnonzero(np.diff(numbers.indices.to_numpy())) + 1, len(queries))
+        found, start = [], 0
+        for q, end in enumerate(ends):
+            score = np.zeros(len(ids))
+            for t, w in zip(at[start:end], weight[start:end], strict=True):
+                if t == t:  # not null: the block has the term
+                    s = slice(bounds[int(t)], bounds[int(t) + 1])
+                    score[doc[s]] += w * part[s]
+            start = end
+            score = np.round(score, DIGITS)
+            hit = np.flatnonzero(score > 0)
+            if len(hit) > k:
+                least = np.partition(score[hit], len(hit) - k)[len(hit) - k]
+                hit = hit[score[hit] >= least]
+                hit = hit[np.argsort(-score[hit], kind="stable")[:k]]
+            found.append((np.full(len(hit), q), hit, score[hit]))
+        q, hit, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"query_id": numbers.dictionary.take(pa.array(q)), "doc_id": ids.take(pc.sort_indices(ids)).take(pa.array(hit)), "score": score})
+
+    return run
+
+
+def bm25_best(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score: of bm25_scores each query's k best, and of each block of documents no more than that.
+
+    Postings of the queries' terms are dealt by document to blocks, the queries' weighted terms to every block (a batch of more than
+    BLOCK_QUERIES in parts, each of which gets the postings); a block's scores add up in arrays, so what the join would make of common
+    terms, a row for each posting and query, is never a row. Queries and documents without an id are left out.
+    """
+    terms = query_terms(queries.where("query_id is not null"))
+    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    stats = F.broadcast(index.stats.select("n", "avgdl"))
+    weighted = terms.join(df, "term").crossJoin(stats).select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
+    norm = F.lit(index.k1) * (F.lit(1 - index.b) + F.lit(index.b) * F.col("dl") / F.col("avgdl"))
+    part = (F.col("tf") * (index.k1 + 1)) / (F.col("tf") + norm)
+    blocks, parts = (max(1, -(-n // most)) for n, most in ((index.docs.count(), BLOCK_DOCS), (queries.count(), BLOCK_QUERIES)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    kinds = dict(queries.dtypes)["query_id"], dict(index.postings.dtypes)["doc_id"]
+    null = lambda kind: F.lit(None).cast(kind)
+    right = wanted.where("doc_id is not null").crossJoin(stats).select(
+        null(kinds[0]).alias("query_id"), "term", null("double").alias("w"), "doc_id", part.alias("part"), of("doc_id", blocks).alias("block"), each(parts).alias("group")
+    )
+    left = weighted.select(
+        "query_id", "term", "w", null(kinds[1]).alias("doc_id"), null("double").alias("part"), each(blocks).alias("block"), of("query_id", parts).alias("group")
+    )
+    return left.unionByName(right).groupBy("block", "group").applyInArrow(_block_scores(k), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+
 def bm25_search(index: Index, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """query_id, doc_id, score, rank. Queries without known terms have no rows."""
-    return top_k(bm25_scores(index, queries), k)
+    if k is None or k <= 0:
+        return top_k(bm25_scores(index, queries), k)
+    return top_k(bm25_best(index, queries, k), k)
 
 
 def bm25_score(index: Index, queries: DataFrame, ids: DataFrame) -> DataFrame:

@@ -51,8 +51,9 @@ def qrels(spark, sf_dir):
     return found.withColumn("grade", F.when(F.col("doc_id") == first, 2.0).otherwise(1.0))
 
 
-def ranking(spark, sf_dir, k=10):
-    return bm25_search(build_index(documents(spark, sf_dir)), items(spark, sf_dir), k)
+def ranking(spark, sf_dir, k=10, index=None):
+    """The documents' keyword search for every item; index: a saved one, instead of building it."""
+    return bm25_search(index or build_index(documents(spark, sf_dir)), items(spark, sf_dir), k)
 
 
 # --- text, index, keyword search --------------------------------------------------------------------------------------
@@ -191,13 +192,13 @@ def ivf_topk_all_lists(spark, sf_dir):
 @query()
 def ivf_topk(spark, sf_dir):
     index, _, asked = ivf(spark, sf_dir)
-    return ivf_search(index, asked, 10, probes=max(1, len(index.sizes) * 6 // 10))
+    return ivf_search(index, asked, 10, probes=max(1, len(index.sizes) * 7 // 10))
 
 
 @query()
 def ivf_recall_sweep(spark, sf_dir):
     index, rows, asked = ivf(spark, sf_dir)
-    return recall_sweep(index, rows, asked, sorted({max(1, len(index.sizes) * p // 100) for p in (5, 20, 40, 60, 100)}), 10)
+    return recall_sweep(index, rows, asked, sorted({max(1, len(index.sizes) * p // 100) for p in (5, 20, 40, 70, 100)}), 10)
 
 
 @query(
@@ -259,8 +260,8 @@ lists AS (SELECT query_id, 'bm25' AS retriever, doc_id, rank FROM bmr WHERE rank
   UNION ALL SELECT query_id, 'overlap', doc_id, rank FROM ov WHERE rank <= 20)"""
 
 
-def two_lists(spark, sf_dir):
-    index = build_index(documents(spark, sf_dir))
+def two_lists(spark, sf_dir, index=None):
+    index = index or build_index(documents(spark, sf_dir))
     asked = items(spark, sf_dir).select("query_id", F.explode(F.array_distinct(X.tokenize("text"))).alias("term"))
     shared = index.postings.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id"))
