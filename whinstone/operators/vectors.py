@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from whinstone.operators.index import DIGITS, top_k
 
@@ -34,28 +36,30 @@ def _unit(rows: list) -> np.ndarray:
     return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
 
 
-def _best(queries: list, ids: np.ndarray, matrix: np.ndarray, k: int, id_name: str):
+def _best(ids: pa.Array, matrix: np.ndarray, k: int):
     """Per batch of vectors the k best of each query: the shuffle then carries k rows a task and query, not a similarity a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("embedding").to_pylist()
-            rows = [i for i, v in enumerate(vectors) if v is not None and len(v) == matrix.shape[1] and None not in v]
-            if not rows:
+            fitting = pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), matrix.shape[1]), False)
+            batch = batch.filter(fitting)
+            if not batch.num_rows:
                 continue
-            sims = np.round(matrix @ _unit([vectors[i] for i in rows]).T, DIGITS)
-            names = np.array(batch.column("id").to_pylist(), dtype=object)[rows]
-            order = np.argsort(names, kind="stable")
-            sims = np.where(np.isnan(sims), -np.inf, sims)[:, order]
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            for q in range(0, len(matrix), 256):
-                at = best[q : q + 256]
-                value = np.take_along_axis(sims[q : q + 256], at, 1).ravel()
-                ok = value > -np.inf
-                frame = pd.DataFrame(
-                    {"query_id": np.repeat(ids[q : q + 256], at.shape[1])[ok], "id": names[order][at.ravel()][ok], "score": value[ok]}
-                )
-                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+            order = pc.sort_indices(batch.column("id"))  # ties go by id
+            batch = batch.take(order)
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            with np.errstate(invalid="ignore"):  # a null or undefined number makes its vector's similarities undefined
+                sims = np.round(matrix @ _unit(x).T, DIGITS)
+            sims[np.isnan(sims)] = -np.inf
+            most = min(k, sims.shape[1])
+            least = np.partition(sims, sims.shape[1] - most, axis=1)[:, sims.shape[1] - most]
+            found = []
+            for q, row in enumerate(sims):
+                at = np.flatnonzero((row >= least[q]) & (row > -np.inf))
+                found.append(at[np.argsort(-row[at], kind="stable")[:most]])
+            q, at = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
+            columns = [ids.take(pa.array(q)), batch.column("id").take(pa.array(at)), pa.array(sims[q, at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
 
     return run
 
@@ -72,10 +76,10 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFr
     rows = queries.select("query_id", "embedding").where("embedding is not null")
     id_type, q_type = dict(vectors.dtypes)["doc_id"], dict(queries.dtypes)["query_id"]
     block: list = []
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
 
     def search(block: list) -> DataFrame:
-        ids = np.array([r["query_id"] for r in block])
-        run = _best([], ids, _unit([r["embedding"] for r in block]), k, "id")
+        run = _best(pa.array([r["query_id"] for r in block], kind), _unit([r["embedding"] for r in block]), k)
         base = vectors.select(F.col("doc_id").alias("id"), "embedding")
         return base.mapInArrow(run, f"query_id {q_type}, id {id_type}, score double")
 
