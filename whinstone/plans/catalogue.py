@@ -12,6 +12,7 @@ from whinstone.functions import text as X
 from whinstone.operators import chunking, evalset, fusion, metrics, sync
 from whinstone.operators.ann import build_ivf, ivf_search, recall_sweep
 from whinstone.operators.embedding import HashingEmbedder, Md5Embedder
+from whinstone.operators.evaluation import evaluate_run
 from whinstone.operators.index import bm25_score, bm25_search, build_index, top_terms
 from whinstone.operators.retrieval import Retriever, format_hits
 from whinstone.operators.vectors import l2_normalise, vector_search, vector_search_lsh
@@ -461,17 +462,22 @@ def evaluate_report(spark, sf_dir):
 _STRICT = "strict AS (SELECT query_id, doc_id, grade FROM (SELECT *, max(grade) OVER (PARTITION BY query_id) AS top FROM qrels) WHERE grade = top)"
 
 
-def _view_sql() -> str:
+def _strict_facts() -> str:
+    """CTEs strict, and s_facts: the per-query metrics of the strict view."""
     strict = S.facts("strict").replace("top10 AS (SELECT * FROM bmr WHERE rank <= 10),", "")
     for name in ("judged", "ideal", "facts"):
         strict = strict.replace(f"{name} AS", f"s_{name} AS").replace(f"JOIN {name} ", f"JOIN s_{name} ")
+    return f"{_STRICT}, {strict}"
+
+
+def _view_sql() -> str:
     answerable = "query_id IN (SELECT query_id FROM qrels)"
     views = [
         f"SELECT 'graded' AS view, * FROM ({_report(f'(SELECT * FROM facts WHERE {answerable})')})",
         f"SELECT 'strict' AS view, * FROM ({_report(f'(SELECT * FROM s_facts WHERE {answerable})')})",
         f"SELECT 'strict_no_leak' AS view, * FROM ({_report(f'(SELECT * FROM s_facts WHERE {answerable} AND query_id % 3 <> 0)')})",
     ]
-    return f"{_EVAL}, {_STRICT}, {strict} {' UNION ALL '.join(views)}"
+    return f"{_EVAL}, {_strict_facts()} {' UNION ALL '.join(views)}"
 
 
 @query(_view_sql())
@@ -667,6 +673,47 @@ def keyword_rarity(spark, sf_dir):
     return evalset.keyword_rarity(questions(spark, sf_dir), noted(spark, sf_dir))
 
 
+def _long(view: str, source: str, **values: str) -> list[str]:
+    return [f"SELECT {view} AS view, '{m.replace('__', ' ').replace('_at_', '@')}' AS metric, round(({v})::DOUBLE, 6) AS value FROM {source}" for m, v in values.items()]
+
+
+def _run_sql() -> str:
+    known = "query_id IN (SELECT query_id FROM qrels)"
+    rows = [
+        f"SELECT 'graded' AS view, * FROM ({_report(f'(SELECT * FROM facts WHERE {known})')})",
+        f"SELECT 'strict' AS view, * FROM ({_report(f'(SELECT * FROM s_facts WHERE {known})')})",
+        f"SELECT 'strict_no_leak' AS view, * FROM ({_report(f'(SELECT * FROM s_facts WHERE {known} AND query_id NOT IN (SELECT query_id FROM lab WHERE leak))')})",
+        *_long(
+            "'abstention'", "per", answerable="count(*) FILTER (k)", unanswerable="count(*) FILTER (NOT k)", abstain_rate="avg(s::INT) FILTER (NOT k)",
+            false_abstain_rate="avg(s::INT) FILTER (k)", recall_at_5__with__abstention="avg(CASE WHEN s THEN 0.0 ELSE r END) FILTER (k)",
+        ),
+        *_long(
+            "'lang:' || lang", "per GROUP BY lang", queries="count(*) FILTER (k)", notes="count(DISTINCT cluster)", recall_at_5="avg(r) FILTER (k)", ndcg_at_10="avg(g) FILTER (k)",
+            unanswerable="count(*) FILTER (NOT k)", abstained="count(*) FILTER (NOT k AND s)", false_abstain_rate="avg(s::INT) FILTER (k)",
+        ),
+        *_long("'leak:' || bucket", "per WHERE k GROUP BY bucket", queries="count(*)", recall_at_5="avg(r)"),
+    ]
+    return f"""{_LEAK}, {S.bm25()}, {S.facts()}, {_strict_facts()}, {_COVER},
+lab AS (SELECT item_id AS query_id, doc_id AS cluster, coalesce(lang, 'unknown') AS lang, coalesce(bucket, '<=2') AS bucket, coalesce(leak, false) AS leak
+  FROM benchmark LEFT JOIN (SELECT query_id, doc_id, lang FROM qrels JOIN documents USING (doc_id) WHERE grade = 2) o ON o.query_id = item_id LEFT JOIN lb ON question_id = item_id),
+per AS (SELECT lab.*, cluster IS NOT NULL AS k, coalesce(coverage, 0.0) < 0.9 AS s, s_facts."recall@5" AS r, facts."ndcg@10" AS g
+  FROM lab LEFT JOIN cov USING (query_id) LEFT JOIN s_facts USING (query_id) LEFT JOIN facts USING (query_id))
+{' UNION ALL '.join(rows)}"""
+
+
+@query(_run_sql())
+def evaluation_run(spark, sf_dir):
+    """All that an evaluation reports of keyword search but intervals and time: views, abstention and its cost, languages, leak buckets."""
+    judged, asked = qrels(spark, sf_dir), items(spark, sf_dir).select("query_id")
+    owner = judged.where("grade = 2").join(documents(spark, sf_dir), "doc_id").select("query_id", F.col("doc_id").alias("cluster"), "lang")
+    leak = leaks(spark, sf_dir).select(F.col("question_id").alias("query_id"), "bucket", "leak")
+    labels = asked.join(owner, "query_id", "left").join(leak, "query_id", "left").select(
+        "query_id", "cluster", F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("bucket", F.lit("<=2")).alias("bucket"), F.coalesce("leak", F.lit(False)).alias("leak")
+    )
+    found = evaluate_run(ranking(spark, sf_dir), coverage(spark, sf_dir), judged, labels, (1, 5, 10), 0.9, 0)
+    return found.withColumn("value", F.round("value", 6))
+
+
 _CANDIDATES_SQL = f"""
 cand AS (SELECT 'f' || (item_id % 3) AS file, item_id AS pos, CASE WHEN item_id % 10 = 9 THEN 'nowhere' ELSE coalesce(source, 'src1') END AS note,
   CASE WHEN item_id % 8 = 7 THEN 'short' WHEN item_id % 8 = 6 THEN 'Does this note say it?' WHEN item_id % 8 = 5 THEN 'What is said of it all?' ELSE substr(b.text, 1, 60) END AS question,
