@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from whinstone.functions import notes as N
 from whinstone.functions import text as X
-from whinstone.operators import chunking, evalset, fusion, metrics, sync
+from whinstone.operators import chunking, corpus, evalset, fusion, metrics, sync
 from whinstone.operators.ann import build_ivf, ivf_search, recall_sweep
 from whinstone.operators.embedding import HashingEmbedder, Md5Embedder
 from whinstone.operators.evaluation import evaluate_run
@@ -821,6 +821,30 @@ def sample_pool(spark, sf_dir):
     return evalset.pool(files, "en", 1024, used).select(F.col("name").alias("doc_id"))
 
 
+@query(
+    """WITH f AS (SELECT source || '/' || printf('%08d', doc_id) || '.md' AS src, source || '__' || printf('%08d', doc_id) AS name, sha1(text) AS sha1, strlen(text) AS bytes FROM documents)
+SELECT name || '__' || substr(sha1, 1, 8) || '.md' AS out, src, sha1, bytes FROM f WHERE bytes >= 200 QUALIFY row_number() OVER (PARTITION BY sha1 ORDER BY src) = 1"""
+)
+def corpus_manifest(spark, sf_dir):
+    path = F.concat("source", F.lit("/"), F.format_string("%08d", "doc_id"), F.lit(".md"))
+    return corpus.corpus_manifest(documents(spark, sf_dir).select(path.alias("path"), F.col("text").alias("raw"))).drop("raw")
+
+
+@query(
+    """WITH f AS (SELECT printf('%08d', doc_id) AS name, strlen(text) AS size, doc_id FROM documents),
+p AS (SELECT * FROM f WHERE size >= 1024), a AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS n FROM p WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+s AS (SELECT name FROM a WHERE i % greatest(1, n // 25) = 0 AND i // greatest(1, n // 25) < 25)
+SELECT 'en' AS lang, 25 AS count, (SELECT count(*) FROM f) AS corpus_files, (SELECT count(*) FROM p) AS pool_after_lang_and_size_filter,
+ (SELECT count(DISTINCT doc_id) FROM labels) AS excluded_names, (SELECT count(*) FROM a) AS available, (SELECT greatest(1, any_value(n) // 25) FROM a) AS stride, 1024 AS min_bytes,
+ (SELECT sha1(string_agg(name || size, '' ORDER BY name)) FROM f) AS corpus_fingerprint_names_and_sizes, (SELECT array_to_string(list_slice(list_sort(list(name)), 1, 3), ' ') FROM s) AS first_three"""
+)
+def sample_manifest(spark, sf_dir):
+    name = F.format_string("%08d", "doc_id").alias("name")
+    files = documents(spark, sf_dir).select(name, F.octet_length("text").alias("size"), "text")
+    _, manifest = corpus.sample_notes(files, 25, "en", 1024, read(spark, sf_dir, "labels").select(name))
+    return manifest.withColumn("first_three", F.array_join("first_three", " "))
+
+
 @query("SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
 def label_index_antijoin(spark, sf_dir):
     return evalset.unlabelled(read(spark, sf_dir, "labels"), documents(spark, sf_dir).where("doc_id % 3 <> 0"), "doc_id")
