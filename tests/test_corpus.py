@@ -8,7 +8,7 @@ FILES = [(f"a/b/n{i:02}.md", f"text number {i} " * 20) for i in range(12)] + [("
 
 
 def saved(spark, folder):
-    texts = {r["out"]: r["raw"] for r in spark.read.parquet(f"{folder}/texts").collect()}
+    texts = {r["out"]: r["raw"] for r in spark.read.schema("out string, raw string, part string").parquet(f"{folder}/texts").collect()}
     return texts, dict(r["value"].split("=") for r in spark.read.text(f"{folder}/fingerprint").collect())
 
 
