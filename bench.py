@@ -21,7 +21,7 @@ from whinstone.session import local_session
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 REPEATS = 3
 #: Of the catalogue, as they are: they need no index, or build what they measure.
-WHOLE = ["vector_topk_exact", "hash_embed_terms", "chunk_documents", "sync_diff_status", "best_note_coverage", "keyword_rarity"]
+WHOLE = ["vector_topk_exact", "hash_embed_terms", "chunk_documents", "sync_diff_status", "best_note_coverage"]
 
 
 def timed(f) -> float:
