@@ -60,7 +60,7 @@ def test_contamination_against_brute_force(spark):
             p = D.normalise(item)
             if not p:
                 continue
-            if len(p) < 24:
+            if len(p) < 24:  # one word: whole documents only
                 if t == p:
                     exp[d, i, 0] += 1
             elif t and (best := best_place(p, t)) <= int(len(p) * 0.1):
@@ -352,12 +352,52 @@ def test_short_items_have_their_budget_and_blocks_do_not_matter(spark):
     docs += [(7, "so the quick brown fox jumped over the lazy dog, he said")]
     df = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 as distance", "2 as item_id")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = [(1, 10, 0), (2, 10, 1), (6, 14, 0), (7, 11, 2)]
+    want = [(1, 10, 0), (2, 10, 0), (3, 10, 0), (6, 14, 0), (7, 11, 2)]
     for block in (1 << 20, 20):
         got = D.contamination(df, bench, block_chars=block)
         assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()) == want
         left = D.decontaminate(df, bench, block_chars=block)
-        assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5]
+        assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [4, 5]
+
+
+def short_place(item, text, k):
+    """Least edit distance of item to a part of text that begins and ends where no two letters or digits meet (plain scripts)."""
+    import re
+
+    edge = [0, *(m.start() for m in re.finditer(r"(?<=.)(?!(?<=[a-z0-9])(?=[a-z0-9]))", text))]
+    parts = {text[a:b] for a in edge for b in edge if a < b and abs(b - a - len(item)) <= k}
+    return min((D.edit_distance(item, p, len(item)) for p in parts), default=len(item))
+
+
+def test_short_items_inside_documents_against_brute_force(spark):
+    rng = random.Random(12)
+    words = ["a", "of", "is", "the", "to", "sum", "what", "nine", "x2"]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(3, 6)))) for i in range(40)]
+    items = [(i, t) for i, t in items if len(t) < 24] + [(90, "the"), (91, "is the"), (92, "今天天气")]
+    docs = []
+    for d in range(80):
+        text = rng.choices(words, k=rng.randint(0, 25))
+        at = rng.randint(0, len(text))
+        item = list(rng.choice(items[:-3])[1])
+        for _ in range(rng.randint(0, 3)):
+            j = rng.randrange(len(item))
+            item[j : j + 1] = rng.choice([[], ["q"], [item[j], "-"]])
+        docs.append((d, " ".join([*text[:at], "".join(item), *text[at:]])))
+    docs += [(200, "The"), (201, "is  THE"), (202, "我说今天天气好"), (203, "othe toy iss"), (204, None), docs[0]]
+    exp = Counter()
+    for d, text in docs:
+        t = D.normalise(text)
+        for i, item in items:
+            k = int(len(item) * 0.1)
+            if i < 90 and t and (best := short_place(item, t, k)) <= k:
+                exp[d, i, best] += 1
+    exp.update([(200, 90, 0), (201, 91, 0), (202, 92, 0)])
+    df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    got = D.contamination(df, bench).collect()
+    assert Counter((r["doc_id"], r["item_id"], r["distance"]) for r in got) == exp
+    assert sum(n for (_, i, best), n in exp.items() if best) > 10
+    every = D.contamination(df, bench, min_words=1).where("item_id = 90 and distance = 0")
+    assert {r["doc_id"] for r in every.collect()} == {d for d, t in docs if "the" in D.normalise(t).replace("-", " ").split()}
 
 
 def grams(text):
