@@ -73,6 +73,22 @@ def test_cut_writes_to_the_shared_folder(spark, tmp_path, monkeypatch):
     assert not list(tmp_path.iterdir())
 
 
+def test_a_hot_bucket_without_links_meets_in_bounded_cells(spark):
+    """100,000 rows of one key, none linked; a key with a large component and few others; a key that is settled."""
+    n, limit = 100_000, C.BUCKET_ROWS
+    rows = spark.range(n).selectExpr("1L as key", "id").union(spark.range(n, n + 30_000).selectExpr("2L as key", "id"))
+    rows = rows.union(spark.range(n, n + 20_000).selectExpr("3L as key", "id"))
+    hot = C.hot_keys(rows.groupBy("key").count().withColumnRenamed("count", "n"), limit)
+    settled = spark.range(n, n + 29_990).selectExpr("id as node", f"{n}L as component")
+    minority, everything = C.unsettled(rows, hot, settled, limit)
+    sides = [x.groupBy("key", "salt", "block").count().collect() for x in (minority, everything)]
+    left, right = [{(r["key"], r["salt"], r["block"]): r["count"] for r in side} for side in sides]
+    assert max(left.values()) < 1.1 * limit and max(right.values()) < 1.1 * limit
+    met = {k: sum(left[c] * right.get(c, 0) for c in left if c[0] == k) for k in (1, 2, 3)}
+    assert met == {1: (n - 1) * n, 2: 10 * 30_000, 3: 0}  # each row of the minority meets each row of its key once
+    assert sum(v for c, v in right.items() if c[0] == 2) == 30_000
+
+
 def test_pick_ignores_clashing_columns(spark):
     df = spark.createDataFrame([(1, "t", "x", "y")], "doc_id int, text string, fp string, component string")
     assert C.pick(df, doc_id="long", text="string").dtypes == [("doc_id", "bigint"), ("text", "string")]

@@ -220,24 +220,30 @@ def hot_keys(counts: DataFrame, bucket_rows: int) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
-def unsettled(rows: DataFrame, hot: DataFrame, settled: DataFrame) -> tuple[DataFrame, DataFrame]:
+def unsettled(rows: DataFrame, hot: DataFrame, settled: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
     """What salting has left open: rows of hot buckets that hold more than one component of `settled` (node, component).
 
-    Gives (minority, all): every bucket's rows outside its most frequent component, once for each salt, and all of its rows. A link
-    between two components has an end in the minority, so comparing these two sides by (key, salt) loses none, and a bucket whose
-    rows are already one component costs nothing more.
+    Gives (minority, all): every bucket's rows outside its most frequent component, and all of its rows. A link between two components
+    has an end in the minority, so comparing these two sides by (key, salt, block) loses none, and a bucket whose rows are already one
+    component costs nothing more. The two are laid out as a grid: a row of all has one salt, one of the minority one of as many blocks
+    as hold bucket_rows of it, and each goes to every cell of its line, so no cell has more than about bucket_rows rows of either side,
+    also where nothing in a bucket is linked. A minority within one block isn't split, and all rows then move once.
     """
     mine = salted(rows.join(hot.select("key"), "key", "left_semi"), hot)
     mine = mine.join(settled, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     mine = cut(mine.drop("node"), "hot-rows")
     per = mine.groupBy("key", "component").agg(F.count("*").alias("n"))
-    most = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("c"))
-    most = cut(most.where("c > 1").select("key", "most"), "hot-most")
+    most = per.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("c"), (F.sum("n") - F.max("n")).alias("rest")
+    )
+    most = cut(most.where("c > 1").select("key", "most", F.ceil(F.col("rest") / bucket_rows).alias("blocks")), "hot-most")
     open_rows = mine.join(most, "key")
     minority = open_rows.where("component <> most").drop("salt").join(hot, "key")
-    minority = minority.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "most")
-    everything = open_rows.select(*[F.col(c).alias(f"{c}") for c in open_rows.columns if c != "most"])
-    return minority, cut(everything, "hot-open")
+    minority = minority.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
+    minority = minority.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    everything = cut(open_rows.drop("most"), "hot-open")
+    everything = everything.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return minority.drop("salts", "most", "blocks"), everything.drop("blocks")
 
 
 # --- words ------------------------------------------------------------------------------------------------------------

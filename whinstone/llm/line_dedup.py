@@ -492,8 +492,8 @@ def _edges(hits: DataFrame, found: DataFrame, bucket_rows: int) -> DataFrame:
     edges = cut(rows.mapInArrow(_verify, "a long, b long").distinct(), "line-links")
     if hot is None:
         return edges
-    minority, everything = unsettled(work, hot, components(edges))
-    pairs = minority.groupBy("key", "salt").cogroup(everything.groupBy("key", "salt"))
+    minority, everything = unsettled(work, hot, components(edges), bucket_rows)
+    pairs = minority.groupBy("key", "salt", "block").cogroup(everything.groupBy("key", "salt", "block"))
     return cut(edges.union(pairs.applyInPandas(_verify_open, "a long, b long")).distinct(), "line-links")
 
 

@@ -185,9 +185,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, bucket_ro
     else:
         edges = cut(edges.distinct(), "links")
         comp = components(edges)
-        minority, everything = unsettled(rows, hot, comp)
+        minority, everything = unsettled(rows, hot, comp, bucket_rows)
         more = (
-            minority.groupBy("key", "salt").cogroup(everything.groupBy("key", "salt")).applyInPandas(_link_open, "a long, b long")
+            minority.groupBy("key", "salt", "block").cogroup(everything.groupBy("key", "salt", "block")).applyInPandas(_link_open, "a long, b long")
         )
         edges = cut(edges.union(more).distinct(), "links")
         comp = components(edges)
