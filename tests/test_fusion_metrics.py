@@ -36,6 +36,28 @@ def test_interleave(spark):
     assert [r["doc_id"] for r in got] == ["x", "y", "w"]
 
 
+def test_lists_from_windows_are_dealt_anew(spark):
+    """Two lists that windows have dealt by query, one of them by way of more partitions than the other."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
+    rows = spark.range(3000).select((F.col("id") % 50).alias("query_id"), "id")
+    many, few = (rows.where(w).withColumn("rank", place).where("rank <= 5") for w in ("id >= 0", "id % 3 <> 0"))
+    both = [x.select("query_id", F.lit(n).alias("retriever"), F.col("id").alias("doc_id"), "rank") for n, x in (("a", many), ("b", few))]
+    union = both[0].unionByName(both[1])
+    got = {}
+    for r in U.interleave(union).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    plan = U.interleave(union)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "REPARTITION_BY_COL" in plan
+    assert "REPARTITION_BY_COL" in U.rrf_scores(union)._jdf.queryExecution().executedPlan().toString()
+    assert len(got) == 50 and len({(r["query_id"], r["doc_id"]) for r in U.rrf_scores(union).collect()}) == U.rrf_scores(union).count()
+    kept = [[i for i in range(q, 3000, 50) if w(i)][:5] for q in range(50) for w in (lambda i: True, lambda i: i % 3)]
+    for q in range(50):
+        assert got[q] == list(dict.fromkeys(x for pair in zip(kept[2 * q], kept[2 * q + 1], strict=True) for x in pair))
+
+
 def facts(spark, ranked, judged, queries, ks=(1, 3)):
     r = spark.createDataFrame([(q, d, i) for q, docs in ranked.items() for i, d in enumerate(docs, 1)] or [("-", "-", 1)], "query_id string, doc_id string, rank int")
     j = spark.createDataFrame([(q, d, float(g)) for q, ds in judged.items() for d, g in ds.items()], "query_id string, doc_id string, grade double")

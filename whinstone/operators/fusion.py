@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from whinstone.operators.index import DIGITS
 
 
+def dealt(rankings: DataFrame) -> DataFrame:
+    """rankings dealt anew by query. Spark 4.1 takes a union of lists that are each dealt by query for dealt so itself, even where their
+    partitions then lie side by side: steps by query would miss the other list's rows, or a join fail. A hash of the query is no
+    column of that deal, so this shuffle isn't left out as needless."""
+    return rankings.repartition(F.xxhash64("query_id"))
+
+
 def first_occurrences(rankings: DataFrame) -> DataFrame:
     """A document that a list repeats counts where it comes first; the places behind it stay as they are."""
-    return rankings.groupBy("query_id", "retriever", "doc_id").agg(F.min("rank").alias("rank"))
+    return dealt(rankings).groupBy("query_id", "retriever", "doc_id").agg(F.min("rank").alias("rank"))
 
 
 def rrf_scores(rankings: DataFrame, k: float = 60, weights: dict[str, float] | None = None) -> DataFrame:
@@ -43,9 +50,8 @@ def reciprocal_rank_fusion(
 
 def interleave(rankings: DataFrame) -> DataFrame:
     """Round robin over the lists of a query in the order of their names, as far as the shortest one goes: query_id, doc_id, rank."""
-    sizes = rankings.groupBy("query_id", "retriever").agg(F.max("rank").alias("n"))
-    shortest = sizes.groupBy("query_id").agg(F.min("n").alias("shortest"))
-    rows = rankings.join(shortest, "query_id").where("rank <= shortest")
+    rows = dealt(rankings).withColumn("_n", F.max("rank").over(Window.partitionBy("query_id", "retriever")))
+    rows = rows.withColumn("_shortest", F.min("_n").over(Window.partitionBy("query_id"))).where("rank <= _shortest")
     firsts = rows.groupBy("query_id", "doc_id").agg(F.min(F.struct("rank", "retriever")).alias("at"))
     order = Window.partitionBy("query_id").orderBy("at.rank", "at.retriever")
     return firsts.select("query_id", "doc_id", F.row_number().over(order).alias("rank"))
