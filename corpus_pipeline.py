@@ -11,6 +11,7 @@ from whinstone.llm.line_dedup import drop_duplicate_lines
 from whinstone.llm.near_copies import drop_near_copies
 from whinstone.llm.packing import pack_documents
 from whinstone.llm.quality import keep_sample
+from whinstone.llm.simhash import drop_near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +37,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: a similarity of 0.8 or more of their five-word shingles. op9's three bits of
-    64 would leave most of them, so candidates come from MinHash bands and are verified."""
-    return drop_near_copies(docs)
+    """One document of each group of near duplicates, by op9's SimHash first: fingerprints of at most three differing bits. Of what that
+    leaves, documents whose five-word shingles have a similarity of 0.8 or more follow: MinHash bands find them, and they are verified."""
+    return drop_near_copies(drop_near_duplicates(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,11 @@ def test_stages_take_any_table(spark, name):
         ids = [i for i, _ in seen]
         assert ids.count(1) == 3 and [i in ids for i in (2, 3, 4)] == [True, *[name != "simhash_dedup"] * 2]
     assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_fingerprints_alone_link_near_duplicates(spark):
+    """Copies of one passage that each end in words of their own: few bits of the SimHash differ, few distinct shingles agree."""
+    passage = "one passage of nine words that comes again often " * 60
+    texts = [passage + " ".join(f"{own}{i}" for i in range(12)) for own in "ab"] + [" ".join(f"w{i}" for i in range(90))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in pipeline.simhash_dedup(spark, docs, SF).collect()) == [0, 2]

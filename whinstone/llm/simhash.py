@@ -205,5 +205,6 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each near-duplicate group: the one whose doc_id names the group. Repeated rows of that doc_id stay
     (they are one document), and so do rows without a doc_id."""
     found = near_duplicates(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    found = cut(found, "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of docs can clash
     return rows.join(found, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
