@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from whinstone.functions.text import tokenize
-from whinstone.operators.vectors import l2_normalise
 
 DIM = 384
 
@@ -26,34 +26,62 @@ class Embedder(Protocol):
     def embed(self, texts: DataFrame) -> DataFrame: ...
 
 
+#: Tokens whose places and sums are made at a time.
+SLICE_TOKENS = 1 << 18
+
+
+def _blake2b(term: bytes) -> tuple[int, float]:
+    v = int.from_bytes(hashlib.blake2b(term, digest_size=8).digest(), "big")
+    return v, 1.0 if v >> 63 else -1.0
+
+
+def _md5(term: bytes) -> tuple[int, float]:
+    v = int.from_bytes(hashlib.md5(term, usedforsecurity=False).digest()[:4], "big")
+    return v, 1.0 if v >> 31 else -1.0
+
+
 class _Features(dict):
-    """term: (place, sign) by BLAKE2b, remembered up to a bound."""
+    """term: (place, sign) by a hash, remembered up to a bound."""
 
-    def __init__(self, dim: int):
-        self.dim = dim
+    def __init__(self, dim: int, hashed: Callable[[bytes], tuple[int, float]] = _blake2b):
+        self.dim, self.hashed = dim, hashed
 
-    def __missing__(self, term: str) -> tuple[int, float]:
-        if len(self) > 500_000:
+    def __missing__(self, term: bytes) -> tuple[int, float]:
+        if len(self) > 200_000:
             self.clear()
-        v = int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "big")
-        self[term] = found = (v % self.dim, 1.0 if v >> 63 else -1.0)
+        v, sign = self.hashed(term)
+        self[term] = found = (v % self.dim, sign)
         return found
 
 
-def _hash_vectors(dim: int):
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have about SLICE_TOKENS tokens, or one row of more."""
+    at, ends = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, "right")))
+        yield at, to
+        at = to
+
+
+def _hash_vectors(dim: int, hashed: Callable[[bytes], tuple[int, float]] = _blake2b, kind=np.float32):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _Features(dim)
+        features = _Features(dim, hashed)
         for batch in batches:
-            out = np.zeros((batch.num_rows, dim))
-            for i, tokens in enumerate(batch.column("tokens").to_pylist()):
-                if tokens:
-                    at, sign = zip(*map(features.__getitem__, tokens), strict=True)
-                    out[i] = np.bincount(at, weights=sign, minlength=dim)
-            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-            np.divide(out, norm, out=out, where=norm > 0)
-            flat = pa.array(out.ravel().astype(np.float32))
-            lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, dim, dtype=np.int32), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "embedding"])
+            tokens = batch.column("tokens")
+            sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in _slices(sizes):
+                # each distinct term of a slice is hashed once, the sums are one count
+                terms = tokens.slice(lo, hi - lo).flatten().dictionary_encode()
+                found = [features[t] for t in terms.dictionary.cast(pa.binary()).to_pylist()]
+                place, sign = (np.array(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0))
+                at, row = terms.indices.to_numpy(), np.repeat(np.arange(hi - lo), sizes[lo:hi])
+                out = np.bincount(row * dim + place[at], weights=sign[at], minlength=(hi - lo) * dim)
+                out = out.astype(np.float64, copy=False).reshape(hi - lo, dim)  # of no tokens the counts are integers
+                norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                np.divide(out, norm, out=out, where=norm > 0)
+                lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, dim, dtype=np.int32), pa.array(out.ravel().astype(kind)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), lists], names=["id", "embedding"])
 
     return run
 
@@ -77,27 +105,24 @@ class HashingEmbedder:
 
 
 class Md5Embedder:
-    """The same sum with places and signs from MD5, as expressions only; any SQL engine can repeat it."""
+    """The same sum with places and signs from MD5, so that any SQL engine can repeat it: features() does, as expressions only; embed()
+    makes whole vectors in one pass without a shuffle."""
 
     def __init__(self, dim: int = DIM):
         self.dim = dim
 
     def features(self, texts: DataFrame) -> DataFrame:
         """id, place, value: the sparse sums."""
-        terms = texts.select("id", F.explode(tokenize("text")).alias("term"))
+        terms = texts.select("id", F.explode_outer(tokenize("text")).alias("term")).where("term is not null")
         v = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
         rows = terms.select("id", (v % self.dim).cast("int").alias("place"), F.when(v >= 1 << 31, 1).otherwise(-1).alias("sign"))
         return rows.groupBy("id", "place").agg(F.sum("sign").alias("value"))
 
     def embed(self, texts: DataFrame) -> DataFrame:
-        sums = self.features(texts).groupBy("id").agg(
-            F.map_from_entries(F.collect_list(F.struct("place", F.col("value").cast("double")))).alias("m")
-        )
-        dense = F.transform(
-            F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))
+        kind = dict(texts.dtypes)["id"]
+        return texts.select("id", tokenize("text").alias("tokens")).mapInArrow(
+            _hash_vectors(self.dim, _md5, np.float64), f"id {kind}, embedding array<double>"
         )
-        zero = F.array_repeat(F.lit(0.0), self.dim)
-        return texts.select("id").join(sums, "id", "left").select("id", F.coalesce(l2_normalise(dense), zero).alias("embedding"))
 
 
 class RemoteEmbedder:
