@@ -95,3 +95,23 @@ def test_empty_tables_and_wrong_arguments(spark, built):
             A.ivf_search(index, asked(df), **bad)
     with pytest.raises(ValueError):
         A.build_ivf(df, 0)
+
+
+def test_probing_holds_few_vectors():
+    """2,000 queries that probe all of 500 lists: their vectors repeated for each list would be 256 MB."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from whinstone.operators.ann import _probe
+
+    n, dim = 2_000, 32
+    x = np.random.default_rng(1).normal(size=(n, dim))
+    lists = pa.ListArray.from_arrays(np.arange(0, n * dim + 1, dim, dtype=np.int32), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), lists], names=["query_id", "embedding"])
+    run, before, most = _probe(x[:500], np.ones(500, np.int64), 500, 1), pa.total_allocated_bytes(), 0
+    rows = 0
+    for b in run(iter([batch])):
+        rows, most = rows + b.num_rows, max(most, pa.total_allocated_bytes() - before)
+    assert rows == n * 500 and most < 64e6

@@ -25,6 +25,8 @@ CENTROID_NUMBERS = 1 << 22
 #: Rows of a list, and queries, that meet in one cell; longer lists and larger batches of queries are split.
 LIST_BLOCK, QUERY_BLOCK = 16_384, 4_096
 ITERATIONS = 12
+#: Numbers of the queries' vectors, repeated for each list they probe, and of distances to centroids that a task holds at a time.
+STEP_NUMBERS = 1 << 20
 
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -127,8 +129,10 @@ def _probe(centroids: np.ndarray, sizes: np.ndarray, probes: int, least: int):
     used = np.flatnonzero(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and len(used):
+        wide = len(used) * centroids.shape[1]
+        step = max(1, STEP_NUMBERS // max(1, wide))
+        for batch in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
+            if len(used):
                 order = used[np.argsort(-(_matrix(batch.column("embedding")) @ centroids[used].T), axis=1, kind="stable")]
                 enough = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1
                 take = np.minimum(np.maximum(enough, probes), len(used))
