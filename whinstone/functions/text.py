@@ -32,7 +32,9 @@ def tokenize(text: Column | str) -> Column:
         twos = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))
         return F.when(n > 1, F.concat(ones, twos)).otherwise(ones)
 
-    return F.concat(_matches(low, WORD), F.flatten(F.transform(_matches(low, f"[{CJK}]+"), grams)))
+    words = _matches(low, WORD)
+    # only texts with CJK characters pay for the lambda over their runs
+    return F.when(low.rlike(f"[{CJK}]"), F.concat(words, F.flatten(F.transform(_matches(low, f"[{CJK}]+"), grams)))).otherwise(words)
 
 
 def is_ascii(c: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from whinstone.functions.text import CJK, content_tokens, language, leak_bucket, squeeze, tokenize
-from whinstone.operators.index import DIGITS
+from whinstone.operators.index import DIGITS, Index, best_by_blocks
 from whinstone.operators.places import placed
+from whinstone.operators.shared import cut
 
 # Fixed values of the dataset's rules.
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -19,7 +20,8 @@ UNSAFE = r"[^0-9A-Za-z\x{4e00}-\x{9fff}._-]+"
 
 def note_tokens(notes: DataFrame) -> DataFrame:
     """note, token: each note's distinct tokens."""
-    return notes.select("note", F.explode(F.array_distinct(tokenize("text"))).alias("token"))
+    # an outer explode: of a plain one Spark infers a filter on the tokens' number, and tokenizes once more for it
+    return notes.select("note", F.explode_outer(F.array_distinct(tokenize("text"))).alias("token")).where("token is not null")
 
 
 def token_df(notes: DataFrame) -> DataFrame:
@@ -27,6 +29,11 @@ def token_df(notes: DataFrame) -> DataFrame:
     return note_tokens(notes).groupBy("token").agg(F.countDistinct("note").alias("df"))
 
 
+def _held(tokens: DataFrame, notes: DataFrame) -> DataFrame:
+    """note, token without repetition, of the tokens given (token); written once."""
+    return cut(note_tokens(notes).join(tokens.select("token").distinct(), "token", "left_semi").distinct(), "held")
+
+
 def question_tokens(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", content_tokens(tokenize("question")).alias("tokens"))
 
@@ -35,18 +42,20 @@ def best_note_coverage(questions: DataFrame, notes: DataFrame) -> DataFrame:
     """question_id, coverage, note: the note that holds the largest share of a question's content tokens, the smallest name of equal
     ones; a question without tokens is covered (1, empty name).
 
-    An equi-join on token and two aggregations instead of comparing all questions with all notes.
+    Notes are dealt to blocks, which count shared tokens in arrays, so a common token makes no row for each question and note. Rows
+    without a note or a question's id are left out.
     """
-    asked = question_tokens(questions)
-    rows = asked.select("question_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    hits = rows.join(note_tokens(notes), "token").groupBy("question_id", "note", "n").agg(F.count("*").alias("hit"))
-    best = hits.groupBy("question_id").agg(F.min(F.struct((-F.col("hit")).alias("m"), "note", "n")).alias("b"))
-    smallest = notes.agg(F.min("note").alias("least"))
-    joined = asked.join(best, "question_id", "left").crossJoin(F.broadcast(smallest))
+    asked = cut(question_tokens(questions), "asked")
+    rows = asked.where("question_id is not null").select(F.col("question_id").alias("query_id"), F.explode("tokens").alias("term"), F.lit(1.0).alias("w"))
+    held = _held(rows.select(F.col("term").alias("token")), notes).select(F.col("token").alias("term"), F.col("note").alias("doc_id"), F.lit(1.0).alias("part"))
+    index = Index(notes.select(F.col("note").alias("doc_id")), held)
+    hits = best_by_blocks(index, rows.select("query_id").distinct(), held, rows, 1)
+    best = hits.groupBy(F.col("query_id").alias("question_id")).agg(F.min(F.struct((-F.col("score")).alias("m"), F.col("doc_id").alias("note"))).alias("b"))
+    joined = asked.join(best, "question_id", "left")
     empty = F.size("tokens") == 0
     return joined.select(
         "question_id",
-        F.round(F.when(empty, 1.0).otherwise(F.coalesce(-F.col("b.m") / F.col("b.n"), F.lit(0.0))), DIGITS).alias("coverage"),
+        F.round(F.when(empty, 1.0).otherwise(F.coalesce(-F.col("b.m") / F.size("tokens"), F.lit(0.0))), DIGITS).alias("coverage"),
         F.when(empty, "").otherwise(F.coalesce(F.col("b.note").cast("string"), F.lit(""))).alias("note"),
     )
 
@@ -61,7 +70,9 @@ def leak_min_df(questions: DataFrame, notes: DataFrame) -> DataFrame:
     """question_id, leak_token, leak_min_df, leak, bucket: the rarest content token that a question shares with its note (question_id,
     question, note); by df, then token. Without one: an empty token and the number of notes."""
     tokens = questions.select("question_id", "note", F.explode(content_tokens(tokenize("question"))).alias("token"))
-    shared = tokens.join(note_tokens(notes), ["note", "token"]).join(token_df(notes), "token")
+    held = _held(tokens, notes)
+    df = held.groupBy("token").agg(F.count("note").alias("df"))
+    shared = tokens.join(held, ["note", "token"]).join(df, "token")
     rarest = shared.groupBy("question_id").agg(F.min(F.struct("df", "token")).alias("r"))
     total = notes.agg(F.countDistinct("note").alias("total"))
     rows = questions.select("question_id").join(rarest, "question_id", "left").crossJoin(F.broadcast(total))
@@ -87,7 +98,8 @@ def substring_df(tokens: DataFrame, notes: DataFrame) -> DataFrame:
     one key, its first GRAM characters (or all of a shorter one), and each run all its pieces of up to GRAM characters; what agrees in
     the key is compared in full. Nothing is compared with everything, and no side has to be small.
     """
-    runs = notes.select("note", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({RUNS})"), F.lit(1)))).alias("run"))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({RUNS})"), F.lit(1)))
+    runs = notes.select("note", F.explode_outer(found).alias("run")).where("run is not null")
 
     def pieces(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.length("run") - n + 1)
@@ -255,9 +267,10 @@ def containment(questions: DataFrame, docs: DataFrame) -> DataFrame:
     token, and only those pairs are compared.
     """
     tokens = tokenize("text")
+    questions = cut(questions.select("query_id", "text"), "questions")
     inner = questions.select("query_id", F.explode(F.array_distinct(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))).alias("token"))
-    postings = docs.select("doc_id", F.explode(F.array_distinct(tokens)).alias("token"))
-    wanted = postings.join(inner.select("token").distinct(), "token", "left_semi")
+    postings = docs.select("doc_id", F.explode_outer(F.array_distinct(tokens)).alias("token")).where("token is not null")
+    wanted = cut(postings.join(inner.select("token").distinct(), "token", "left_semi"), "inner-tokens")
     df = wanted.groupBy("token").agg(F.count("*").alias("df"))
     rarest = inner.join(df, "token").groupBy("query_id").agg(F.min(F.struct("df", "token")).alias("r"))
     pairs = rarest.select("query_id", "r.token").join(wanted, "token").select("query_id", "doc_id")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from whinstone.functions.text import tokenize
+from whinstone.operators.shared import cut
 
 #: Decimals to which scores are rounded before they are ordered: sums of doubles differ by an ulp with the order of addition.
 DIGITS = 9
@@ -56,6 +57,12 @@ class Index:
         kept = self.remove(other.docs)
         return replace(kept, docs=kept.docs.unionByName(other.docs), postings=kept.postings.unionByName(other.postings))
 
+    def narrowed(self, terms: DataFrame) -> Index:
+        """With the postings of some terms (term) only, written once for searches that read them several times. Document numbers and
+        lengths stay those of all documents."""
+        wanted = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
+        return replace(self, docs=cut(self.docs, "docs"), postings=cut(wanted, "postings"))
+
     def save(self, path: str) -> None:
         """Parquet, postings sorted by term within files, so that row groups of other terms are skipped."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
@@ -74,7 +81,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text="text", k1: float
     """The index of docs; of rows with the same id the texts belong together, so pass ids that are unique."""
     base = docs.select(F.col(doc_id).alias("doc_id"), tokenize(text).alias("tokens"))
     sized = base.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    terms = base.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    # an outer explode: of a plain one Spark infers a filter on the tokens' number, and tokenizes once more for it
+    terms = base.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term")).where("term is not null")
     # all of a document is in one partition, so the map side counts it whole and the shuffle carries postings, not tokens
     postings = terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     return Index(sized, postings, k1, b)
@@ -158,34 +166,50 @@ def _block_scores(k: int):
     return run
 
 
-def bm25_best(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score: of bm25_scores each query's k best, and of each block of documents no more than that.
+def best_by_blocks(index: Index, queries: DataFrame, wanted: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score: each query's k best documents of each block by the sum of w * part over shared terms, where that is
+    positive. wanted: term, doc_id, part; weighted: query_id, term, w.
 
-    Postings of the queries' terms are dealt by document to blocks, the queries' weighted terms to every block (a batch of more than
-    BLOCK_QUERIES in parts, each of which gets the postings); a block's scores add up in arrays, so what the join would make of common
-    terms, a row for each posting and query, is never a row. Queries and documents without an id are left out.
+    Postings are dealt by document to blocks, the queries' weighted terms to every block (a batch of more than BLOCK_QUERIES in parts,
+    each of which gets the postings); a block's scores add up in arrays, so what the join would make of common terms, a row for each
+    posting and query, is never a row. Queries and documents without an id are left out.
     """
-    terms = query_terms(queries.where("query_id is not null"))
-    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(index.stats.select("n", "avgdl"))
-    weighted = terms.join(df, "term").crossJoin(stats).select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
-    norm = F.lit(index.k1) * (F.lit(1 - index.b) + F.lit(index.b) * F.col("dl") / F.col("avgdl"))
-    part = (F.col("tf") * (index.k1 + 1)) / (F.col("tf") + norm)
     blocks, parts = (max(1, -(-n // most)) for n, most in ((index.docs.count(), BLOCK_DOCS), (queries.count(), BLOCK_QUERIES)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     kinds = dict(queries.dtypes)["query_id"], dict(index.postings.dtypes)["doc_id"]
     null = lambda kind: F.lit(None).cast(kind)
-    right = wanted.where("doc_id is not null").crossJoin(stats).select(
-        null(kinds[0]).alias("query_id"), "term", null("double").alias("w"), "doc_id", part.alias("part"), of("doc_id", blocks).alias("block"), each(parts).alias("group")
+    right = wanted.where("doc_id is not null").select(
+        null(kinds[0]).alias("query_id"), "term", null("double").alias("w"), "doc_id", "part", of("doc_id", blocks).alias("block"), each(parts).alias("group")
     )
-    left = weighted.select(
+    left = weighted.where("query_id is not null").select(
         "query_id", "term", "w", null(kinds[1]).alias("doc_id"), null("double").alias("part"), each(blocks).alias("block"), of("query_id", parts).alias("group")
     )
     return left.unionByName(right).groupBy("block", "group").applyInArrow(_block_scores(k), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
 
 
+def bm25_best(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score: of bm25_scores each query's k best, and of each block of documents no more than that."""
+    terms = query_terms(queries.where("query_id is not null"))
+    index = index.narrowed(terms)
+    wanted = index.postings
+    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    stats = F.broadcast(index.stats.select("n", "avgdl"))
+    weighted = terms.join(df, "term").crossJoin(stats).select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
+    norm = F.lit(index.k1) * (F.lit(1 - index.b) + F.lit(index.b) * F.col("dl") / F.col("avgdl"))
+    part = (F.col("tf") * (index.k1 + 1)) / (F.col("tf") + norm)
+    return best_by_blocks(index, queries, wanted.crossJoin(stats).select("term", "doc_id", part.alias("part")), weighted, k)
+
+
+def overlap_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank: the k documents that share the most distinct terms with a query; score is their number."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    terms = query_terms(queries.where("query_id is not null")).select("query_id", "term", F.lit(1.0).alias("w"))
+    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi").select("term", "doc_id", F.lit(1.0).alias("part"))
+    return top_k(best_by_blocks(index, queries, wanted, terms, k), k)
+
+
 def bm25_search(index: Index, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """query_id, doc_id, score, rank. Queries without known terms have no rows."""
     if k is None or k <= 0:

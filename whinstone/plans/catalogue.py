@@ -13,8 +13,9 @@ from whinstone.operators import chunking, corpus, evalset, fusion, metrics, sync
 from whinstone.operators.ann import build_ivf, ivf_search, recall_sweep
 from whinstone.operators.embedding import HashingEmbedder, Md5Embedder
 from whinstone.operators.evaluation import evaluate_run
-from whinstone.operators.index import bm25_score, bm25_search, build_index, top_terms
+from whinstone.operators.index import bm25_score, bm25_search, build_index, overlap_search, query_terms, top_terms
 from whinstone.operators.retrieval import Retriever, format_hits
+from whinstone.operators.shared import cut
 from whinstone.operators.vectors import l2_normalise, vector_search, vector_search_lsh
 from whinstone.plans import sql as S
 
@@ -47,7 +48,7 @@ def items(spark, sf_dir):
 
 
 def qrels(spark, sf_dir):
-    found = evalset.containment(items(spark, sf_dir), documents(spark, sf_dir))
+    found = cut(evalset.containment(items(spark, sf_dir), documents(spark, sf_dir)), "containment")
     first = F.min("doc_id").over(Window.partitionBy("query_id"))
     return found.withColumn("grade", F.when(F.col("doc_id") == first, 2.0).otherwise(1.0))
 
@@ -262,11 +263,8 @@ lists AS (SELECT query_id, 'bm25' AS retriever, doc_id, rank FROM bmr WHERE rank
 
 
 def two_lists(spark, sf_dir, index=None):
-    index = index or build_index(documents(spark, sf_dir))
-    asked = items(spark, sf_dir).select("query_id", F.explode(F.array_distinct(X.tokenize("text"))).alias("term"))
-    shared = index.postings.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id"))
-    overlap = shared.withColumn("rank", place).where("rank <= 20").select("query_id", F.lit("overlap").alias("retriever"), "doc_id", "rank")
+    index = (index or build_index(documents(spark, sf_dir))).narrowed(query_terms(items(spark, sf_dir)))
+    overlap = overlap_search(index, items(spark, sf_dir), 20).select("query_id", F.lit("overlap").alias("retriever"), "doc_id", "rank")
     keyword = bm25_search(index, items(spark, sf_dir), 20).select("query_id", F.lit("bm25").alias("retriever"), "doc_id", "rank")
     return keyword.unionByName(overlap)
 
