@@ -28,6 +28,18 @@ def test_texts_are_tokenized_once(spark):
     assert "Filter ((size(" not in plan(evalset.note_tokens(docs(spark).withColumnRenamed("doc_id", "note")))
 
 
+def test_terms_are_cut_before_documents_are_removed(spark):
+    """Behind the removal, Spark doesn't move the cut below the counting of postings. Searches and narrowed indexes ask of_terms()."""
+    whole, terms = docs(spark), spark.createDataFrame([("fox",), ("dog",)], "term string")
+    gone, empty = whole.where("doc_id % 2 = 0"), whole.where("false")
+    for index in (build_index(whole).remove(gone), build_index(whole).add(build_index(empty)).remove(gone)):
+        found = index.of_terms(terms)
+        steps = found._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= steps.index("Join LeftAnti") < steps.index("Join LeftSemi")
+        for rows in (found, index.postings.where("term in ('fox', 'dog')"), index.narrowed(terms).postings):
+            assert sorted(map(tuple, rows.select("term", "doc_id", "tf", "dl").collect())) == [("dog", 1, 2, 3), ("dog", 5, 1, 8), ("fox", 5, 1, 8)]
+
+
 def test_overlap_makes_no_row_a_pair(spark):
     asked = spark.createDataFrame([(1, "the red dog dog"), (2, "fox"), (3, "nothing here"), (None, "dog"), (4, "化 hen")], "query_id int, text string")
     found = overlap_search(build_index(docs(spark)), asked, 2)

@@ -19,12 +19,14 @@ DIGITS = 9
 
 @dataclass(frozen=True)
 class Index:
-    """docs (doc_id, dl), postings (term, doc_id, tf, dl); k1 and b weigh term frequency and length."""
+    """docs (doc_id, dl), postings (term, doc_id, tf, dl); k1 and b weigh term frequency and length. parts, of an index that documents
+    were removed from or added to: what its postings come from, each with the ids that are gone of it."""
 
     docs: DataFrame
     postings: DataFrame
     k1: float = 1.5
     b: float = 0.75
+    parts: tuple[tuple[DataFrame, tuple[DataFrame, ...]], ...] = ()
 
     def __post_init__(self):
         if self.k1 <= 0 or not 0 <= self.b <= 1:
@@ -49,19 +51,40 @@ class Index:
         """Without the documents of ids (doc_id); removing twice or unknown ids changes nothing."""
         gone = ids.select("doc_id").distinct()
         return replace(
-            self, docs=self.docs.join(gone, "doc_id", "left_anti"), postings=self.postings.join(gone, "doc_id", "left_anti")
+            self,
+            docs=self.docs.join(gone, "doc_id", "left_anti"),
+            postings=self.postings.join(gone, "doc_id", "left_anti"),
+            parts=tuple((rows, (*before, gone)) for rows, before in self._parts()),
         )
 
     def add(self, other: Index) -> Index:
         """With the documents of other; those already there are replaced."""
         kept = self.remove(other.docs)
-        return replace(kept, docs=kept.docs.unionByName(other.docs), postings=kept.postings.unionByName(other.postings))
+        return replace(
+            kept,
+            docs=kept.docs.unionByName(other.docs),
+            postings=kept.postings.unionByName(other.postings),
+            parts=kept._parts() + other._parts(),
+        )
+
+    def _parts(self) -> tuple:
+        return self.parts or ((self.postings, ()),)
+
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """The postings of some terms (term). The terms are cut first and removed documents then: Spark moves the cut below the counting
+        of postings, but not below a removal, behind which all postings would be counted and shuffled."""
+        wanted, out = terms.select("term").distinct(), None
+        for rows, removed in self._parts():
+            rows = rows.join(wanted, "term", "left_semi")
+            for gone in removed:
+                rows = rows.join(gone, "doc_id", "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
     def narrowed(self, terms: DataFrame) -> Index:
         """With the postings of some terms (term) only, written once for searches that read them several times. Document numbers and
         lengths stay those of all documents."""
-        wanted = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
-        return replace(self, docs=cut(self.docs, "docs"), postings=cut(wanted, "postings"))
+        return replace(self, docs=cut(self.docs, "docs"), postings=cut(self.of_terms(terms), "postings"), parts=())
 
     def save(self, path: str) -> None:
         """Parquet, postings sorted by term within files, so that row groups of other terms are skipped."""
@@ -101,7 +124,7 @@ def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
     that cut. Nothing is hinted: broadcasting is up to Spark's size checks.
     """
     terms = query_terms(queries)
-    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = index.of_terms(terms)
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term").crossJoin(F.broadcast(index.stats.select("n", "avgdl")))
     weighted = weighted.withColumn("w", F.col("qtf") * idf(F.col("n"), F.col("df")))
@@ -206,7 +229,7 @@ def overlap_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     if k <= 0:
         raise ValueError("k must be positive")
     terms = query_terms(queries.where("query_id is not null")).select("query_id", "term", F.lit(1.0).alias("w"))
-    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi").select("term", "doc_id", F.lit(1.0).alias("part"))
+    wanted = index.of_terms(terms).select("term", "doc_id", F.lit(1.0).alias("part"))
     return top_k(best_by_blocks(index, queries, wanted, terms, k), k)
 
 
