@@ -83,3 +83,15 @@ def test_annotations_are_worked_out_once(spark, tmp_path):
     found = spark.read.parquet(f"{tmp_path}/annotated")
     assert found.count() == job.read_questions(spark, str(tmp_path)).count() == done["kept"]
     assert "documents.parquet" not in plan(job.numbered(found))
+
+
+def test_candidates_are_gated_once_against_their_own_notes(spark):
+    """Placing reads its rows several times, and notes that no candidate names need no squeezing and no shuffle."""
+    from whinstone.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    found = QUERIES["numbered_dataset"](spark, sf)
+    assert "documents.parquet" not in plan(found)
+    assert [r["id"] for r in found.orderBy("id").collect()] == [f"q{i:04}" for i in range(1, found.count() + 1)]
+    steps = QUERIES["candidate_gate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in steps[steps.index("Aggregate [note") :]

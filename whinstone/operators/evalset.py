@@ -132,7 +132,10 @@ def gate_candidates(candidates: DataFrame, notes: DataFrame, meta: str = r"(?i)\
     length, the span stands in the note (white space aside), a known difficulty, and no earlier kept candidate with the same question
     (white space aside).
     """
-    named = notes.groupBy("note").agg(F.count("*").alias("copies"), F.min(squeeze("text")).alias("squeezed"))
+    candidates = cut(candidates, "candidates")
+    # only notes that a candidate names are squeezed and shuffled
+    named = notes.join(candidates.select("note").distinct(), "note", "left_semi")
+    named = named.groupBy("note").agg(F.count("*").alias("copies"), F.min(squeeze("text")).alias("squeezed"))
     rows = candidates.join(named, "note", "left")
     q, s = F.length("question"), F.length("answer_span")
     reason = (
@@ -158,7 +161,9 @@ def count_reasons(gated: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, prefix: str, *order: str) -> DataFrame:
-    """Adds id: q0001, q0002, ... in the order given, range by range: no task numbers all rows."""
+    """Adds id: q0001, q0002, ... in the order given, range by range: no task numbers all rows. rows are written once, as placing reads
+    them several times."""
+    rows = cut(rows, "to-number")
     return placed(rows, order, rows.count()).withColumn("id", F.format_string(f"{prefix}%04d", "_place")).drop("_place")
 
 
