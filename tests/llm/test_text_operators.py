@@ -238,6 +238,26 @@ def test_one_training_step_by_definition():
             assert abs(trainer.model[name].flat[place] - (was - 0.01 * g / (abs(g) + 1e-8 / 0.001**0.5))) < 1e-5
 
 
+def test_masked_lm_encodes_words_once(spark):
+    """Training and scoring read codes, from which they get the ids that the texts have; no text is read again."""
+    from whinstone.llm.masked_lm import UNKNOWN, _coded_ids, _hash, _head_buckets, count, encode
+
+    texts = [None, "", "One two  TWO three", "\n", " ".join(f"w{i % 700} w{i % 11}" for i in range(4000)), "two rare words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary, _ = count(df, head=20)
+    for w in ("w5", "w600", "two"):  # of a small corpus all words are in the vocabulary
+        vocabulary.pop(w.encode())
+    vocabulary.head = {b"w600": 11}
+    coded = encode(df, vocabulary)
+    assert "text" not in coded.columns
+    for r in coded.collect():
+        words = (texts[r["doc_id"]] or "").lower().split()
+        codes, ids = _coded_ids(bytes(r["codes"]), vocabulary.size, _head_buckets(vocabulary))
+        assert ids.tolist() == word_ids(LmWords(dict(vocabulary)), (texts[r["doc_id"]] or "").encode()).tolist()
+        assert r["rare"] == [_hash(w.encode()) for w in words if w in ("w5", "two")]
+        assert codes.tolist() == [vocabulary.size if w == "w600" else -1 - _hash(w.encode()) % UNKNOWN if w in ("w5", "two") else i for w, i in zip(words, ids.tolist(), strict=True)]
+
+
 def test_masked_lm_with_clashing_columns(spark):
     rows = [(i, f"some words {i} of a text", "x", 1, 2, 3) for i in range(20)] + [(None, None, "x", 1, 2, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, word string, n int, row int, h int")
