@@ -197,3 +197,73 @@ def test_a_hot_block_is_dealt_evenly():
     rows = pa.concat_batches(L._keys([pa.RecordBatch.from_pydict(cols)])).to_pandas()
     hot = rows[rows.key == 42]
     assert len(hot) == n and (hot.met == 1).sum() == 1 and hot.part.nunique() == n
+
+
+def test_edit_distance_of_long_strings():
+    """Over many steps of the rows that are looked at."""
+    rng = random.Random(6)
+    for n in (200, 700, 1500):
+        for share in (0.05, 0.2, 0.3):
+            a = rng.choices("abcdé字", k=n)
+            b = list(a)
+            for _ in range(int(share * n)):
+                k = rng.randrange(len(b))
+                b[k : k + rng.randint(0, 1)] = rng.choices("abcdé字", k=rng.randint(0, 2))
+            a, b = "".join(a), "".join(b)
+            true = plain_distance(a, b)
+            for most in (true - 1, true, true + 1, n // 5, 3 * n):
+                for x, y in ((a, b), (b, a)):
+                    assert edit_distance(x, y, most) == true if true <= most else edit_distance(x, y, most) > most
+
+
+def test_keys_are_shuffled_by_the_buffer():
+    """A buffer of lines sends one row to each part, not one for each key; those that share a key come out, from one buffer or two."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    batches, lines = [], {}
+    for _ in range(2):
+        cols = rng.integers(1, 1 << 62, (3000, 1 + len(L._COLUMNS)))
+        cols[:, 4] = rng.integers(0, 20_000, 3000)
+        cols[:50, 0] = range(50)  # lines of both buffers
+        cols[:50, 1:] = np.arange(50)[:, None] * 1000 + np.arange(len(L._COLUMNS)) + (1 << 40)
+        lines |= {r[0]: r[1:] for r in cols.tolist()}
+        batches.append(pa.RecordBatch.from_pydict({"h": cols[:, 0], "blocks": [r.tobytes() for r in cols[:, 1:]]}))
+    sent = [b for one in batches for b in L._dealt_keys(7)(iter([one]))]
+    assert sum(b.num_rows for b in sent) == 14
+    rows = pa.Table.from_batches(sent).to_pandas()
+    found = set()
+    for _, part in rows.groupby("part"):
+        for b in L._partners(iter([pa.RecordBatch.from_pandas(part)])):
+            found |= {(r["key"], r["v"], r["h"]) for r in b.to_pylist()}
+    of = defaultdict(set)
+    sims = np.array([r for r in lines.values()]).view(np.uint64)
+    keys = L._block_keys(sims[:, 0], list(sims[:, 1:].T)).view(np.int64)
+    for v, own in enumerate(keys.tolist()):
+        for h, key in zip(lines, own, strict=True):
+            of[key].add((key, v, h))
+    assert found == {r for rows in of.values() if len({h for _, _, h in rows}) > 1 for r in rows}
+    assert len(found) > 1000 and not list(L._partners(iter([])))
+
+
+def test_lines_of_one_component_are_not_compared():
+    asked = []
+
+    def linked(i, j):
+        asked.append((i, j))
+        return i % 10 == 9 and j % 10 == 9
+
+    edges = L._joining(np.repeat([5, 6, 7], 10), linked)
+    assert all(i // 10 != j // 10 for i, j in asked) and len(asked) <= 300
+    assert len(edges) == 2 and {x // 10 for e in edges for x in e} == {0, 1, 2}
+
+
+def test_buckets_of_the_same_lines_are_compared_once(spark, monkeypatch):
+    lines = {1: "one line of a few words", 2: "one line of a few word", 3: "another that is like none of them", 4: "one lines of a few words"}
+    found = spark.createDataFrame(list(lines.items()), "id long, norm string")
+    rows = [(key, i, i) for key in range(50) for i in (1, 2, 3)] + [(99, 3, 3), (99, 4, 4), (98, 1, 1)]
+    hits = spark.createDataFrame(rows, "key long, id long, component long")
+    seen = []
+    monkeypatch.setattr(L, "cut", lambda df, name, cut=L.cut: seen.append((name, out := cut(df, name))) or out)
+    edges = {(r["a"], r["b"]) for r in L._edges(hits, found, 8192).collect()}
+    assert edges == {(2, 1)} and dict(seen)["line-buckets"].count() == 5

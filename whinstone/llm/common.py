@@ -268,42 +268,66 @@ def text_blocks(text: bytes, size: int = TEXT_BLOCK) -> Iterator[bytes]:
 # --- edit distance ----------------------------------------------------------------------------------------------------
 
 
+def common_ends(a: str, b: str) -> tuple[int, int]:
+    """With how many characters a and b both begin, and with how many of the rest they both end."""
+    lo, most = 0, min(len(a), len(b))
+    while lo < most:
+        mid = (lo + most + 1) // 2
+        if a.startswith(b[lo:mid], lo):
+            lo = mid
+        else:
+            most = mid - 1
+    hi, most = 0, min(len(a), len(b)) - lo
+    while hi < most:
+        mid = (hi + most + 1) // 2
+        if a.endswith(b[len(b) - mid : len(b) - hi], 0, len(a) - hi):
+            hi = mid
+        else:
+            most = mid - 1
+    return lo, hi
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance of a and b, or most + 1 where it is larger. Common ends are cut off first; the rest is Myers' bit-parallel
-    recurrence, with a column as two integers of len(a) bits."""
+    recurrence, with the rows of a column that a path of cost `most` can pass as two integers. What lies beyond these rows counts too
+    much, which no such path sees. The distance never falls along a diagonal, so the one that ends in the corner tells when to stop."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    n = min(len(a), len(b))
-    lo = 0
-    while lo < n and a[lo : lo + 64] == b[lo : lo + 64]:
-        lo = min(n, lo + 64)
-    while lo < n and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < n - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
-        hi += 1
+    lo, hi = common_ends(a, b)
     a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     if not a or not b:
         return len(a) + len(b)
-    m = len(a)
+    m, n = len(a), len(b)
     peq: dict[str, int] = {}
     for i, c in enumerate(a):
         peq[c] = peq.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score = full, 0, m
-    for j, c in enumerate(b, 1):
-        eq = peq.get(c, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | (full & ~(xh | pv))
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        ph = ph << 1 | 1
-        pv = full & ((mh << 1) | ~(xv | ph))
-        mv = ph & xv
-        if score - (len(b) - j) > most:
-            return most + 1
+    # of a short column all rows cost no more
+    least, highest = ((m - n - most) // 2, (m - n + most + 1) // 2) if m > 256 else (-n, m)
+    step = max(16, min(m, most) // 4)
+    pv = mv = base = lo = hi = 0
+    for j in range(0, n, step):
+        end = min(n, j + step)
+        drop = max(0, j + least) - lo  # rows lo + 1 to hi; base is the distance at row lo
+        if drop:
+            low = (1 << drop) - 1
+            base += (pv & low).bit_count() - (mv & low).bit_count()
+            pv, mv, lo = pv >> drop, mv >> drop, lo + drop
+        top = min(m, end + highest)
+        pv |= ((1 << (top - hi)) - 1) << (hi - lo)
+        hi = top
+        full = (1 << (hi - lo)) - 1
+        get = (peq if full >> m - 1 else {c: peq[c] >> lo & full for c in set(b[j:end]) if c in peq}).get
+        for c in b[j:end]:  # bits beyond `full` are never looked at, and cut off below
+            eq = get(c, 0)
+            d = (((eq & pv) + pv) ^ pv) | eq | mv
+            ph = (mv | (full ^ (d | pv))) << 1 | 1
+            pv, mv = (d & pv) << 1 | (full ^ (d | ph)), ph & d
+        pv &= full
+        mv &= full
+        base += end - j
+        if (row := end + m - n - lo) >= 0:
+            low = (1 << row) - 1
+            score = base + (pv & low).bit_count() - (mv & low).bit_count()
+            if score > most:
+                return most + 1
     return score

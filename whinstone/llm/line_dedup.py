@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import functools
-import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,7 @@ from whinstone.llm.common import (
     BUCKET_ROWS,
     LOWER,
     binary_texts,
+    common_ends,
     components,
     cut,
     edit_distance,
@@ -24,7 +24,6 @@ from whinstone.llm.common import (
     run_bounds,
     salted,
     sorted_runs,
-    spanning_edges,
     stars,
     unsettled,
 )
@@ -50,6 +49,10 @@ BLOOM_BITS = 1 << 27
 #: What a row's table number is raised by once for a line that met another in its buffer, twice if it isn't dealt by their key.
 MET = np.int8(32)
 _COLUMNS = ["sim", *[f"b{t}" for t in range(SAMPLES)]]
+#: A row of _keys() as it is shuffled; v is raised by MET as often as `met` says.
+_PACKED = np.dtype([("key", "<i8"), ("h", "<i8"), ("v", "i1")])
+#: Such rows that a task holds at a time, about; there are as many tasks as that takes, and one for each shuffle partition at least.
+PART_ROWS = 1 << 20
 
 _P = 0x9E3779B97F4A7C15
 _RNG = np.random.default_rng(5)
@@ -132,12 +135,15 @@ def _signed(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
     return 2 * ones - np.add.reduceat(weight.astype(np.int64), first)[:, None]
 
 
-def _least(h: np.ndarray, shift: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each group of features the least of each order (SAMPLES x PICKS); features of a larger shift come first more often."""
-    out = np.empty((len(first), SAMPLES * PICKS), np.uint64)
+def _least(h: np.ndarray, shift: np.ndarray | None, first: np.ndarray) -> np.ndarray:
+    """For each group of features the least of each order (SAMPLES x PICKS); features of a larger shift come first more often. Without
+    shift they are runs of bytes, which have zeros beyond GRAM_PICKS."""
+    out, each = np.zeros((SAMPLES * PICKS, len(first)), np.uint64), np.empty_like(h)
     for k in range(SAMPLES * PICKS):
-        out[:, k] = np.minimum.reduceat(((h ^ _XOR[k]) * _TIMES[k]) >> shift, first)
-    return out
+        if shift is not None or k % PICKS < GRAM_PICKS:
+            np.multiply(np.bitwise_xor(h, _XOR[k], out=each), _TIMES[k], out=each)
+            np.minimum.reduceat(each if shift is None else np.right_shift(each, shift, out=each), first, out=out[k])
+    return out.T
 
 
 def _raw(buf: np.ndarray, words: tuple, lo: np.ndarray, sizes: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +161,7 @@ def _raw(buf: np.ndarray, words: tuple, lo: np.ndarray, sizes: np.ndarray, n_wor
         h, first = _grams(buf, starts[at], ends[at], first)
         few = n_words[by_grams, None]
         signed[by_grams] = np.where(few < SIM_WORDS, _signed(h, np.ones(len(h), np.uint64), first), signed[by_grams])
-        up_to = np.repeat(SAMPLE_WORDS, PICKS)
-        picked = np.where(np.arange(SAMPLES * PICKS) % PICKS < GRAM_PICKS, _least(h, np.zeros(len(h), np.uint64), first), np.uint64(0))
-        least[by_grams] = np.where(few < up_to, picked, least[by_grams])
+        least[by_grams] = np.where(few < np.repeat(SAMPLE_WORDS, PICKS), _least(h, None, first), least[by_grams])
     return signed, least
 
 
@@ -251,13 +255,21 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.searchsorted(ends, number, "right")
             at = pa.array(doc + first)
             cols = [ids.take(at), batch.column("copy").take(at), (number - np.append(0, ends)[doc]).astype(np.int32)]
-            cols += list(np.ascontiguousarray(found.T).view(np.int64))
+            cols += [np.ascontiguousarray(found[:, k]).view(np.int64) for k in (0, 1)]
+            cols.append(_binary(np.ascontiguousarray(found[:, 2:]), np.arange(len(found) + 1)))
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=_LINES)
             first = last
 
 
-_LINES = ["doc_id", "copy", "line", "h", "g", *_COLUMNS]
-_LINES_SCHEMA = "doc_id long, copy long, line int, h long, g long, " + ", ".join(f"{c} long" for c in _COLUMNS)
+#: blocks: the values of _COLUMNS, eight bytes each.
+_LINES = ["doc_id", "copy", "line", "h", "g", "blocks"]
+_LINES_SCHEMA = "doc_id long, copy long, line int, h long, g long, blocks binary"
+
+
+def _binary(rows: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of rows between each two bounds, as one value each."""
+    width = rows.nbytes // max(1, len(rows))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(rows)])
 
 
 def _block_keys(sim: np.ndarray, samples: list[np.ndarray]) -> np.ndarray:
@@ -298,33 +310,45 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def _packed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is shuffled of _keys(): key, v plus MET times met, h; the part follows from them."""
-    for b in _keys(batches):
-        v = b.column("v").to_numpy() + MET * b.column("met").to_numpy()
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(v), b.column("h")], names=["key", "v", "h"])
+def _dealt_keys(parts: int):
+    """The rows of _keys(), packed: for each buffer one binary value for each of so many parts, by the row's part."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cols = np.frombuffer(b"".join(b.column("blocks").to_pylist()), np.int64).reshape(b.num_rows, -1).T
+                yield pa.RecordBatch.from_arrays([b.column("h"), *[pa.array(np.ascontiguousarray(c)) for c in cols]], names=["h", *_COLUMNS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _keys(unpacked(batches)):
+            rows = np.empty(b.num_rows, _PACKED)
+            rows["key"], rows["h"] = b.column("key").to_numpy(), b.column("h").to_numpy()
+            rows["v"] = b.column("v").to_numpy() + MET * b.column("met").to_numpy()
+            part = (_mixed(b.column("part").to_numpy().view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            by = np.argsort(part)
+            bounds = run_bounds([part[by]])
+            yield pa.RecordBatch.from_arrays([pa.array(part[by][bounds[:-1]]), _binary(rows[by], bounds)], names=["part", "rows"])
+
+    return run
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of packed rows sorted by key and h those whose key another h shares."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(c).to_numpy() for c in ("key", "v", "h")]
-        if last is not None:
-            cols = [np.append(a, b) for a, b in zip(last, cols, strict=True)]
-        key, v, h = cols
-        same = key[1:] == key[:-1]
-        same &= h[1:] != h[:-1]  # one line may come from several buffers
-        hit = v >= MET
-        hit[:-1] |= same
-        hit[1:] |= same
-        now = hit[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][now]) for c in (key, v % MET, h)], names=["key", "v", "h"])
-        last = key[-1:], v[-1:] % MET + MET * hit[-1:].astype(np.int8), h[-1:]
-    if last is not None and last[1][0] >= MET:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (last[0], last[1] % MET, last[2])], names=["key", "v", "h"])
+    """Of the packed rows of a part those whose key another h shares, there or in the buffer that they come from."""
+    rows = np.frombuffer(b"".join(x for b in batches for x in b.column("rows").to_pylist()), _PACKED)
+    key = np.ascontiguousarray(rows["key"])
+    by = np.argsort(key)
+    key = key[by]
+    same = np.append(key[1:] == key[:-1], False)
+    own = rows[by[same | np.append(False, same[:-1])]] if len(rows) else rows
+    own = own[np.lexsort((own["h"], own["key"]))]
+    own = own[run_bounds([own["key"], own["h"]])[:-1]] if len(own) else own  # one line may come from several buffers
+    same = np.append(own["key"][1:] == own["key"][:-1], False)
+    hit = same | np.append(False, same[:-1]) if len(own) else same[:0]
+    found = np.concatenate([own[hit], rows[rows["v"] >= MET]])
+    for lo in range(0, len(found), 1 << 16):
+        some = found[lo : lo + (1 << 16)]
+        cols = [np.ascontiguousarray(c) for c in (some["key"], some["v"] % MET, some["h"])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "v", "h"])
 
 
 def similar(a: str, b: str) -> bool:
@@ -333,11 +357,12 @@ def similar(a: str, b: str) -> bool:
     most = (100 - SIMILARITY_PERCENT) * max(len(a), len(b)) // 100
     if abs(len(a) - len(b)) > most:
         return False
-    lo = len(os.path.commonprefix((a, b)))
-    hi = len(os.path.commonprefix((a[: lo - len(a) - 1 : -1], b[: lo - len(b) - 1 : -1])))
+    lo, hi = common_ends(a, b)
     if max(len(a), len(b)) - lo - hi <= most:
         return True
-    x, y = a.split(" "), b.split(" ")
+    lo, hi = a.rfind(" ", 0, lo) + 1, a.find(" ", len(a) - hi)
+    x, y = (a, b) if hi < 0 else (a[:hi], b[: hi - len(a)])
+    x, y = x[lo:].split(" "), y[lo:].split(" ")
     i = j = cost = 0
     while i < len(x) and j < len(y) and cost <= most:
         if x[i] == y[j]:
@@ -366,26 +391,42 @@ def _common(a: frozenset, b: frozenset) -> bool:
     return 5 * len(a & b) + 10 >= 2 * max(len(a), len(b))
 
 
-def _links(lines: list[str]):
-    """linked() of spanning_edges() for lines."""
+def _links(lines: list[str]) -> Callable[[int, int], bool]:
+    """Whether the i-th and the j-th line link."""
     words = _parts(lines)
-
-    def linked(k: int, others: np.ndarray) -> np.ndarray:
-        own, text = words[k], lines[k]
-        return np.fromiter((_common(own, words[j]) and similar(text, lines[j]) for j in others.tolist()), bool, len(others))
-
-    return linked
+    return lambda i, j: _common(words[i], words[j]) and similar(lines[i], lines[j])
+
+
+def _joining(component: np.ndarray, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Edges that join the components of rows 0..n-1 as far as linked() joins any of their rows, and none within one component. Each row is
+    compared with those not reached before it, of each component until one links."""
+    component = component.tolist()
+    left, edges = list(range(len(component))), []
+    while left:
+        met = {component[left[0]]}
+        queue, left = [j for j in left if component[j] in met], [j for j in left if component[j] not in met]
+        while queue and left:
+            i, met = queue.pop(), set()
+            for j in left:
+                if component[j] not in met and linked(i, j):
+                    met.add(component[j])
+                    edges.append((i, j))
+            if met:
+                queue += [j for j in left if component[j] in met]
+                left = [j for j in left if component[j] not in met]
+    return edges
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that join what is similar in each (key, salt) run of lines sorted by it."""
+    """Edges that join what is similar in each (key, salt) run of lines sorted by it, of different components."""
     small = (b.slice(lo, 2048) for b in batches for lo in range(0, b.num_rows, 2048))
-    for key, salt, ids, norm in sorted_runs((b.select(["key", "salt", "id", "norm"]) for b in small), ("key", "salt")):
+    columns = ["key", "salt", "id", "component", "norm"]
+    for key, salt, ids, component, norm in sorted_runs((b.select(columns) for b in small), ("key", "salt")):
         bounds = run_bounds([key, salt])
         edges, size = [], np.diff(bounds)
         for lo, hi in zip(bounds[:-1][size > 1].tolist(), bounds[1:][size > 1].tolist(), strict=True):
             own = list(norm[lo:hi])
-            edges += [(ids[lo + a], ids[lo + b]) for a, b in spanning_edges(len(own), _links(own))]
+            edges += [(ids[lo + a], ids[lo + b]) for a, b in _joining(component[lo:hi], _links(own))]
         if edges:
             a, b = stars(*np.array(edges, np.int64).T)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -466,9 +507,10 @@ def _fetch(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _places(lines: DataFrame):
-    """(doc_id, copy, line) as one value in that order, and how to take it apart. Where doc_ids are unique, a long that leaves copy
+    """(doc_id, copy, line) as one value in that order, how to take it apart, whether it has copy, and the number of lines. Where doc_ids are unique, a long that leaves copy
     out, as longs aggregate by hash and without sorting; else a struct."""
-    row = lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("line"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    nulls = F.count(F.when(F.col("doc_id").isNull(), 1))
+    row = lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("line"), nulls, F.count("*")).first()
     bits = int(row[2] or 0).bit_length()
     plain = row[3] == 0 and row[0] is not None and row[0] >= 0 and row[1] < 1 << (62 - bits)
     if plain:
@@ -476,27 +518,32 @@ def _places(lines: DataFrame):
         plain = per.where("x <> y").isEmpty()
     if plain:
         place = F.shiftleft("doc_id", bits).bitwiseOR(F.col("line").cast("long"))
-        return place, lambda c: F.shiftright(c, bits), lambda c: F.col(c).bitwiseAND((1 << bits) - 1).cast("int"), False
-    return F.struct("doc_id", "copy", "line"), lambda c: F.col(c)["doc_id"], lambda c: F.col(c)["line"], True
+        return place, lambda c: F.shiftright(c, bits), lambda c: F.col(c).bitwiseAND((1 << bits) - 1).cast("int"), False, row[4]
+    return F.struct("doc_id", "copy", "line"), lambda c: F.col(c)["doc_id"], lambda c: F.col(c)["line"], True, row[4]
 
 
-def _edges(hits: DataFrame, found: DataFrame, bucket_rows: int) -> DataFrame:
-    """Edges (a, b) that join what is similar in the buckets of hits (key, id); found has the lines (id, norm). Two lines that are a
-    bucket of their own in several tables are compared once."""
-    sizes = hits.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("n > 1")
-    hits = hits.join(sizes, "key").select(F.when(F.col("n") == 2, F.xxhash64("x", "y")).otherwise(F.col("key")).alias("key"), "id")
+def _edges(hits: DataFrame, found: DataFrame, bucket_rows: int, known: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) that join what is similar in the buckets of hits (key, id, component) and isn't joined by `known`, the edges that gave the
+    components; found has the lines (id, norm). Buckets of the same lines, in whatever tables, are compared once."""
+    sizes = hits.groupBy("key").agg(F.count("*").alias("n"), *[F.expr(f"bit_xor(xxhash64(id, {k}))").alias(f"x{k}") for k in (0, 1)])
+    hits = hits.join(sizes.where("n > 1"), "key").select(F.xxhash64("n", "x0", "x1").alias("key"), "id", "component")
     hits = cut(hits.distinct(), "line-buckets")
     work = hits.join(found, "id")
     hot = hot_keys(hits.groupBy("key").agg(F.count("*").alias("n")), bucket_rows)
-    rows = salted(work, hot).repartition("key", "salt").sortWithinPartitions("key", "salt")
+    rows = salted(work, hot).repartition(_tasks(hits), "key", "salt").sortWithinPartitions("key", "salt")
     edges = cut(rows.mapInArrow(_verify, "a long, b long").distinct(), "line-links")
     if hot is None:
         return edges
-    minority, everything = unsettled(work, hot, components(edges), bucket_rows)
+    minority, everything = unsettled(work.drop("component"), hot, components(edges if known is None else edges.union(known)), bucket_rows)
     pairs = minority.groupBy("key", "salt", "block").cogroup(everything.groupBy("key", "salt", "block"))
     return cut(edges.union(pairs.applyInPandas(_verify_open, "a long, b long")).distinct(), "line-links")
 
 
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as a shuffle has; of few bytes, but much work, AQE would make fewer."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def duplicate_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rows (doc_id, copy, line): the lines (from 0) of docs (doc_id, text) that repeat, exactly or nearly, but one that stays.
 
@@ -515,12 +562,13 @@ def duplicate_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     """
     texts = pick(docs, doc_id="long", text="string").withColumn("copy", _copy(F.col("text")))
     lines = cut(texts.mapInArrow(_lines, _LINES_SCHEMA), "lines")
-    place, doc_id, line, copies = _places(lines)
+    place, doc_id, line, copies, n = _places(lines)
     place = place.alias("place")
     classes = lines.select("h", "g", place).groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
-    rows = lines.select("h", *_COLUMNS).mapInArrow(_packed_keys, "key long, v byte, h long")
-    met = rows.repartition(F.when(F.col("v") >= 2 * int(MET), F.col("h")).otherwise(F.col("key"))).sortWithinPartitions("key", "h").mapInArrow(_partners, "key long, v byte, h long")
+    parts = max(_tasks(lines), -(-n * len(_COLUMNS) // PART_ROWS))
+    rows = lines.select("h", "blocks").mapInArrow(_dealt_keys(parts), "part int, rows binary")
+    met = rows.repartitionById(parts, F.col("part")).select("rows").mapInArrow(_partners, "key long, v byte, h long")
     met = cut(met.distinct(), "line-partners")
     near = classes.join(met.select("h").distinct(), "h", "left_semi")
     near = cut(near.select("h", "id", "first", doc_id("first").alias("doc_id"), line("first").alias("line")), "near-lines")
@@ -529,12 +577,12 @@ def duplicate_lines(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     same = F.col("place").eqNullSafe(F.col("first")) if copies else F.col("place") == F.col("first")
     found = cut(near.select("id", "first").join(there, same).select("id", "norm").dropDuplicates(["id"]), "near-texts")
     first = F.col("v").isin(*FIRST)
-    edges = _edges(hits.where(first).select("key", "id"), found, bucket_rows)
+    edges = _edges(hits.where(first).select("key", "id", F.col("id").alias("component")), found, bucket_rows)
     more = hits.where(~first).select("key", "id")
     now = more.join(components(edges), F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    more = cut(more.join(several, "key", "left_semi"), "line-open")
-    comp = cut(components(edges.union(_edges(more, found, bucket_rows))), "line-components")
+    more = cut(now.select("key", "id", "component").join(several, "key", "left_semi"), "line-open")
+    comp = cut(components(edges.union(_edges(more, found, bucket_rows, edges))), "line-components")
     linked = classes.join(comp, F.col("id") == F.col("node"))
     best = linked.groupBy("component").agg(F.min("first").alias("best"))
     alone = classes.where("n > 1").join(comp.select("node"), F.col("id") == F.col("node"), "left_anti")
