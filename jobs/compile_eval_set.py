@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from jobs.common import command_line, log
 from whinstone.functions.text import language, leak_bucket, squeeze, tokenize
 from whinstone.operators import evalset as E
+from whinstone.operators.holdings import holdings
+from whinstone.operators.shared import cut
 
 QUESTIONS = (
     "id string, question_id string, question string, relevant_notes map<string,double>, note string, n_relevant long, coverage double,"
@@ -42,28 +44,31 @@ class Settings:
     most_coverage: float = E.NEGATIVE_COVERAGE
 
 
-def candidates(questions: DataFrame, notes: DataFrame, s: Settings) -> DataFrame:
-    """question_id, question, note, n_relevant, grades, coverage, reason (kept, too_short, duplicate_question or covered)."""
+def asked_once(questions: DataFrame, s: Settings) -> DataFrame:
+    """question_id, question, reason (too_short, duplicate_question or null)."""
     short = F.size(tokenize("question")) < s.least_tokens
     again = Window.partitionBy("short", "key").orderBy("question_id")
     rows = questions.withColumns({"short": short, "key": squeeze("question")}).withColumn("nth", F.row_number().over(again))
-    rows = rows.withColumn("reason", F.when(F.col("short"), "too_short").when(F.col("nth") > 1, "duplicate_question")).drop("short", "key", "nth")
-    asked = rows.where("reason is null").select("question_id", "question")
-    found = E.containment(asked.select(F.col("question_id").alias("query_id"), F.col("question").alias("text")), notes.withColumnRenamed("note", "doc_id"))
+    return rows.withColumn("reason", F.when(F.col("short"), "too_short").when(F.col("nth") > 1, "duplicate_question")).drop("short", "key", "nth")
+
+
+def candidates(rows: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """question_id, question, note, n_relevant, grades, coverage, reason (kept, too_short, duplicate_question or covered), from the
+    notes' holdings of the rows without a reason."""
     # of a question that very many notes hold, all are relevant: the map is part of the set
-    owned = found.groupBy(F.col("query_id").alias("question_id")).agg(F.min("doc_id").alias("note"), F.array_sort(F.collect_set("doc_id")).alias("every"))
+    owned = E.literal(found).groupBy("question_id").agg(F.min("note").alias("note"), F.array_sort(F.collect_set("note")).alias("every"))
     grades = F.map_from_entries(F.transform("every", lambda n: F.struct(n.cast("string"), F.when(n == F.col("note"), 2.0).otherwise(1.0))))
     owned = owned.select("question_id", "note", F.size("every").cast("long").alias("n_relevant"), grades.alias("grades"))
-    covered = E.best_note_coverage(asked, notes).select("question_id", "coverage")
+    covered = E.coverage(rows.where("reason is null"), found).select("question_id", "coverage")
     rows = rows.join(owned, "question_id", "left").join(covered, "question_id", "left")
     negative = F.col("note").isNull() & (F.col("coverage") >= s.most_coverage)
     return rows.withColumn("reason", F.coalesce("reason", F.when(negative, "covered"), F.lit("kept")))
 
 
-def annotated(kept: DataFrame, notes: DataFrame) -> DataFrame:
+def annotated(kept: DataFrame, notes: DataFrame, found: DataFrame) -> DataFrame:
     """kept with leaks, rarest tokens and lang."""
-    leaks = E.leak_min_df(kept.where("note is not null").select("question_id", "question", "note"), notes)
-    rare = E.keyword_rarity(kept.select("question_id", "question"), notes).withColumnsRenamed({"token": "rare_token", "df": "rare_df"})
+    leaks = E.leak_min_df(kept.where("note is not null").select("question_id", "question", "note"), notes, found)
+    rare = E.keyword_rarity(kept.select("question_id", "question"), notes, found).withColumnsRenamed({"token": "rare_token", "df": "rare_df"})
     return kept.join(leaks, "question_id", "left").join(rare, "question_id", "left").withColumn("lang", language("question"))
 
 
@@ -114,14 +119,16 @@ def compile_eval_set(spark: SparkSession, notes: str, questions: str, target: st
     known = spark.read.parquet(notes).select(F.col(f"`{s.note}`").alias("note"), F.col(f"`{s.text}`").cast("string").alias("text")).where("note is not null and text is not null")
     asked = spark.read.parquet(questions).select(F.col(f"`{s.question}`").alias("question_id"), F.col(f"`{s.question_text}`").cast("string").alias("question"))
     asked = asked.where("question_id is not null and question is not null").dropDuplicates(["question_id"])
-    judged = candidates(asked, known, s)
+    rows = cut(asked_once(asked, s), "asked-once")
+    found = cut(holdings(rows.where("reason is null"), known, literal=True), "holdings")
+    judged = candidates(rows, found, s)
     judged.write.mode("overwrite").partitionBy("reason").parquet(f"{target}/candidates")
     tried = spark.read.schema(judged.schema).parquet(f"{target}/candidates")
     kept = tried.where("reason = 'kept'").drop("reason")
-    found = annotated(kept, known)
-    found.write.mode("overwrite").parquet(f"{target}/annotated")
-    found = spark.read.schema(found.schema).parquet(f"{target}/annotated")
-    numbered(found).write.mode("overwrite").partitionBy("answerable", "lang").json(f"{target}/questions")
+    noted = annotated(kept, known, found)
+    noted.write.mode("overwrite").parquet(f"{target}/annotated")
+    noted = spark.read.schema(noted.schema).parquet(f"{target}/annotated")
+    numbered(noted).write.mode("overwrite").partitionBy("answerable", "lang").json(f"{target}/questions")
     compiled = read_questions(spark, target)
     build_report(tried, compiled).write.mode("overwrite").partitionBy("section").parquet(f"{target}/report")
     report = read_report(spark, target)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from whinstone.functions.text import CJK, content_tokens, language, leak_bucket, squeeze, tokenize
-from whinstone.operators.index import DIGITS, Index, best_by_blocks
+from whinstone.functions.text import content_tokens, language, leak_bucket, squeeze, tokenize
+from whinstone.operators.holdings import holdings, note_count, token_counts
+from whinstone.operators.index import DIGITS
 from whinstone.operators.places import placed
 from whinstone.operators.shared import cut
 
@@ -29,29 +30,20 @@ def token_df(notes: DataFrame) -> DataFrame:
     return note_tokens(notes).groupBy("token").agg(F.countDistinct("note").alias("df"))
 
 
-def _held(tokens: DataFrame, notes: DataFrame) -> DataFrame:
-    """note, token without repetition, of the tokens given (token); written once."""
-    return cut(note_tokens(notes).join(tokens.select("token").distinct(), "token", "left_semi").distinct(), "held")
-
-
 def question_tokens(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", content_tokens(tokenize("question")).alias("tokens"))
 
 
 def best_note_coverage(questions: DataFrame, notes: DataFrame) -> DataFrame:
     """question_id, coverage, note: the note that holds the largest share of a question's content tokens, the smallest name of equal
-    ones; a question without tokens is covered (1, empty name).
+    ones; a question without tokens is covered (1, empty name). Rows without a note or a question's id are left out."""
+    return coverage(questions, holdings(questions, notes))
 
-    Notes are dealt to blocks, which count shared tokens in arrays, so a common token makes no row for each question and note. Rows
-    without a note or a question's id are left out.
-    """
-    asked = cut(question_tokens(questions), "asked")
-    rows = asked.where("question_id is not null").select(F.col("question_id").alias("query_id"), F.explode("tokens").alias("term"), F.lit(1.0).alias("w"))
-    held = _held(rows.select(F.col("term").alias("token")), notes).select(F.col("token").alias("term"), F.col("note").alias("doc_id"), F.lit(1.0).alias("part"))
-    index = Index(notes.select(F.col("note").alias("doc_id")), held)
-    hits = best_by_blocks(index, rows.select("query_id").distinct(), held, rows, 1)
-    best = hits.groupBy(F.col("query_id").alias("question_id")).agg(F.min(F.struct((-F.col("score")).alias("m"), F.col("doc_id").alias("note"))).alias("b"))
-    joined = asked.join(best, "question_id", "left")
+
+def coverage(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """best_note_coverage() from the holdings."""
+    best = found.where("kind = 'best'").groupBy("question_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "note")).alias("b"))
+    joined = question_tokens(questions).join(best, "question_id", "left")
     empty = F.size("tokens") == 0
     return joined.select(
         "question_id",
@@ -66,16 +58,17 @@ def negative_gate(questions: DataFrame, notes: DataFrame, most: float = NEGATIVE
     return questions.join(kept, "question_id", "left_semi")
 
 
-def leak_min_df(questions: DataFrame, notes: DataFrame) -> DataFrame:
+def leak_min_df(questions: DataFrame, notes: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """question_id, leak_token, leak_min_df, leak, bucket: the rarest content token that a question shares with its note (question_id,
-    question, note); by df, then token. Without one: an empty token and the number of notes."""
+    question, note); by df, then token. Without one: an empty token and the number of notes. found: holdings of these questions, or
+    of more of them."""
+    found = cut(holdings(questions, notes), "holdings") if found is None else found
     tokens = questions.select("question_id", "note", F.explode(content_tokens(tokenize("question"))).alias("token"))
-    held = _held(tokens, notes)
-    df = held.groupBy("token").agg(F.count("note").alias("df"))
-    shared = tokens.join(held, ["note", "token"]).join(df, "token")
+    # only the questions' own notes are taken apart again
+    own = note_tokens(notes.join(questions.select("note").distinct(), "note", "left_semi")).distinct()
+    shared = tokens.join(own, ["note", "token"]).join(token_counts(found, "held"), "token")
     rarest = shared.groupBy("question_id").agg(F.min(F.struct("df", "token")).alias("r"))
-    total = notes.agg(F.countDistinct("note").alias("total"))
-    rows = questions.select("question_id").join(rarest, "question_id", "left").crossJoin(F.broadcast(total))
+    rows = questions.select("question_id").join(rarest, "question_id", "left").crossJoin(F.broadcast(note_count(found)))
     rows = rows.select(
         "question_id",
         F.coalesce("r.token", F.lit("")).alias("leak_token"),
@@ -85,43 +78,21 @@ def leak_min_df(questions: DataFrame, notes: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", leak_bucket("leak_min_df"))
 
 
-#: Runs of characters that a token lies in wherever a text holds it: its own maximal run of word characters, or of CJK.
-RUNS = rf"[a-z0-9._'-]+|[{CJK}]+"
-GRAM = 4
-
-
 def substring_df(tokens: DataFrame, notes: DataFrame) -> DataFrame:
     """token, df: in how many notes (note, text) a token (distinct, of two characters or more, as tokenize gives them) stands as a
-    substring; tokens that none holds have no row.
+    substring; tokens that none holds have no row."""
+    asked = tokens.select(F.col("token").alias("question_id"), F.col("token").alias("question"))
+    return token_counts(holdings(asked, notes), "within").join(tokens.select("token"), "token", "left_semi")
 
-    A token lies within one run of word characters, so only the distinct runs are searched, and those by an equi-join: each token has
-    one key, its first GRAM characters (or all of a shorter one), and each run all its pieces of up to GRAM characters; what agrees in
-    the key is compared in full. Nothing is compared with everything, and no side has to be small.
-    """
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({RUNS})"), F.lit(1)))
-    runs = notes.select("note", F.explode_outer(found).alias("run")).where("run is not null")
-
-    def pieces(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("run") - n + 1)
-        cut = F.transform(starts, lambda i: F.substr("run", i, F.lit(n)))
-        return F.when(F.length("run") >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    every = F.concat(*map(pieces, range(2, GRAM + 1)))
-    grams = runs.select("run").distinct().select("run", F.explode(F.array_distinct(every)).alias("gram"))
-    keyed = tokens.select("token", F.substring("token", 1, GRAM).alias("gram"))
-    holds = grams.join(keyed, "gram").where((F.length("token") <= GRAM) | F.contains("run", "token")).select("run", "token")
-    return runs.join(holds, "run").groupBy("token").agg(F.countDistinct("note").alias("df"))
 
-
-def keyword_rarity(questions: DataFrame, notes: DataFrame) -> DataFrame:
+def keyword_rarity(questions: DataFrame, notes: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """question_id, token, df: the question's token (two characters or more) that the fewest notes hold as a substring; ties by token.
-    Without such a token: an empty one and the number of notes."""
+    Without such a token: an empty one and the number of notes. found: holdings of these questions, or of more of them."""
+    found = cut(holdings(questions, notes), "holdings") if found is None else found
     tokens = questions.select("question_id", F.explode(F.array_distinct(tokenize("question"))).alias("token")).where(F.length("token") >= 2)
-    counts = substring_df(tokens.select("token").distinct(), notes)
-    rows = tokens.join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rows = tokens.join(token_counts(found, "within"), "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = rows.groupBy("question_id").agg(F.min(F.struct("df", "token")).alias("r"))
-    total = notes.agg(F.countDistinct("note").alias("total"))
-    every = questions.select("question_id").distinct().join(rarest, "question_id", "left").crossJoin(F.broadcast(total))
+    every = questions.select("question_id").distinct().join(rarest, "question_id", "left").crossJoin(F.broadcast(note_count(found)))
     return every.select("question_id", F.coalesce("r.token", F.lit("")).alias("token"), F.coalesce("r.df", "total").alias("df"))
 
 
@@ -266,18 +237,11 @@ def recent(notes: DataFrame, n: int, at: str = "modified", path: str = "path") -
 
 
 def containment(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id where a document (doc_id, text) holds a question (query_id, text of three tokens or more) literally.
+    """query_id, doc_id where a document (doc_id, text) holds a question (query_id, text) literally."""
+    asked, notes = questions.select(F.col("query_id").alias("question_id"), F.col("text").alias("question")), docs.select(F.col("doc_id").alias("note"), "text")
+    return literal(holdings(asked, notes, literal=True)).select(F.col("question_id").alias("query_id"), F.col("note").alias("doc_id"))
 
-    Every token of the question but its first and last is a token of such a document, so the two join on the question's rarest inner
-    token, and only those pairs are compared.
-    """
-    tokens = tokenize("text")
-    questions = cut(questions.select("query_id", "text"), "questions")
-    inner = questions.select("query_id", F.explode(F.array_distinct(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))).alias("token"))
-    postings = docs.select("doc_id", F.explode_outer(F.array_distinct(tokens)).alias("token")).where("token is not null")
-    wanted = cut(postings.join(inner.select("token").distinct(), "token", "left_semi"), "inner-tokens")
-    df = wanted.groupBy("token").agg(F.count("*").alias("df"))
-    rarest = inner.join(df, "token").groupBy("query_id").agg(F.min(F.struct("df", "token")).alias("r"))
-    pairs = rarest.select("query_id", "r.token").join(wanted, "token").select("query_id", "doc_id")
-    pairs = pairs.join(questions.select("query_id", F.col("text").alias("q")), "query_id")
-    return pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "q")).select("query_id", "doc_id")
+
+def literal(found: DataFrame) -> DataFrame:
+    """question_id, note where a note holds a question literally, from the holdings."""
+    return found.where("kind = 'literal'").select("question_id", "note")
